@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed as V
 from .text import tokens
 
 
-@F.pandas_udf("struct<bucket:int,sign:double>")
+@F.pandas_udf(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("sign", T.DoubleType())]))
 def _token_feature(token: pd.Series) -> pd.DataFrame:
     digests = [blake2b(t.encode(), digest_size=8).digest() for t in token]
     return pd.DataFrame(
@@ -27,6 +29,18 @@ def _token_feature(token: pd.Series) -> pd.DataFrame:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _dense(buckets: pd.Series, values: pd.Series) -> pd.Series:
+    out = []
+    for where, what in zip(buckets, values):
+        vector = np.zeros(V.EMBEDDING_DIMENSIONS)
+        if where is not None and len(where):
+            vector[np.asarray(where)] = what
+            vector = np.round(vector / np.sqrt(np.dot(vector, vector)), 8)
+        out.append(vector.astype(np.float32))
+    return pd.Series(out)
+
+
 def feature_hash_embedding(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text) rows to (key, embedding): signed token counts in 384 buckets, scaled to length one.
 
@@ -45,18 +59,10 @@ def feature_hash_embedding(texts: DataFrame, key: str, text: str) -> DataFrame:
         .agg(F.sum(F.col("tf") * F.col("sign")).alias("value"))
         .where(F.col("value") != 0)
         .groupBy(key)
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("cells"),
-            F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"),
-        )
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(V.EMBEDDING_DIMENSIONS - 1)),
-        lambda i: F.coalesce(F.round(F.try_element_at(F.col("cells"), i) / F.col("norm"), 8), F.lit(0.0)).cast("float"),
+        .agg(F.collect_list(F.struct("bucket", "value")).alias("cells"))
     )
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), V.EMBEDDING_DIMENSIONS)
     return (
         texts.select(key)
         .join(buckets, key, "left")
-        .select(key, F.when(F.col("norm").isNull(), zeros).otherwise(dense).alias("embedding"))
+        .select(key, _dense(F.col("cells.bucket"), F.col("cells.value")).alias("embedding"))
     )

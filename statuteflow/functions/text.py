@@ -74,8 +74,8 @@ def shingles(text: Column | str, size: int = 3) -> Column:
         tokens(text),
         lambda words: F.array_distinct(
             F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1))),
-                lambda i: F.array_join(F.slice(words, i, size), " "),
+                F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))),
+                lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(size)]),
             )
         ),
     )
@@ -146,7 +146,7 @@ def label_answer_reject(answer: Column | str) -> Column:
     text = answer.rlike(r'"rationale"\s*:\s*"')
     return (
         F.when(keys.isNull(), "not_json")
-        .when(F.array_sort(keys) != F.array(F.lit("confidence"), F.lit("label"), F.lit("rationale")), "wrong_fields")
+        .when(F.sort_array(keys) != F.array(F.lit("confidence"), F.lit("label"), F.lit("rationale")), "wrong_fields")
         .when(~F.coalesce(parsed["label"].isin(*V.LABELS), F.lit(False)), "unknown_label")
         .when(~number | confidence.isNull(), "confidence_not_a_number")
         .when((confidence < 0) | (confidence > 1), "confidence_out_of_range")

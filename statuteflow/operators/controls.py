@@ -52,7 +52,7 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
     compared once.
     """
     sources = obligations.select(
-        "organization_id", "obligation_id", F.array_sort(token_set(F.concat_ws(" ", "evidence", "action"))).alias("terms")
+        "organization_id", "obligation_id", F.sort_array(token_set(F.concat_ws(" ", "evidence", "action"))).alias("terms")
     ).withColumn("signature", F.sha2(F.array_join("terms", " "), 256))
     distinct = sources.groupBy("organization_id", "signature").agg(F.first("terms").alias("terms"))
     targets = controls.select(
@@ -75,7 +75,7 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
             c["control_key"].alias("control_key"), c["t"].alias("t"),
         )
 
-    ranked = F.slice(F.array_sort(F.filter(F.transform("catalogue", score), lambda x: x["negative"] < 0)), 1, limit)
+    ranked = F.slice(F.sort_array(F.filter(F.transform("catalogue", score), lambda x: x["negative"] < 0)), 1, limit)
     pairs = (
         join_checked(distinct, blocks, ["organization_id"], max_rows=256)
         .select("organization_id", "signature", "terms", F.explode(ranked).alias("c"))
@@ -94,7 +94,7 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
         .when(-F.col("negative") >= V.SUGGESTED_MINIMUM, "suggested")
         .otherwise("needs_review").alias("status"),
         F.size(overlap).alias("raw_overlap_count"),
-        F.array_sort(F.array_except(overlap, stopwords)).alias("matched_terms"),
+        F.sort_array(F.array_except(overlap, stopwords)).alias("matched_terms"),
     )
     return (
         sources.select("organization_id", "signature", "obligation_id")

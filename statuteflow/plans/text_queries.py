@@ -79,7 +79,7 @@ def b7(spark, d):
 def b8(spark, d):
     s = docs(spark, d).select("doc_id", T.shingles("text").alias("s"))
     return s.select(
-        "doc_id", F.size("s").cast("bigint").alias("shingles"), F.md5(F.array_join(F.array_sort("s"), "|")).alias("digest")
+        "doc_id", F.size("s").cast("bigint").alias("shingles"), F.md5(F.array_join(F.sort_array("s"), "|")).alias("digest")
     )
 
 
