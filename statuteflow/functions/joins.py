@@ -12,7 +12,8 @@ SALTS = 64
 
 
 def join_checked(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Broadcast ``small`` where it is proven to be at most ``max_rows`` long; otherwise a salted shuffle join.
 
@@ -21,7 +22,9 @@ def join_checked(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot replicate the right side of a {how} join")
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if rows is None:  # not counted by the caller yet
+        rows = small.limit(max_rows + 1).count()
+    if rows <= max_rows:
         return big.join(F.broadcast(small), list(on), how)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

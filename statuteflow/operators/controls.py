@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import fixed as V
 from ..functions.joins import join_checked
 from ..functions.ordered import running_sum
-from ..functions.text import token_set
+from ..functions.text import let, token_set
 
 # Controls compared per row of the obligation side; a larger catalogue is split into more blocks.
 CONTROL_BLOCK = 512
@@ -46,20 +45,19 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
     """The best ``limit`` controls per obligation by token overlap (Jaccard), with status and matched terms.
 
     A token such as "must" is in every obligation and most controls, so joining on tokens would pair everything
-    with everything. Instead the catalogue is packed into blocks of token sets per organization and each
-    obligation row ranks a block inside one expression, keeping ``limit`` entries: no pair becomes a row, and the
-    rows after it number at most ``limit`` per obligation and block. Obligations with equal token sets are
-    compared once.
+    with everything. Instead the catalogue is packed into blocks of token sets per organization, and each
+    obligation row ranks a block inside one expression and keeps ``limit`` entries: no pair becomes a row. While
+    an organization's catalogue fits one block the whole step is a map over the obligations; a larger one merges
+    ``limit`` entries per block afterwards, so every control is compared whatever the size of the catalogue.
     """
-    sources = obligations.select(
-        "organization_id", "obligation_id", F.sort_array(token_set(F.concat_ws(" ", "evidence", "action"))).alias("terms")
-    ).withColumn("signature", F.sha2(F.array_join("terms", " "), 256))
-    distinct = sources.groupBy("organization_id", "signature").agg(F.first("terms").alias("terms"))
+    key = ["organization_id", "obligation_id"]
+    sources = obligations.select(*key, token_set(F.concat_ws(" ", "evidence", "action")).alias("terms"))
     targets = controls.select(
         "organization_id", "control_version_id", "control_key",
         token_set(F.concat_ws(" ", "title", "description", "evidence_requirement")).alias("terms"),
     )
-    counts = targets.groupBy("organization_id").agg(F.ceil(F.count("*") / CONTROL_BLOCK).alias("blocks"))
+    counts = targets.groupBy("organization_id").agg(F.ceil(F.count("*") / CONTROL_BLOCK).cast("int").alias("blocks"))
+    most, total = counts.agg(F.coalesce(F.max("blocks"), F.lit(1)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
     blocks = (
         targets.join(counts, "organization_id")
         .withColumn("block", F.pmod(F.xxhash64("control_version_id"), F.col("blocks")))
@@ -68,40 +66,35 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
     )
 
     def score(c: Column) -> Column:
-        overlap = F.size(F.array_intersect(F.col("terms"), c["t"]))
-        union = F.size("terms") + F.size(c["t"]) - overlap
-        return F.struct(
-            (-(overlap / union)).alias("negative"), c["control_version_id"].alias("control_version_id"),
-            c["control_key"].alias("control_key"), c["t"].alias("t"),
+        return let(
+            F.size(F.array_intersect(F.col("terms"), c["t"])),
+            lambda overlap: F.struct(
+                (-(overlap / (F.size("terms") + F.size(c["t"]) - overlap))).alias("negative"),
+                c["control_version_id"].alias("control_version_id"), c["control_key"].alias("control_key"), c["t"].alias("t"),
+            ),
         )
 
-    ranked = F.slice(F.sort_array(F.filter(F.transform("catalogue", score), lambda x: x["negative"] < 0)), 1, limit)
-    pairs = (
-        join_checked(distinct, blocks, ["organization_id"], max_rows=256)
-        .select("organization_id", "signature", "terms", F.explode(ranked).alias("c"))
-        .select("organization_id", "signature", "terms", "c.*")
+    best = lambda found: F.slice(F.sort_array(found), 1, limit)
+    top = join_checked(sources, blocks, ["organization_id"], max_rows=256, rows=total).select(
+        *key, "terms", best(F.filter(F.transform("catalogue", score), lambda x: x["negative"] < 0)).alias("top")
     )
-    order = Window.partitionBy("organization_id", "signature").orderBy("negative", "control_version_id")
-    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    everyone = Window.partitionBy("organization_id", "signature")
-    at = lambda r: F.max(F.when(F.col("rank") == r, -F.col("negative"))).over(everyone)
+    if most > 1:
+        top = top.groupBy(*key).agg(F.first("terms").alias("terms"), F.flatten(F.collect_list("top")).alias("all")).select(
+            *key, "terms", best(F.col("all")).alias("top")
+        )
+    raw = -F.col("c.negative")
+    gap = F.get("top", F.lit(1))["negative"] - F.get("top", F.lit(0))["negative"]
     stopwords = F.array(*[F.lit(w) for w in V.EXPLANATION_STOPWORDS])
-    overlap = F.array_intersect("terms", "t")
-    judged = top.withColumn("gap", at(1) - at(2)).select(
-        "organization_id", "signature", "rank", "control_version_id", "control_key",
-        F.round(-F.col("negative"), 3).alias("score"),
-        F.when((F.col("gap") < V.AMBIGUITY_GAP) & (F.col("rank") <= 2), "ambiguous")
-        .when(-F.col("negative") >= V.SUGGESTED_MINIMUM, "suggested")
+    overlap = F.array_intersect("terms", "c.t")
+    return top.select(*key, "terms", gap.alias("gap"), F.posexplode("top").alias("p", "c")).select(
+        *key, "c.control_version_id", "c.control_key", (F.col("p") + 1).alias("rank"), F.round(raw, 3).alias("score"),
+        F.when((F.col("gap") < V.AMBIGUITY_GAP) & (F.col("p") < 2), "ambiguous")
+        .when(raw >= V.SUGGESTED_MINIMUM, "suggested")
         .otherwise("needs_review").alias("status"),
         F.size(overlap).alias("raw_overlap_count"),
         F.sort_array(F.array_except(overlap, stopwords)).alias("matched_terms"),
-    )
-    return (
-        sources.select("organization_id", "signature", "obligation_id")
-        .join(judged, ["organization_id", "signature"])
-        .drop("signature")
-        .withColumn("mapping_id", F.sha2(F.concat_ws(":", "obligation_id", "control_version_id"), 256))
-        .withColumn("mapping_method", F.lit(V.MAPPING_METHOD))
+        F.sha2(F.concat_ws(":", "obligation_id", "c.control_version_id"), 256).alias("mapping_id"),
+        F.lit(V.MAPPING_METHOD).alias("mapping_method"),
     )
 
 

@@ -12,6 +12,7 @@ from ..operators import workflow as H
 from . import inputs as I
 from . import sql as S
 from .inputs import CONTROLS_SQL, OBLIGATIONS_SQL
+from ..session import stage_table
 from .registry import as_text, query
 
 
@@ -31,6 +32,15 @@ def mappings(spark, d):
     return C.suggest_mappings(obligations(spark, d), latest_controls(spark, d))
 
 
+def stored_obligations(spark, d):
+    """Obligations written as a stage table: queries that read them several times extract them once."""
+    return stage_table(obligations(spark, d), "obligations")
+
+
+def stored_mappings(spark, d, obls):
+    return stage_table(C.suggest_mappings(obls, latest_controls(spark, d)), "mappings")
+
+
 _STOP = S.in_list(V.EXPLANATION_STOPWORDS)
 MAPPINGS_SQL = f"""{OBLIGATIONS_SQL}, {CONTROLS_SQL},
 o_terms AS (SELECT organization_id, obligation_id, {S.token_set("evidence || ' ' || action")} AS ot FROM obligations),
@@ -42,7 +52,7 @@ jaccard AS (SELECT *, len(terms)::DOUBLE / (both_len - len(terms)) AS raw FROM t
 ranked AS (SELECT *, row_number() OVER (PARTITION BY obligation_id ORDER BY raw DESC, control_version_id) AS rank FROM jaccard),
 kept AS (SELECT *, max(CASE WHEN rank = 1 THEN raw END) OVER (PARTITION BY obligation_id)
   - max(CASE WHEN rank = 2 THEN raw END) OVER (PARTITION BY obligation_id) AS gap FROM ranked WHERE rank <= {V.MAPPING_LIMIT}),
-mappings AS (SELECT organization_id, obligation_id, control_version_id, control_key, rank, round(raw, 3) AS score,
+mappings AS MATERIALIZED (SELECT organization_id, obligation_id, control_version_id, control_key, rank, round(raw, 3) AS score,
   CASE WHEN gap < {V.AMBIGUITY_GAP} AND rank <= 2 THEN 'ambiguous' WHEN raw >= {V.SUGGESTED_MINIMUM} THEN 'suggested'
        ELSE 'needs_review' END AS status, len(terms) AS raw_overlap_count,
   array_to_string(list_sort(list_filter(terms, lambda t: t NOT IN {_STOP})), ',') AS matched_terms,
@@ -87,7 +97,7 @@ def f3(spark, d):
     ELSE 'suggested' END AS state FROM obligations LEFT JOIN m USING (obligation_id)""",
 )
 def f4(spark, d):
-    o = obligations(spark, d)
+    o = stored_obligations(spark, d)
     return C.mapping_state(o, C.suggest_mappings(o, latest_controls(spark, d))).select("obligation_id", "candidates", "state")
 
 
@@ -98,7 +108,7 @@ def f4(spark, d):
     ORDER BY m.score DESC, mapping_id LIMIT 200 OFFSET 50""",
 )
 def f5(spark, d):
-    o, c = obligations(spark, d), latest_controls(spark, d)
+    o, c = stored_obligations(spark, d), latest_controls(spark, d)
     return C.list_mappings(C.suggest_mappings(o, c), o, c, 200, 50).select(
         "mapping_id", "obligation_id", "control_version_id", "score", "status", "control_title"
     )
@@ -138,7 +148,7 @@ def f7(spark, d):
       round(avg(requires_review::INT), 9) AS review_workload FROM x""",
 )
 def f8(spark, d):
-    o = obligations(spark, d)
+    o = stored_obligations(spark, d)
     m = C.suggest_mappings(o, latest_controls(spark, d)).groupBy("obligation_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "control_key"))).alias("c"),
         F.bool_or(F.col("status") == "ambiguous").alias("ambiguous"),
@@ -160,7 +170,7 @@ def f8(spark, d):
     count(*) FILTER (obligation_id NOT IN (SELECT obligation_id FROM mappings)) AS without_candidates FROM obligations""",
 )
 def d5(spark, d):
-    o = obligations(spark, d)
+    o = stored_obligations(spark, d)
     return D.register_summary(o, C.suggest_mappings(o, latest_controls(spark, d)))
 
 
@@ -282,20 +292,20 @@ ledger AS (
   SELECT organization_id, obligation_id, NULL::VARCHAR AS mapping_id, decision, event_id + 1 AS revision FROM lh WHERE decision = 'confirmed_unmapped'
   UNION ALL SELECT lh.organization_id, lh.obligation_id, m.mapping_id, decision, event_id + 1 FROM lh
   JOIN mappings m ON m.obligation_id = lh.obligation_id AND m.rank = lh.rank WHERE decision <> 'confirmed_unmapped'),
-latest_ledger AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY obligation_id, mapping_id ORDER BY revision DESC) = 1)"""
+latest_ledger AS MATERIALIZED (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY obligation_id, mapping_id ORDER BY revision DESC) = 1)"""
 
 
 @query(
     "g3_supersede_decisions",
-    f"""WITH {LEDGER_SQL}
+    f"""WITH {LEDGER_SQL}, edited AS (SELECT DISTINCT organization_id, control_key FROM control_changes WHERE changed_at % 2 = 1)
     SELECT l.obligation_id, l.mapping_id, l.revision + 1 AS revision, l.revision AS supersedes, m.control_version_id
     FROM latest_ledger l JOIN mappings m USING (mapping_id)
-    WHERE l.decision <> 'superseded' AND l.mapping_id IS NOT NULL AND m.control_key IN
-      (SELECT control_key FROM control_changes x WHERE x.organization_id = m.organization_id AND x.changed_at % 2 = 1)""",
+    JOIN edited e ON e.organization_id = m.organization_id AND e.control_key = m.control_key
+    WHERE l.decision <> 'superseded' AND l.mapping_id IS NOT NULL""",
 )
 def g3(spark, d):
-    o, c = obligations(spark, d), latest_controls(spark, d)
-    m = C.suggest_mappings(o, c)
+    o, c = stored_obligations(spark, d), latest_controls(spark, d)
+    m = stored_mappings(spark, d, o)
     ledger = mapping_ledger(spark, d, m, o)
     # Controls edited by an odd part receive one more version on top of the mapped one.
     edited = I.control_changes(spark, d).where("changed_at % 2 = 1").select("organization_id", "control_key").distinct()
@@ -323,8 +333,8 @@ queue AS (SELECT o.*, coalesce(candidate_count, 0) AS candidate_count, coalesce(
 
 
 def queue(spark, d):
-    o, c = obligations(spark, d), latest_controls(spark, d)
-    m = C.suggest_mappings(o, c)
+    o, c = stored_obligations(spark, d), latest_controls(spark, d)
+    m = stored_mappings(spark, d, o)
     regs = o.select("regulation_id").distinct().withColumn("title", F.concat(F.lit("Rules of "), F.col("regulation_id")))
     return G.review_queue(o, m, mapping_ledger(spark, d, m, o), regs, c)
 
@@ -365,7 +375,7 @@ def g6(spark, d):
 
 def proposals(spark, d):
     sections = I.rule_book(spark, d)
-    o, c = D.obligations_of(sections), latest_controls(spark, d)
+    o, c = stage_table(D.obligations_of(sections), "obligations"), latest_controls(spark, d)
     versions = I.rule_versions(sections).select(
         "version_id", F.when(F.col("ordinal") == 3, "").otherwise(F.concat(F.lit("rule://"), "version_id")).alias("source_uri"),
         F.sha2("version_id", 256).alias("content_hash"),

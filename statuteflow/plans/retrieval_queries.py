@@ -9,6 +9,7 @@ from ..functions.text import section_content_hash
 from ..operators import controls as C
 from ..operators import obligations as D
 from ..operators import retrieval as E
+from ..session import stage_table
 from . import inputs as I
 from . import sql as S
 from .registry import query
@@ -160,7 +161,7 @@ def e6(spark, d):
     from .control_queries import latest_controls
 
     sections = I.rule_book(spark, d)
-    obligations = D.obligations_of(sections)
+    obligations = stage_table(D.obligations_of(sections), "obligations")
     mappings = C.suggest_mappings(obligations, latest_controls(spark, d))
     versions = I.rule_versions(sections).select("version_id", F.sha2("version_id", 256).alias("content_hash"))
     # Every section is asked for; some requests carry a wrong section hash, some a wrong version hash.
