@@ -64,7 +64,7 @@ def content_class(files: DataFrame) -> DataFrame:
         "reason",
         F.when(forbidden, "forbidden_artifact")
         .when(F.length("content") > V.SCAN_MAX_BYTES, "unscannable_large_file")
-        .when(F.position(F.lit("00"), F.regexp_replace(F.hex("content"), "(..)", "$1 ")) > 0, "unscannable_binary_file")
+        .when(F.contains(F.col("content"), F.lit(bytearray(b"\0"))), "unscannable_binary_file")
         .when(text.isNull(), "unscannable_non_utf8_file"),
     )
 
