@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("text_queries", "source_queries", "change_queries", "obligation_queries", "control_queries", "retrieval_queries", "metric_queries", "dataset_queries")
+GROUPS = ("text_queries", "source_queries", "change_queries", "obligation_queries", "control_queries", "retrieval_queries", "metric_queries", "dataset_queries", "consensus_queries", "operation_queries")
 
 
 def load():
