@@ -38,14 +38,14 @@ def scan_text(texts: DataFrame, key: str, text: str, extra: tuple = CORPUS_PATTE
     assigned = F.when((name != "") & ~_placeholder(value), F.array(F.concat(name, F.lit("="), value))).otherwise(
         F.array().cast("array<string>")
     )
+
+    def named(category: str, matches: Column) -> Column:
+        return F.transform(matches, lambda m: F.struct(F.lit(category).alias("category"), m.alias("evidence")))
+
     groups = [
-        F.transform(
-            F.regexp_extract_all("body", F.lit(pattern), F.lit(0)),
-            lambda m, c=category: F.struct(F.lit(c).alias("category"), m.alias("evidence")),
-        )
-        for category, pattern in (*V.SECRET_PATTERNS, *extra)
+        named(category, F.regexp_extract_all("body", F.lit(pattern), F.lit(0))) for category, pattern in (*V.SECRET_PATTERNS, *extra)
     ]
-    groups.append(F.transform(assigned, lambda m: F.struct(F.lit("credential_assignment").alias("category"), m.alias("evidence"))))
+    groups.append(named("credential_assignment", assigned))
     found = lines.select("path", (F.col("p") + 1).alias("line"), F.explode(F.concat(*groups)).alias("f"))
     digest = F.sha2(F.concat_ws("\0", F.lit(V.SCAN_VERSION), "path", "f.category", "f.evidence"), 256)
     return found.select("path", "line", "f.category", digest.alias("fingerprint"))

@@ -168,31 +168,31 @@ def job_events(events):
 LEASE = 86_400
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in JOB_EVENTS.items())
 JOB_SQL = f"""
-je AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS at, event_id, CASE event_type {_CASE} END AS event,
+je AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS sec, event_id, CASE event_type {_CASE} END AS event,
   row_number() OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)), event_id) AS n FROM events),
 fold AS (
-  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS at, NULL::VARCHAR AS event, NULL::BOOLEAN AS accepted, 'queued' AS status, 0 AS attempts, 0 AS replays, 0::BIGINT AS nb, 0::BIGINT AS lu FROM je
+  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS sec, NULL::VARCHAR AS event, NULL::BOOLEAN AS accepted, 'queued' AS status, 0 AS attempts, 0 AS replays, 0::BIGINT AS nb, 0::BIGINT AS lu FROM je
   UNION ALL
-  SELECT user_id, n, at, event, ok, CASE WHEN NOT ok THEN status WHEN event = 'claim' THEN 'processing' WHEN event = 'complete' THEN 'completed' WHEN event = 'fail' THEN 'failed'
+  SELECT user_id, n, sec, event, ok, CASE WHEN NOT ok THEN status WHEN event = 'claim' THEN 'processing' WHEN event = 'complete' THEN 'completed' WHEN event = 'fail' THEN 'failed'
       WHEN event = 'error' THEN CASE WHEN attempts + 1 >= 5 THEN 'dead_letter' ELSE 'queued' END ELSE 'queued' END,
     CASE WHEN ok AND event = 'error' THEN attempts + 1 WHEN ok AND event = 'replay' THEN 0 ELSE attempts END,
     CASE WHEN ok AND event = 'replay' THEN replays + 1 ELSE replays END,
-    CASE WHEN NOT ok THEN nb WHEN event = 'error' AND attempts + 1 < 5 THEN at + least(300, 5 * power(2, attempts)::BIGINT) ELSE 0 END,
-    CASE WHEN NOT ok THEN lu WHEN event = 'claim' THEN at + {LEASE} ELSE 0 END
+    CASE WHEN NOT ok THEN nb WHEN event = 'error' AND attempts + 1 < 5 THEN sec + least(300, 5 * power(2, attempts)::BIGINT) ELSE 0 END,
+    CASE WHEN NOT ok THEN lu WHEN event = 'claim' THEN sec + {LEASE} ELSE 0 END
   FROM (SELECT j.*, f.status, f.attempts, f.replays, f.nb, f.lu, CASE j.event
-      WHEN 'claim' THEN f.status IN ('queued', 'failed', 'processing') AND NOT (f.status = 'processing' AND f.lu > j.at) AND f.nb <= j.at
-      WHEN 'complete' THEN f.status = 'processing' AND f.lu > j.at WHEN 'fail' THEN f.status = 'processing' AND f.lu > j.at
+      WHEN 'claim' THEN f.status IN ('queued', 'failed', 'processing') AND NOT (f.status = 'processing' AND f.lu > j.sec) AND f.nb <= j.sec
+      WHEN 'complete' THEN f.status = 'processing' AND f.lu > j.sec WHEN 'fail' THEN f.status = 'processing' AND f.lu > j.sec
       WHEN 'error' THEN f.status = 'processing' ELSE f.status IN ('failed', 'dead_letter') END AS ok
     FROM fold f JOIN je j ON j.user_id = f.user_id AND j.n = f.n + 1))"""
 
 
 @query(
     "l5_job_states",
-    f"WITH RECURSIVE {JOB_SQL} SELECT 'job-' || user_id AS job_id, at, event, accepted, status, attempts, replays FROM fold WHERE n > 0",
+    f"WITH RECURSIVE {JOB_SQL} SELECT 'job-' || user_id AS job_id, sec AS seconds, event, accepted, status, attempts, replays FROM fold WHERE n > 0",
 )
 def l5(spark, d):
     events = I.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return J.fold_jobs(job_events(events), lease=LEASE).drop("not_before", "lease_until")
+    return J.fold_jobs(job_events(events), lease=LEASE).drop("not_before", "lease_until").withColumnRenamed("at", "seconds")
 
 
 @query("l5_job_stream")
@@ -258,9 +258,9 @@ def l9(spark, d):
 
 
 LIMITS = {"all": 2, "search": 1}
-_RATE = """SELECT epoch(time_bucket(INTERVAL 1 MINUTE, ts))::BIGINT AS window_start, client_id, organization_id, scope, count(*) AS requests,
-  least(count(*), CASE WHEN scope = 'search' THEN 1 ELSE 2 END)::BIGINT AS allowed, greatest(count(*) - CASE WHEN scope = 'search' THEN 1 ELSE 2 END, 0)::BIGINT AS denied
-  FROM requests GROUP BY ALL"""
+_RATE = """SELECT window_start, client_id, organization_id, scope, requests,
+  least(requests, CASE WHEN scope = 'search' THEN 1 ELSE 2 END)::BIGINT AS allowed, greatest(requests - CASE WHEN scope = 'search' THEN 1 ELSE 2 END, 0)::BIGINT AS denied
+  FROM (SELECT epoch(time_bucket(INTERVAL 1 MINUTE, ts))::BIGINT AS window_start, client_id, organization_id, scope, count(*) AS requests FROM requests GROUP BY ALL)"""
 
 
 @query("l10_rate_limit", f"WITH {REQUESTS_SQL} {_RATE}")
