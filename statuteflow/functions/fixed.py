@@ -14,9 +14,22 @@ LABELS = (
     "non_obligation",
 )
 
-# Every character Python's str.split() treats as white space (Java's \s is ASCII only).
-WS = r"\x09-\x0D\x1C-\x1F\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-WS_NOT_NEWLINE = WS.replace(r"\x09-\x0D", r"\x09\x0B-\x0D")
+# Every character Python's str.split() treats as white space (Java's \s is ASCII only). Characters up to 255 are listed
+# one by one, which the regex engine keeps as a bitmap.
+WS = (
+    r"\x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F\x20\x{85}\x{A0}"
+    r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+WS_NOT_NEWLINE = WS.replace(r"\x0A", "")
+# The same set with the rare characters behind one range test, in Java's class syntax.
+WS_FAST = (
+    r"\x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F\x20\x{85}\x{A0}"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+)
+WS_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 TOKEN = r"[a-z0-9]+"
 SENTENCE_BOUNDARY = r"(?<=[.!?])\s+(?=[A-Z0-9])"

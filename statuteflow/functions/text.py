@@ -22,19 +22,19 @@ def let(value: Column, body) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Drop leading and trailing white space of any script."""
-    return F.regexp_replace(_c(value), rf"\A[{V.WS}]+|[{V.WS}]+\z", "")
+    return F.btrim(_c(value), F.lit(V.WS_CHARACTERS))
 
 
 def normalize_ws(value: Column | str) -> Column:
     """Squeeze each run of white space to one blank and strip."""
-    return F.trim(F.regexp_replace(_c(value), f"[{V.WS}]+", " "))
+    return F.trim(F.regexp_replace(_c(value), f"[{V.WS_FAST}]+", " "))
 
 
 def content_hash(text: Column | str) -> Column:
     """SHA-256 of the text with line endings unified and trailing blanks of every line dropped."""
-    lines = F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))
-    lines = F.regexp_replace(lines, rf"[{V.WS_NOT_NEWLINE}]+(\n|\z)", "$1")
-    return F.sha2(strip(lines), 256)
+    lines = F.split(F.replace(_c(text), F.lit("\r\n"), F.lit("\n")), "\n")
+    trimmed = F.transform(lines, lambda line: F.rtrim(line, F.lit(V.WS_CHARACTERS)))
+    return F.sha2(strip(F.array_join(trimmed, "\n")), 256)
 
 
 def section_content_hash(heading: Column | str, body: Column | str) -> Column:

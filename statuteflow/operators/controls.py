@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed as V
 from ..functions.joins import join_checked
@@ -12,6 +15,8 @@ from ..functions.text import let, token_set
 
 # Controls compared per row of the obligation side; a larger catalogue is split into more blocks.
 CONTROL_BLOCK = 512
+# Largest catalogue that is sent along to the tasks.
+CATALOGUE_IN_TASK = 20_000
 
 
 def version_controls(changes: DataFrame, chunk: Column) -> DataFrame:
@@ -41,21 +46,64 @@ def latest_control_versions(control_versions: DataFrame, inactive: DataFrame | N
     return latest if inactive is None else latest.join(inactive.select(*key), key, "left_anti")
 
 
-def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V.MAPPING_LIMIT) -> DataFrame:
-    """The best ``limit`` controls per obligation by token overlap (Jaccard), with status and matched terms.
+def _rank_in_task(sources: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """Best controls per obligation with the catalogue sent along: a map over Arrow batches.
 
-    A token such as "must" is in every obligation and most controls, so joining on tokens would pair everything
-    with everything. Instead the catalogue is packed into blocks of token sets per organization, and each
-    obligation row ranks a block inside one expression and keeps ``limit`` entries: no pair becomes a row. While
-    an organization's catalogue fits one block the whole step is a map over the obligations; a larger one merges
-    ``limit`` entries per block afterwards, so every control is compared whatever the size of the catalogue.
+    Overlaps of a slice of obligations with the catalogue of their organization are one matrix product.
     """
-    key = ["organization_id", "obligation_id"]
-    sources = obligations.select(*key, token_set(F.concat_ws(" ", "evidence", "action")).alias("terms"))
-    targets = controls.select(
-        "organization_id", "control_version_id", "control_key",
-        token_set(F.concat_ws(" ", "title", "description", "evidence_requirement")).alias("terms"),
+    catalogue = targets.orderBy("organization_id", "control_version_id").toPandas()
+    by_org = {}
+    for org, rows in catalogue.groupby("organization_id", sort=False):
+        vocabulary = {}
+        for terms in rows["terms"]:
+            for t in terms:
+                vocabulary.setdefault(t, len(vocabulary))
+        incidence = np.zeros((len(vocabulary), len(rows)), dtype=np.float32)
+        for c, terms in enumerate(rows["terms"]):
+            incidence[[vocabulary[t] for t in terms], c] = 1.0
+        controls = list(zip(rows["control_version_id"], rows["control_key"], [list(t) for t in rows["terms"]]))
+        by_org[org] = (vocabulary, incidence, np.array([len(t) for t in rows["terms"]]), controls)
+    entry = T.StructType(
+        [
+            T.StructField("negative", T.DoubleType()), T.StructField("control_version_id", T.StringType()),
+            T.StructField("control_key", T.StringType()), T.StructField("t", T.ArrayType(T.StringType())),
+        ]
     )
+    schema = T.StructType([*sources.schema.fields, T.StructField("top", T.ArrayType(entry))])
+    shared = sources.sparkSession.sparkContext.broadcast(by_org)  # sent once per executor, bounded above
+
+    def run(batches):
+        for batch in batches:
+            out = np.empty(len(batch), dtype=object)
+            orgs, terms = batch["organization_id"].to_numpy(), batch["terms"].to_numpy()
+            for org in pd.unique(batch["organization_id"]):
+                at = np.flatnonzero(orgs == org)
+                if org not in shared.value:
+                    for i in at:
+                        out[i] = []
+                    continue
+                vocabulary, incidence, sizes, controls = shared.value[org]
+                step = max(1, 4_000_000 // max(len(vocabulary), len(sizes)))
+                for start in range(0, len(at), step):
+                    part = at[start : start + step]
+                    present = np.zeros((len(part), len(vocabulary)), dtype=np.float32)
+                    for r, i in enumerate(part):
+                        present[r, [vocabulary[t] for t in terms[i] if t in vocabulary]] = 1.0
+                    overlap = (present @ incidence).astype(np.float64)
+                    lengths = np.array([len(terms[i]) for i in part])[:, None]
+                    score = -(overlap / np.maximum(lengths + sizes[None, :] - overlap, 1))
+                    # Controls are in id order, so a stable sort breaks ties by id.
+                    best = np.argsort(score, axis=1, kind="stable")[:, :limit]
+                    for r, i in enumerate(part):
+                        out[i] = [(float(score[r, c]), *controls[c]) for c in best[r] if score[r, c] < 0]
+            yield batch.assign(top=out)
+
+    return sources.mapInPandas(run, schema)
+
+
+def _rank_by_block(sources: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """The same for a catalogue of any size: blocks of it are joined by organization and ranked inside the row."""
+    key = ["organization_id", "obligation_id"]
     counts = targets.groupBy("organization_id").agg(F.ceil(F.count("*") / CONTROL_BLOCK).cast("int").alias("blocks"))
     most, total = counts.agg(F.coalesce(F.max("blocks"), F.lit(1)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
     blocks = (
@@ -82,6 +130,27 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
         top = top.groupBy(*key).agg(F.first("terms").alias("terms"), F.flatten(F.collect_list("top")).alias("all")).select(
             *key, "terms", best(F.col("all")).alias("top")
         )
+    return top
+
+
+def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V.MAPPING_LIMIT) -> DataFrame:
+    """The best ``limit`` controls per obligation by token overlap (Jaccard), with status and matched terms.
+
+    A token such as "must" is in every obligation and most controls, so joining on tokens would pair everything
+    with everything. Instead obligations are ranked where they are and only ``limit`` entries per obligation leave:
+    no pair becomes a row. A catalogue of at most ``CATALOGUE_IN_TASK`` controls (counted first) is sent to the
+    tasks, and the step is a map with no shuffle; a larger one is joined block by block and the entries of the blocks
+    are merged, so every control is compared whatever the size of the catalogue.
+    """
+    key = ["organization_id", "obligation_id"]
+    sources = obligations.select(*key, token_set(F.concat_ws(" ", "evidence", "action")).alias("terms"))
+    targets = controls.select(
+        "organization_id", "control_version_id", "control_key",
+        token_set(F.concat_ws(" ", "title", "description", "evidence_requirement")).alias("terms"),
+    )
+    held = targets.limit(CATALOGUE_IN_TASK + 1).count()
+    rank = _rank_in_task if held <= CATALOGUE_IN_TASK else _rank_by_block
+    top = rank(sources, targets, limit)
     raw = -F.col("c.negative")
     gap = F.get("top", F.lit(1))["negative"] - F.get("top", F.lit(0))["negative"]
     stopwords = F.array(*[F.lit(w) for w in V.EXPLANATION_STOPWORDS])

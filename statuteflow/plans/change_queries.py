@@ -75,7 +75,7 @@ def regulations(spark, d):
 
 def register(spark, d, latest_only=True):
     versions = I.document_versions(spark, d)
-    found = C.detect_changes(I.document_sections(spark, d), versions.select("regulation_id", "ordinal"))
+    found = I.document_changes(spark, d, versions)
     return C.change_register(found, regulations(spark, d), versions, latest_only)
 
 
@@ -141,7 +141,7 @@ def c6(spark, d):
 )
 def c7(spark, d):
     versions = I.document_versions(spark, d)
-    changes = C.detect_changes(I.document_sections(spark, d), versions.select("regulation_id", "ordinal"))
+    changes = I.document_changes(spark, d, versions)
     sources = I.table(spark, d, "pages").select(
         F.concat(F.lit("src"), (F.col("page_id") % 40).cast("string")).alias("regulation_id"),
         F.col("url").startswith("https:").alias("enabled"),
@@ -158,7 +158,8 @@ def c7(spark, d):
     FROM dversions v LEFT JOIN s USING (regulation_id, ordinal) LEFT JOIN c USING (regulation_id, ordinal)""",
 )
 def c8(spark, d):
-    versions, sections = I.document_versions(spark, d), I.document_sections(spark, d)
+    versions = I.document_versions(spark, d)
+    sections = I.document_sections(spark, d, versions)
     changes = C.detect_changes(sections, versions.select("regulation_id", "ordinal"))
     return C.version_rollup(versions, sections, changes).select(
         "regulation_id", "ordinal", "content_hash", "section_count", "change_count"

@@ -112,12 +112,14 @@ def j3(spark, d):
 
 
 def sample(spark, d):
-    return P.sample_pilot(stage_table(candidates(spark, d), "candidates"), TARGET, SEED)
+    """A pilot over the candidates, with a regulator's rules as one document: their number does not grow with the data."""
+    found = candidates(spark, d).withColumn("document_id", F.col("regulator"))
+    return P.sample_pilot(stage_table(found, "candidates"), TARGET, SEED)
 
 
 _INDEX = "CASE st " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(V.LABELS)) + " END"
 SAMPLE_SQL = f"""{CANDIDATES_SQL},
-lab AS (SELECT *, {S.stratum('text')} AS st FROM cand),
+lab AS (SELECT * REPLACE (regulator AS document_id), {S.stratum('text')} AS st FROM cand),
 docn AS (SELECT count(DISTINCT document_id) AS n FROM lab),
 s1 AS (SELECT *, {_INDEX} AS idx, {S.bucket(S.stable_rank(SEED, "'document-strata'", 'document_id'), 7)} AS start,
   row_number() OVER (PARTITION BY document_id, st ORDER BY {S.stable_rank(SEED, 'document_id', 'st', 'clause_id')}) AS rn FROM lab),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..operators.changes import detect_changes
 from ..operators.versioning import first_versions, ingest_versions
+from ..session import stage_table
 from . import sql as S
 
 # Arrivals are numbered by document id; this many ids make one chunk of a running rank.
@@ -20,7 +21,22 @@ ID_CHUNK = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+# Below this many bytes per core a table is too small for its files to occupy the cores.
+SMALL_PER_CORE = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out to all cores; a table large enough for its splits to do so is left as it is.
+
+    One Parquet file with one row group is one task, however much work follows. The size is the one the optimizer
+    has from the file listing, so no job runs to find it.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if (256 << 10) < size < cores * SMALL_PER_CORE else df
 
 
 # --- documents as regulations -------------------------------------------------------------------------------
@@ -33,12 +49,17 @@ def arrivals(spark, d) -> DataFrame:
 
 
 def ingested(spark, d) -> DataFrame:
-    return ingest_versions(arrivals(spark, d), F.floor(F.col("arrived") / ID_CHUNK))
+    return ingest_versions(stage_table(arrivals(spark, d), "arrivals"), F.floor(F.col("arrived") / ID_CHUNK))
 
 
 def document_versions(spark, d) -> DataFrame:
-    """regulation_id, ordinal, doc_id, content_hash, version_id, source_uri, ingested_at (epoch seconds)."""
-    return first_versions(arrivals(spark, d), F.floor(F.col("arrived") / ID_CHUNK)).select(
+    """regulation_id, ordinal, doc_id, content_hash, version_id, source_uri, ingested_at (epoch seconds).
+
+    The hashes of the texts are written once as a narrow table; the versions made from it are one more, small enough
+    for the optimizer to know its size when it is joined with the sections.
+    """
+    hashed = stage_table(arrivals(spark, d), "arrivals")
+    made = first_versions(hashed, F.floor(F.col("arrived") / ID_CHUNK)).select(
         "regulation_id",
         "ordinal",
         F.col("arrived").alias("doc_id"),
@@ -47,14 +68,15 @@ def document_versions(spark, d) -> DataFrame:
         F.concat(F.lit("doc://"), F.col("arrived").cast("string")).alias("source_uri"),
         (F.col("arrived") * 60).alias("ingested_at"),
     )
+    return stage_table(made, "versions")
 
 
-def document_sections(spark, d) -> DataFrame:
+def document_sections(spark, d, versions: DataFrame) -> DataFrame:
     """Every line of every version: the key is the line number, the heading the language of the document."""
     lines = table(spark, d, "documents").select(
         "doc_id", F.col("lang").alias("heading"), F.posexplode(F.split("text", "\n")).alias("line", "body")
     )
-    return lines.join(document_versions(spark, d), "doc_id").select(
+    return lines.join(versions, "doc_id").select(
         "regulation_id",
         "ordinal",
         "version_id",
@@ -66,8 +88,9 @@ def document_sections(spark, d) -> DataFrame:
     )
 
 
-def document_changes(spark, d) -> DataFrame:
-    return detect_changes(document_sections(spark, d), document_versions(spark, d).select("regulation_id", "ordinal"))
+def document_changes(spark, d, versions: DataFrame | None = None) -> DataFrame:
+    versions = document_versions(spark, d) if versions is None else versions
+    return detect_changes(document_sections(spark, d, versions), versions.select("regulation_id", "ordinal"))
 
 
 CORPUS_SQL = f"""
