@@ -154,8 +154,9 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
     raw = -F.col("c.negative")
     gap = F.get("top", F.lit(1))["negative"] - F.get("top", F.lit(0))["negative"]
     stopwords = F.array(*[F.lit(w) for w in V.EXPLANATION_STOPWORDS])
-    overlap = F.array_intersect("terms", "c.t")
-    return top.select(*key, "terms", gap.alias("gap"), F.posexplode("top").alias("p", "c")).select(
+    overlap = F.col("overlap")
+    ranked = top.select(*key, "terms", gap.alias("gap"), F.posexplode("top").alias("p", "c"))
+    return ranked.withColumn("overlap", F.array_intersect("terms", "c.t")).select(
         *key, "c.control_version_id", "c.control_key", (F.col("p") + 1).alias("rank"), F.round(raw, 3).alias("score"),
         F.when((F.col("gap") < V.AMBIGUITY_GAP) & (F.col("p") < 2), "ambiguous")
         .when(raw >= V.SUGGESTED_MINIMUM, "suggested")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
-from ..sources import corpus, documents, store
+from ..session import work_folder
+from ..sources import corpus, documents, records, store
 from . import inputs as I
 from . import sql as S
 from .registry import query
@@ -233,3 +234,71 @@ def a11(spark, d):
         F.octet_length("text").cast("bigint").alias("size_bytes"),
     )
     return corpus.artifact_receipt(files)
+
+
+# --- JSON records: each query writes a table as JSON lines, reads it back under its schema and checks it ------------
+
+
+def through_json(df, schema):
+    path = work_folder(df.sparkSession, "records")
+    records.write_jsonl(df, path)
+    return records.read_records(df.sparkSession, path, schema, multi_line=False)
+
+
+@query(
+    "a5_registry_violations",
+    """WITH s AS (SELECT s_suppkey AS k, 's-' || s_suppkey AS key FROM supplier)
+    SELECT c AS "check", key FROM s JOIN (VALUES (1, 'identity_fields_required'), (2, 'source_url_not_https'), (3, 'unknown_rights_status'),
+      (4, 'approved_without_basis'), (5, 'approved_without_retrieval_time'), (6, 'approved_without_content_hash')) v(m, c) ON k % 9 = m
+    UNION ALL SELECT 'duplicate_document_id', 'doc-same' WHERE (SELECT count(*) FROM supplier WHERE s_suppkey % 9 = 7) > 1""",
+)
+def a5_registry(spark, d):
+    k = F.col("s_suppkey")
+    text = k.cast("string")
+    at = lambda m, bad, good: F.when(k % 9 == m, bad).otherwise(good)
+    rows = I.table(spark, d, "supplier").select(
+        F.concat(F.lit("s-"), text).alias("source_id"), at(7, F.lit("doc-same"), F.concat(F.lit("doc-"), text)).alias("document_id"),
+        at(1, F.lit(" "), F.lit("regulator")).alias("regulator"), F.lit("federal").alias("jurisdiction"), F.col("s_name").alias("title"),
+        F.lit("v1").alias("version"), F.concat(at(2, F.lit("http"), F.lit("https")), F.lit("://laws.example.org/"), text).alias("source_url"),
+        at(3, F.lit("maybe"), F.lit("approved")).alias("rights_status"), at(4, F.lit(""), F.lit("licence")).alias("rights_basis"),
+        at(5, F.lit("2026-01-01"), F.lit("2026-01-01T00:00:00Z")).alias("retrieved_at"), at(6, F.lit("x"), F.sha2(text, 256)).alias("content_sha256"),
+    )
+    return records.check_registry(through_json(rows, records.SOURCE_REGISTRY)).drop("detail")
+
+
+@query(
+    "a5_annotation_violations",
+    """SELECT c AS "check", 'c-' || event_id AS key FROM events JOIN (VALUES ('error', 'unknown_label'), ('view', 'time_without_zone'), ('click', 'identity_required')) v(t, c) ON event_type = t""",
+)
+def a5_annotations(spark, d):
+    kind = F.col("event_type")
+    rows = I.table(spark, d, "events").select(
+        F.concat(F.lit("c-"), F.col("event_id").cast("string")).alias("clause_id"),
+        F.when(kind == "click", " ").otherwise("ann").alias("annotator_id"), F.when(kind == "error", "unheard").otherwise("permission").alias("label"),
+        F.lit("g").alias("guideline_version"),
+        F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.when(kind == "view", F.lit("")).otherwise("Z")).alias("annotated_at"),
+        F.col("props").alias("notes"),
+    )
+    return records.check_annotations(through_json(rows, records.ANNOTATION)).drop("detail")
+
+
+@query(
+    "a6_labelled_clause_violations",
+    """WITH l AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'definition' ELSE lang END AS label, md5(text) AS id FROM documents)
+    SELECT 'unknown_label' AS "check", id AS key, 'row' AS detail FROM l WHERE label <> 'definition'
+    UNION ALL SELECT 'duplicate_clause_id', id, count(*)::VARCHAR FROM l GROUP BY id HAVING count(*) > 1""",
+)
+def a6(spark, d):
+    rows = I.table(spark, d, "documents").select(
+        F.md5("text").alias("clause_id"), F.col("source").alias("document_id"), F.lit("r").alias("regulator"), "text",
+        F.when(F.col("lang") == "en", "definition").otherwise(F.col("lang")).alias("label"),
+    )
+    return records.check_labelled_clauses(through_json(rows, records.LABELLED_CLAUSE))
+
+
+@query("a7_jsonl_round_trip", "SELECT md5(text) AS clause_id, source AS document_id, sha256(text) AS text_sha256 FROM documents")
+def a7(spark, d):
+    rows = I.table(spark, d, "documents").select(
+        F.md5("text").alias("clause_id"), F.col("source").alias("document_id"), F.lit("r").alias("regulator"), "text", F.lit("definition").alias("label")
+    )
+    return through_json(rows, records.LABELLED_CLAUSE).select("clause_id", "document_id", F.sha2("text", 256).alias("text_sha256"))

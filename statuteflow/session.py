@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the settings every job here relies on; cluster settings win where present."""
+def build_session(
+    master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None
+) -> SparkSession:
+    """A session with the settings every job here relies on. ``checkpoint_dir`` is for tests; a cluster names its own."""
     builder = (
         SparkSession.builder.appName("statuteflow")
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,6 +23,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return builder.getOrCreate()
 
 
