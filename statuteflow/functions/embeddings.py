@@ -1,7 +1,7 @@
 """Feature-hash embeddings.
 
-The hash (BLAKE2b) has no built-in, so each *distinct* token is hashed once in Arrow batches; everything that
-grows with the corpus (counting, normalising, assembling) is joins and aggregates on the JVM.
+An embedding depends on its own text alone, so it is a column: tokens are taken on the JVM, and Arrow batches of
+them are hashed (BLAKE2b has no built-in), counted and scaled as arrays. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,51 +18,26 @@ from . import fixed as V
 from .text import tokens
 
 
-@F.pandas_udf(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("sign", T.DoubleType())]))
-def _token_feature(token: pd.Series) -> pd.DataFrame:
-    digests = [blake2b(t.encode(), digest_size=8).digest() for t in token]
-    return pd.DataFrame(
-        {
-            "bucket": [int.from_bytes(d[:4], "big") % V.EMBEDDING_DIMENSIONS for d in digests],
-            "sign": [1.0 if d[4] & 1 else -1.0 for d in digests],
-        }
-    )
-
-
 @F.pandas_udf(T.ArrayType(T.FloatType()))
-def _dense(buckets: pd.Series, values: pd.Series) -> pd.Series:
-    out = []
-    for where, what in zip(buckets, values):
-        vector = np.zeros(V.EMBEDDING_DIMENSIONS)
-        if where is not None and len(where):
-            vector[np.asarray(where)] = what
-            vector = np.round(vector / np.sqrt(np.dot(vector, vector)), 8)
-        out.append(vector.astype(np.float32))
-    return pd.Series(out)
+def _feature_hash(words: pd.Series) -> pd.Series:
+    matrix = np.zeros((len(words), V.EMBEDDING_DIMENSIONS))
+    lengths = np.array([0 if w is None else len(w) for w in words])
+    if lengths.sum():
+        flat = np.concatenate([w for w, n in zip(words, lengths) if n])
+        codes, distinct = pd.factorize(flat)
+        digests = [blake2b(t.encode(), digest_size=8).digest() for t in distinct]
+        bucket = np.array([int.from_bytes(d[:4], "big") % V.EMBEDDING_DIMENSIONS for d in digests])
+        sign = np.array([1.0 if d[4] & 1 else -1.0 for d in digests])
+        np.add.at(matrix, (np.repeat(np.arange(len(words)), lengths), bucket[codes]), sign[codes])
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+    unit = np.round(matrix / np.where(norms > 0, norms, 1.0)[:, None], 8).astype(np.float32)
+    return pd.Series(list(unit))
+
+
+def feature_hash(text: Column | str) -> Column:
+    """Signed token counts of a text in 384 buckets, scaled to length one."""
+    return _feature_hash(tokens(text))
 
 
 def feature_hash_embedding(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) rows to (key, embedding): signed token counts in 384 buckets, scaled to length one.
-
-    Counts are taken per (key, token) before the token join, so a frequent token crosses the network once per
-    text. A text has at most 384 buckets, which bounds what is gathered per row.
-    """
-    counted = (
-        texts.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    )
-    features = (
-        counted.select("token").distinct().withColumn("feature", _token_feature("token")).select("token", "feature.*")
-    )
-    buckets = (
-        counted.join(features, "token")
-        .groupBy(key, "bucket")
-        .agg(F.sum(F.col("tf") * F.col("sign")).alias("value"))
-        .where(F.col("value") != 0)
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("bucket", "value")).alias("cells"))
-    )
-    return (
-        texts.select(key)
-        .join(buckets, key, "left")
-        .select(key, _dense(F.col("cells.bucket"), F.col("cells.value")).alias("embedding"))
-    )
+    return texts.select(key, feature_hash(text).alias("embedding"))

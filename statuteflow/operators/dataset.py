@@ -192,7 +192,7 @@ def near_duplicates(rows: DataFrame, threshold: float = V.NEAR_DUPLICATE) -> Dat
     frequency = exploded.groupBy("shingle").agg(F.count("*").alias("df"))
     # Sets in which every shingle is in the set's own prefix range; only shingles in two sets or more can pair.
     ordered = (
-        exploded.join(frequency, "shingle")
+        exploded.join(frequency.hint("merge"), "shingle")  # as long as the corpus: never broadcast
         .groupBy("set_id", "size")
         .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("o"))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fixed as V
-from ..functions.embeddings import feature_hash_embedding
+from ..functions.embeddings import feature_hash
 from ..functions.joins import join_checked
 from ..functions.text import section_content_hash, token_set, tokens
 
@@ -29,7 +29,7 @@ def index_sections(sections: DataFrame, index: DataFrame, model: str = V.EMBEDDI
         F.concat("heading", F.lit("\n"), "body").alias("searchable_text"),
         F.lit(model).alias("embedding_model_id"),
     )
-    return pending.join(feature_hash_embedding(pending, "section_id", "searchable_text"), "section_id")
+    return pending.withColumn("embedding", feature_hash("searchable_text"))
 
 
 def index_counts(sections: DataFrame, index: DataFrame, model: str = V.EMBEDDING_MODEL) -> DataFrame:

@@ -18,9 +18,14 @@ LABELERS = {"A": ("labeler-a", "model-a"), "B": ("labeler-b", "model-b")}
 THIRD = ("labeler-c", "model-c")
 
 
-def records(spark, d):
-    """The rule book's clauses with their holdout marks."""
-    return K.holdout_split(clauses(spark, d), SIZE, SEED)
+def stored(spark, d):
+    """The rule book's clauses as a stage table: a query reads them for the holdout and for every model."""
+    return stage_table(clauses(spark, d), "clauses")
+
+
+def records(c):
+    """Clauses with their holdout marks."""
+    return K.holdout_split(c, SIZE, SEED)
 
 
 def responses(c):
@@ -64,7 +69,7 @@ hum AS (SELECT clause_id, CASE WHEN position % 10 = 0 THEN 'obligation' ELSE str
 
 @query("k1_holdout_split", f"WITH {SILVER_SQL} SELECT clause_id, held_out, evaluation FROM rec")
 def k1(spark, d):
-    return records(spark, d).select("clause_id", "held_out", "evaluation")
+    return records(stored(spark, d)).select("clause_id", "held_out", "evaluation")
 
 
 @query(
@@ -130,8 +135,8 @@ def k11(spark, d):
     CASE WHEN accepted THEN NULL WHEN held_out THEN 'held_out' ELSE 'disagreement_or_low_confidence' END AS reason FROM dec""",
 )
 def k4(spark, d):
-    r = records(spark, d)
-    return K.consensus(r, responses(clauses(spark, d))).select("clause_id", "accepted", "label", "reason")
+    c = stored(spark, d)
+    return K.consensus(records(c), responses(c)).select("clause_id", "accepted", "label", "reason")
 
 
 @query(
@@ -140,12 +145,14 @@ def k4(spark, d):
     """ + ", ".join(f"count(*) FILTER (accepted AND label_a = '{x}') AS label_{x}" for x in V.LABELS) + ", count(*) FILTER (accepted) >= 500 AS training_eligible FROM dec",
 )
 def k4_report(spark, d):
-    return K.consensus_report(K.consensus(records(spark, d), responses(clauses(spark, d))))
+    c = stored(spark, d)
+    return K.consensus_report(K.consensus(records(c), responses(c)))
 
 
 @query("k5_adjudication_requests", f"WITH {SILVER_SQL} SELECT 'c-' || clause_id AS request_id, 'model-c' AS model_id FROM dec WHERE NOT held_out AND label_a <> label_b")
 def k5(spark, d):
-    decided = K.consensus(records(spark, d), responses(clauses(spark, d)))
+    c = stored(spark, d)
+    decided = K.consensus(records(c), responses(c))
     return K.adjudication_requests(decided, LABELERS, THIRD).select("request_id", "model_id")
 
 
@@ -157,8 +164,8 @@ def k5(spark, d):
     CASE WHEN wins THEN CASE WHEN label_c = label_a THEN 'A' ELSE 'B' END END AS supporting_slot FROM fin""",
 )
 def k6(spark, d):
-    c = clauses(spark, d)
-    return K.two_of_three(K.consensus(records(spark, d), responses(c)), third(c)).select("clause_id", "final_label", "verdict", "supporting_slot")
+    c = stored(spark, d)
+    return K.two_of_three(K.consensus(records(c), responses(c)), third(c)).select("clause_id", "final_label", "verdict", "supporting_slot")
 
 
 def human(r):
@@ -180,8 +187,8 @@ g AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FR
     FROM g JOIN a USING (slot) GROUP BY slot""",
 )
 def k7(spark, d):
-    r = records(spark, d)
-    accuracy, macro, _ = K.human_evaluation(human(r), responses(clauses(spark, d)))
+    c = stored(spark, d)
+    accuracy, macro, _ = K.human_evaluation(human(records(c)), responses(c))
     return accuracy.join(macro, "slot").select("slot", "examples", *[F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
 
 
@@ -190,7 +197,8 @@ def k7(spark, d):
     f"WITH {_SLOT_REPORT} SELECT slot, label, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, support FROM g",
 )
 def k7_classes(spark, d):
-    _, _, classes = K.human_evaluation(human(records(spark, d)), responses(clauses(spark, d)))
+    c = stored(spark, d)
+    _, _, classes = K.human_evaluation(human(records(c)), responses(c))
     return classes.select("slot", "label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
@@ -202,7 +210,8 @@ def k7_classes(spark, d):
       round(count(*) FILTER (hi AND ok) / count(*) FILTER (hi), 9) AS high_confidence_accuracy FROM x""",
 )
 def k7_agreement(spark, d):
-    out = K.human_agreement(human(records(spark, d)), responses(clauses(spark, d)))
+    c = stored(spark, d)
+    out = K.human_agreement(human(records(c)), responses(c))
     rates = ("consensus_coverage", "consensus_accuracy", "high_confidence_accuracy")
     return out.select("clauses", "consensus_count", "high_confidence_count", *[F.round(c, 9).alias(c) for c in rates])
 
@@ -214,7 +223,8 @@ def k7_agreement(spark, d):
     FROM hum JOIN ab USING (clause_id) WHERE label_a <> label_b OR label_a <> human_label OR label_b <> human_label""",
 )
 def k7_errors(spark, d):
-    return K.error_rows(human(records(spark, d)), responses(clauses(spark, d)))
+    c = stored(spark, d)
+    return K.error_rows(human(records(c)), responses(c))
 
 
 @query(
@@ -222,7 +232,7 @@ def k7_errors(spark, d):
     f"WITH {SILVER_SQL} SELECT count(*) FILTER (position % 11 <> 0) AS completed, count(*) AS target, 'in_progress' AS status FROM rec WHERE evaluation",
 )
 def k8(spark, d):
-    tasks = records(spark, d).where("evaluation").select(F.when(F.col("position") % 11 != 0, F.col("stratum")).alias("label"))
+    tasks = records(stored(spark, d)).where("evaluation").select(F.when(F.col("position") % 11 != 0, F.col("stratum")).alias("label"))
     return K.evaluation_progress(tasks)
 
 
@@ -251,7 +261,8 @@ def k9(spark, d):
 def k10(spark, d):
     from ..sources.corpus import artifact_receipt
 
-    rows = stage_table(K.error_rows(human(records(spark, d)), responses(clauses(spark, d))), "errors")
+    c = stored(spark, d)
+    rows = stage_table(K.error_rows(human(records(c)), responses(c)), "errors")
     line = F.concat_ws("|", "clause_id", "human_label", "label_a", "label_b")
     lines = rows.select(line.alias("path"), F.sha2(line, 256).alias("sha256"), F.octet_length(line).cast("bigint").alias("size_bytes"))
     return artifact_receipt(lines)

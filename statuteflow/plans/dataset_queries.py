@@ -350,7 +350,7 @@ resolved AS (SELECT *, CASE resolution WHEN 'agreement' THEN stratum WHEN 'adjud
 
 @query("j15_adjudicate", f"WITH {VOTES_SQL} SELECT clause_id, resolution, label, CASE WHEN resolution = 'adjudicated' THEN 'ann-c' END AS adjudicator FROM resolved")
 def j15(spark, d):
-    c = clauses(spark, d)
+    c = stage_table(clauses(spark, d), "clauses")
     return D.adjudicate(c, votes(c), decisions(c)).select("clause_id", "resolution", "label", "adjudicator")
 
 
@@ -361,7 +361,7 @@ def j15(spark, d):
     UNION ALL SELECT 'unused_decision', clause_id FROM resolved WHERE has_decision AND resolution = 'unresolved'""",
 )
 def j15_violations(spark, d):
-    c = clauses(spark, d)
+    c = stage_table(clauses(spark, d), "clauses")
     return D.adjudication_violations(c, votes(c), decisions(c))
 
 
@@ -430,7 +430,7 @@ def _audit_sql():
 
 @query("j16_audit_dataset", _audit_sql())
 def j16(spark, d):
-    c = clauses(spark, d)
+    c = stage_table(clauses(spark, d), "clauses")
     resolved = stage_table(D.adjudicate(c, votes(c), decisions(c)), "resolved")
     lineage = resolved.where("resolution <> 'unresolved'").select(
         "clause_id", "document_id", "regulator", "text", F.sha2("text", 256).alias("text_sha256"), "label",

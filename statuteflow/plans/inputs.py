@@ -143,8 +143,9 @@ def rule_book(spark, d) -> DataFrame:
     """Sections of a versioned, multi-tenant rule book.
 
     Each line item states one or two clauses about its part; the order number picks the template. A section is a
-    (supplier, year, brand, template); of several statements for one section the least is kept, so the
-    aggregate folds before the shuffle whatever the size of a section.
+    (supplier, year, brand, template); of several line items for one section the one with the least part and
+    quantity speaks. That choice is the least of one number, a hash aggregate that folds before the shuffle whatever
+    the size of a section; texts are written for the chosen rows only.
     """
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
@@ -153,11 +154,19 @@ def rule_book(spark, d) -> DataFrame:
         .join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select("s_suppkey", F.concat(F.lit("org-"), F.col("n_regionkey").cast("string")).alias("organization_id"))
     )
-    template = F.col("l_orderkey") % 6
-    name, supplier = F.col("p_name"), F.col("l_suppkey").cast("string")
+    supplier = F.col("l_suppkey").cast("string")
+    chosen = (
+        li.join(part.select("p_partkey", F.regexp_replace("p_brand", "[^0-9]", "").cast("int").alias("brand")), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(
+            "l_suppkey", (F.year("l_shipdate") - 1994).cast("bigint").alias("ordinal"), "brand",
+            (F.col("l_orderkey") % 6).cast("int").alias("template"),
+        )
+        .agg(F.min(F.col("l_partkey") * 64 + F.col("l_quantity").cast("bigint")).alias("code"))
+        .select("*", F.expr("code DIV 64").alias("p_partkey"), (F.col("code") % 64).cast("string").alias("days"))
+    )
+    name, template = F.col("p_name"), F.col("template")
     text = (
-        F.when(template == 0, F.concat(F.lit("Supplier "), supplier, F.lit(" must deliver "), name, F.lit(" within "),
-                                       F.col("l_quantity").cast("int").cast("string"), F.lit(" days.")))
+        F.when(template == 0, F.concat(F.lit("Supplier "), supplier, F.lit(" must deliver "), name, F.lit(" within "), F.col("days"), F.lit(" days.")))
         .when(template == 1, F.concat(F.lit("Contractors shall not resell "), name,
                                       F.lit(". Auditors are required to review "), name, F.lit(" quarterly.")))
         .when(template == 2, F.concat(F.lit("Operators may keep "), name, F.lit(" records.")))
@@ -165,31 +174,19 @@ def rule_book(spark, d) -> DataFrame:
         .when(template == 4, F.concat(F.lit("Operators shall retain "), name, F.lit(" records.")))
         .otherwise(F.concat(F.lit("This part describes "), name, F.lit(".")))
     )
-    rows = (
-        li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return (
+        chosen.join(part.select("p_partkey", "p_name", "p_type"), "p_partkey")
         .join(tenant, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             "organization_id",
             F.concat(F.lit("reg-"), supplier).alias("regulation_id"),
-            (F.year("l_shipdate") - 1994).cast("bigint").alias("ordinal"),
-            F.regexp_replace("p_brand", "[^0-9]", "").cast("int").alias("brand"),
-            template.cast("int").alias("template"),
-            F.struct(text.alias("body"), F.col("p_type").alias("heading")).alias("statement"),
-        )
-    )
-    return (
-        rows.groupBy("organization_id", "regulation_id", "ordinal", "brand", "template")
-        .agg(F.min("statement").alias("s"))
-        .select(
-            "organization_id",
-            "regulation_id",
-            F.concat_ws(":v", "regulation_id", F.col("ordinal").cast("string")).alias("version_id"),
+            F.concat(F.lit("reg-"), supplier, F.lit(":v"), F.col("ordinal").cast("string")).alias("version_id"),
             "ordinal",
-            F.concat_ws(".", F.col("brand").cast("string"), F.col("template").cast("string")).alias("section_key"),
-            F.col("s.heading").alias("heading"),
-            F.col("s.body").alias("body"),
+            F.concat_ws(".", F.col("brand").cast("string"), template.cast("string")).alias("section_key"),
+            F.col("p_type").alias("heading"),
+            text.alias("body"),
             (F.col("brand") + 1).cast("int").alias("page"),
-            (F.col("brand") * 6 + F.col("template")).cast("int").alias("position"),
+            (F.col("brand") * 6 + template).cast("int").alias("position"),
         )
         .withColumn("section_id", F.concat_ws("/", "version_id", "section_key"))
     )
@@ -199,7 +196,7 @@ RULE_BOOK_SQL = """
 statements AS (
   SELECT 'org-' || n_regionkey AS organization_id, 'reg-' || l_suppkey AS regulation_id,
          (year(l_shipdate) - 1994)::BIGINT AS ordinal, regexp_replace(p_brand, '[^0-9]', '', 'g')::INT AS brand,
-         (l_orderkey % 6)::INT AS template, p_type AS heading,
+         (l_orderkey % 6)::INT AS template, p_type AS heading, l_partkey * 64 + l_quantity::BIGINT AS code,
          CASE l_orderkey % 6
            WHEN 0 THEN 'Supplier ' || l_suppkey || ' must deliver ' || p_name || ' within ' || l_quantity::INT || ' days.'
            WHEN 1 THEN 'Contractors shall not resell ' || p_name || '. Auditors are required to review ' || p_name || ' quarterly.'
@@ -211,7 +208,7 @@ statements AS (
   JOIN nation ON s_nationkey = n_nationkey),
 ranked_statements AS (
   SELECT *, row_number() OVER (PARTITION BY organization_id, regulation_id, ordinal, brand, template
-                               ORDER BY body, heading) AS rn FROM statements),
+                               ORDER BY code) AS rn FROM statements),
 rsections AS (
   SELECT organization_id, regulation_id, regulation_id || ':v' || ordinal AS version_id, ordinal,
          brand || '.' || template AS section_key, heading, body, (brand + 1)::INT AS page,

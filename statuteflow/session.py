@@ -21,6 +21,8 @@ def build_session(
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", "12g")  # driver and executors are one process here
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if checkpoint_dir:
