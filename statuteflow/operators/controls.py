@@ -52,53 +52,63 @@ def _rank_in_task(sources: DataFrame, targets: DataFrame, limit: int) -> DataFra
     Overlaps of a slice of obligations with the catalogue of their organization are one matrix product.
     """
     catalogue = targets.orderBy("organization_id", "control_version_id").toPandas()
-    by_org = {}
+    by_org, listed = {}, []
     for org, rows in catalogue.groupby("organization_id", sort=False):
         vocabulary = {}
         for terms in rows["terms"]:
             for t in terms:
                 vocabulary.setdefault(t, len(vocabulary))
         incidence = np.zeros((len(vocabulary), len(rows)), dtype=np.float32)
-        for c, terms in enumerate(rows["terms"]):
+        for c, (cid, name, terms) in enumerate(zip(rows["control_version_id"], rows["control_key"], rows["terms"])):
             incidence[[vocabulary[t] for t in terms], c] = 1.0
-        controls = list(zip(rows["control_version_id"], rows["control_key"], [list(t) for t in rows["terms"]]))
-        by_org[org] = (vocabulary, incidence, np.array([len(t) for t in rows["terms"]]), controls)
-    entry = T.StructType(
+            listed.append((org, c, cid, name, list(terms)))
+        by_org[org] = (vocabulary, incidence, np.array([len(t) for t in rows["terms"]]))
+    found = T.StructType(
         [
-            T.StructField("negative", T.DoubleType()), T.StructField("control_version_id", T.StringType()),
-            T.StructField("control_key", T.StringType()), T.StructField("t", T.ArrayType(T.StringType())),
+            *sources.schema.fields,
+            T.StructField("negative", T.ArrayType(T.DoubleType())),
+            T.StructField("pick", T.ArrayType(T.IntegerType())),
         ]
     )
-    schema = T.StructType([*sources.schema.fields, T.StructField("top", T.ArrayType(entry))])
-    shared = sources.sparkSession.sparkContext.broadcast(by_org)  # sent once per executor, bounded above
+    spark = sources.sparkSession
+    shared = spark.sparkContext.broadcast(by_org)  # sent once per executor, bounded above
 
     def run(batches):
+        nothing = (np.empty(0), np.empty(0, dtype=np.int32))
         for batch in batches:
-            out = np.empty(len(batch), dtype=object)
+            out = [nothing] * len(batch)
             orgs, terms = batch["organization_id"].to_numpy(), batch["terms"].to_numpy()
             for org in pd.unique(batch["organization_id"]):
-                at = np.flatnonzero(orgs == org)
                 if org not in shared.value:
-                    for i in at:
-                        out[i] = []
                     continue
-                vocabulary, incidence, sizes, controls = shared.value[org]
+                at = np.flatnonzero(orgs == org)
+                vocabulary, incidence, sizes = shared.value[org]
                 step = max(1, 4_000_000 // max(len(vocabulary), len(sizes)))
                 for start in range(0, len(at), step):
                     part = at[start : start + step]
+                    held = [[vocabulary[t] for t in terms[i] if t in vocabulary] for i in part]
+                    counts = np.array([len(h) for h in held])
                     present = np.zeros((len(part), len(vocabulary)), dtype=np.float32)
-                    for r, i in enumerate(part):
-                        present[r, [vocabulary[t] for t in terms[i] if t in vocabulary]] = 1.0
+                    present[np.repeat(np.arange(len(part)), counts), np.array([c for h in held for c in h], dtype=int)] = 1.0
                     overlap = (present @ incidence).astype(np.float64)
                     lengths = np.array([len(terms[i]) for i in part])[:, None]
                     score = -(overlap / np.maximum(lengths + sizes[None, :] - overlap, 1))
                     # Controls are in id order, so a stable sort breaks ties by id.
-                    best = np.argsort(score, axis=1, kind="stable")[:, :limit]
+                    best = np.argsort(score, axis=1, kind="stable")[:, :limit].astype(np.int32)
+                    value = np.take_along_axis(score, best, axis=1)
                     for r, i in enumerate(part):
-                        out[i] = [(float(score[r, c]), *controls[c]) for c in best[r] if score[r, c] < 0]
-            yield batch.assign(top=out)
+                        n = int((value[r] < 0).sum())
+                        out[i] = (value[r, :n], best[r, :n])
+            yield batch.assign(negative=[o[0] for o in out], pick=[o[1] for o in out])
 
-    return sources.mapInPandas(run, schema)
+    names = spark.createDataFrame(
+        listed, "organization_id string, pick int, control_version_id string, control_key string, t array<string>"
+    )
+    ranked = sources.mapInPandas(run, found).select(
+        "organization_id", "obligation_id", "terms", (F.get("negative", F.lit(1)) - F.get("negative", F.lit(0))).alias("gap"),
+        F.posexplode(F.arrays_zip("negative", "pick")).alias("p", "c"),
+    ).select("organization_id", "obligation_id", "terms", "gap", "p", "c.negative", "c.pick")
+    return ranked.join(F.broadcast(names), ["organization_id", "pick"])  # as long as the counted catalogue
 
 
 def _rank_by_block(sources: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
@@ -130,7 +140,10 @@ def _rank_by_block(sources: DataFrame, targets: DataFrame, limit: int) -> DataFr
         top = top.groupBy(*key).agg(F.first("terms").alias("terms"), F.flatten(F.collect_list("top")).alias("all")).select(
             *key, "terms", best(F.col("all")).alias("top")
         )
-    return top
+    gap = F.get("top", F.lit(1))["negative"] - F.get("top", F.lit(0))["negative"]
+    return top.select(*key, "terms", gap.alias("gap"), F.posexplode("top").alias("p", "c")).select(
+        *key, "terms", "gap", "p", "c.negative", "c.control_version_id", "c.control_key", "c.t"
+    )
 
 
 def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V.MAPPING_LIMIT) -> DataFrame:
@@ -150,20 +163,17 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
     )
     held = targets.limit(CATALOGUE_IN_TASK + 1).count()
     rank = _rank_in_task if held <= CATALOGUE_IN_TASK else _rank_by_block
-    top = rank(sources, targets, limit)
-    raw = -F.col("c.negative")
-    gap = F.get("top", F.lit(1))["negative"] - F.get("top", F.lit(0))["negative"]
+    ranked = rank(sources, targets, limit).withColumn("overlap", F.array_intersect("terms", "t"))
+    raw, overlap = -F.col("negative"), F.col("overlap")
     stopwords = F.array(*[F.lit(w) for w in V.EXPLANATION_STOPWORDS])
-    overlap = F.col("overlap")
-    ranked = top.select(*key, "terms", gap.alias("gap"), F.posexplode("top").alias("p", "c"))
-    return ranked.withColumn("overlap", F.array_intersect("terms", "c.t")).select(
-        *key, "c.control_version_id", "c.control_key", (F.col("p") + 1).alias("rank"), F.round(raw, 3).alias("score"),
+    return ranked.select(
+        *key, "control_version_id", "control_key", (F.col("p") + 1).alias("rank"), F.round(raw, 3).alias("score"),
         F.when((F.col("gap") < V.AMBIGUITY_GAP) & (F.col("p") < 2), "ambiguous")
         .when(raw >= V.SUGGESTED_MINIMUM, "suggested")
         .otherwise("needs_review").alias("status"),
         F.size(overlap).alias("raw_overlap_count"),
         F.sort_array(F.array_except(overlap, stopwords)).alias("matched_terms"),
-        F.sha2(F.concat_ws(":", "obligation_id", "c.control_version_id"), 256).alias("mapping_id"),
+        F.sha2(F.concat_ws(":", "obligation_id", "control_version_id"), 256).alias("mapping_id"),
         F.lit(V.MAPPING_METHOD).alias("mapping_method"),
     )
 

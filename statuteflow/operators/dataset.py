@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions.ordered import fingerprint_columns, first_per_key
 from ..functions.text import document_bucket, let, sentences, shingles, tokens
+from ..session import stage_table
 from ..sources.records import violations
 
 
@@ -187,7 +188,8 @@ def near_duplicates(rows: DataFrame, threshold: float = V.NEAR_DUPLICATE) -> Dat
     first ``size - ceil(threshold * size) + 1`` shingles. Length and position bounds are part of the join condition,
     so hopeless candidates are dropped inside the join; what survives is verified on the whole sets.
     """
-    sets = shingle_sets(rows)
+    # Written once: the sets are read for frequencies, for prefixes and for both sides of the verification.
+    sets = stage_table(shingle_sets(rows), "shingle-sets")
     exploded = sets.select("set_id", "size", F.explode("shingles").alias("shingle"))
     frequency = exploded.groupBy("shingle").agg(F.count("*").alias("df"))
     # Sets in which every shingle is in the set's own prefix range; only shingles in two sets or more can pair.
