@@ -2,38 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.ordered import first_per_key
 from ..functions.scoring import calibrate
-from ..functions.text import deadline, modality, normalize_ws, obligation_fingerprint, sentences
+from ..functions.text import deadline, let, modality, normalize_ws, obligation_fingerprint, sentences
 
 
-def extract_obligations(sections: DataFrame) -> DataFrame:
-    """One row per binding statement: keeps the section's columns but ``body``, adds sentence, subject, action.
+def _statements(body: Column) -> Column:
+    """Array of (evidence, subject, modality, action) of a text.
 
     Sentences without a modal verb are dropped before the three captures run; the filter cannot lose a match
     because every modal form contains one of its words.
     """
-    keep = [c for c in sections.columns if c != "body"]
-    split = sections.select(*keep, F.explode(sentences("body")).alias("evidence")).where(
-        F.col("evidence").rlike(r"(?i)must|shall|required\s+to")
-    )
-    capture = lambda i: F.regexp_extract_all("evidence", F.lit(V.MODALITY), F.lit(i))
-    found = split.withColumn(
-        "m", F.explode(F.arrays_zip(capture(1).alias("subject"), capture(2).alias("verb"), capture(3).alias("action")))
-    )
-    return found.select(
-        *keep,
-        "evidence",
-        F.regexp_replace(normalize_ws("m.subject"), ",+$", "").alias("subject"),
-        modality("m.verb").alias("modality"),
-        normalize_ws("m.action").alias("action"),
+
+    def captured(sentence: Column) -> Column:
+        capture = lambda i: F.regexp_extract_all(sentence, F.lit(V.MODALITY), F.lit(i))
+        return F.transform(
+            F.arrays_zip(capture(1).alias("subject"), capture(2).alias("verb"), capture(3).alias("action")),
+            lambda m: F.struct(
+                sentence.alias("evidence"), F.regexp_replace(normalize_ws(m["subject"]), ",+$", "").alias("subject"),
+                modality(m["verb"]).alias("modality"), normalize_ws(m["action"]).alias("action"),
+            ),
+        )
+
+    binding = F.filter(sentences(body), lambda s: s.rlike(r"(?i)must|shall|required\s+to"))
+    return F.flatten(F.transform(binding, captured))
+
+
+def _first_of_each(statements: Column) -> Column:
+    """Keep the first statement of each (modality, evidence without case)."""
+    key = lambda x: F.concat_ws("|", x["modality"], normalize_ws(F.lower(x["evidence"])))
+    return let(
+        statements,
+        lambda all_: let(
+            F.transform(all_, key), lambda keys: F.filter(all_, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        ),
     )
 
 
+def extract_obligations(sections: DataFrame, once_per_section: bool = False) -> DataFrame:
+    """One row per binding statement: keeps the section's columns but ``body``, adds evidence, subject, modality, action.
+
+    With ``once_per_section`` a statement that a section repeats is kept once. That is settled inside the row.
+    """
+    keep = [c for c in sections.columns if c != "body"]
+    body = F.col("body")
+    # The cheap test on the whole text comes first: most sections of a rule book bind nobody.
+    found = sections.where(body.rlike(r"(?i)must|shall|required\s+to"))
+    rows = _first_of_each(_statements(body)) if once_per_section else _statements(body)
+    return found.select(*keep, F.explode(rows).alias("s")).select(*keep, "s.*")
+
+
 def score_obligations(candidates: DataFrame) -> DataFrame:
     """Add deadline, rule ids, raw and calibrated confidence, routing and fingerprint."""
     s = V.RULE_SCORES
@@ -66,11 +87,13 @@ def score_obligations(candidates: DataFrame) -> DataFrame:
 
 
 def obligations_of(sections: DataFrame) -> DataFrame:
-    """Scored obligations, one per (version, fingerprint): a repeated statement is kept once."""
-    scored = score_obligations(extract_obligations(sections))
-    return first_per_key(scored, ["version_id", "fingerprint"], ["evidence", "subject", "action"]).withColumn(
-        "obligation_id", F.sha2(F.concat_ws(":", "version_id", "fingerprint"), 256)
-    )
+    """Scored obligations, one per (version, fingerprint).
+
+    The fingerprint holds the section key, which is unique in a version, so equal fingerprints can only come from
+    one section: repeats are dropped inside the section's row, and nothing is shuffled.
+    """
+    scored = score_obligations(extract_obligations(sections, once_per_section=True))
+    return scored.withColumn("obligation_id", F.sha2(F.concat_ws(":", "version_id", "fingerprint"), 256))
 
 
 def incremental_extraction(sections: DataFrame, version_rows: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:

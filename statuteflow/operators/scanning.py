@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions.ordered import running_sum
 
-# Patterns for corpora: assignments in the middle of a line and personal data.
-CORPUS_PATTERNS = (
-    ("inline_token", r"(?i)\b(?:token|secret|password|api_key)\s*[=:]\s*\"?[0-9a-f]{32,}\"?"),
-    ("email_address", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-    ("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
-)
-
-
 def _placeholder(value: Column) -> Column:
     v = F.lower(F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", ""))
     return (
@@ -27,7 +19,7 @@ def _placeholder(value: Column) -> Column:
     )
 
 
-def scan_text(texts: DataFrame, key: str, text: str, extra: tuple = CORPUS_PATTERNS) -> DataFrame:
+def scan_text(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, category, fingerprint) for every match.
 
     Patterns stay inside a line, so texts are split first; a line is then tried against all patterns in one
@@ -43,7 +35,7 @@ def scan_text(texts: DataFrame, key: str, text: str, extra: tuple = CORPUS_PATTE
         return F.transform(matches, lambda m: F.struct(F.lit(category).alias("category"), m.alias("evidence")))
 
     groups = [
-        named(category, F.regexp_extract_all("body", F.lit(pattern), F.lit(0))) for category, pattern in (*V.SECRET_PATTERNS, *extra)
+        named(category, F.regexp_extract_all("body", F.lit(pattern), F.lit(0))) for category, pattern in V.SECRET_PATTERNS
     ]
     groups.append(named("credential_assignment", assigned))
     found = lines.select("path", (F.col("p") + 1).alias("line"), F.explode(F.concat(*groups)).alias("f"))

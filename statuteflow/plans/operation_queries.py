@@ -310,18 +310,35 @@ def l13(spark, d):
 
 # --- M ----------------------------------------------------------------------------------------------------------
 
-_SCAN_PATTERNS = (*V.SECRET_PATTERNS, *N.CORPUS_PATTERNS)
+_SCAN_PATTERNS = V.SECRET_PATTERNS
 _FOUND = " UNION ALL ".join(
     f"SELECT path, line, '{name}' AS category, unnest(regexp_extract_all(body, {S.lit(pattern)})) AS evidence FROM lines" for name, pattern in _SCAN_PATTERNS
 )
-SCAN_SQL = f"""lines AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+SCAN_SQL = f"""planted AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'ghp_' || substr(sha256(text), 1, 36) WHEN 'fr' THEN 'Authorization: Bearer ' || substr(sha256(text), 1, 30)
+    WHEN 'es' THEN 'key AKIA' || upper(substr(sha256(text), 1, 16)) || ' end' ELSE 'export API_TOKEN="' || CASE WHEN doc_id % 2 = 0 THEN 'changeme' ELSE substr(sha256(text), 1, 20) END || '"' END
+    || chr(10) || replace(text, 'token = "', chr(10) || 'SERVICE_TOKEN = "') AS text FROM documents),
+lines AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM planted),
 asg AS (SELECT path, line, regexp_extract(body, {S.lit(V.SECRET_ASSIGNMENT)}, 1) AS n, regexp_extract(body, {S.lit(V.SECRET_ASSIGNMENT)}, 2) AS v FROM lines),
 found AS ({_FOUND} UNION ALL SELECT path, line, 'credential_assignment', n || '=' || v FROM asg WHERE n <> '' AND lower(v) NOT IN {S.in_list(V.PLACEHOLDER_VALUES)}),
 scan AS (SELECT path, line::INT AS line, category, sha256('{V.SCAN_VERSION}' || chr(0) || path || chr(0) || category || chr(0) || evidence) AS fingerprint FROM found)"""
 
 
+def planted(spark, d):
+    """Documents with a made-up credential in front; the tokens they quote in running text move to a line of their own."""
+    digest = F.sha2("text", 256)
+    value = F.when(F.col("doc_id") % 2 == 0, "changeme").otherwise(F.substring(digest, 1, 20))
+    first = (
+        F.when(F.col("lang") == "de", F.concat(F.lit("ghp_"), F.substring(digest, 1, 36)))
+        .when(F.col("lang") == "fr", F.concat(F.lit("Authorization: Bearer "), F.substring(digest, 1, 30)))
+        .when(F.col("lang") == "es", F.concat(F.lit("key AKIA"), F.upper(F.substring(digest, 1, 16)), F.lit(" end")))
+        .otherwise(F.concat(F.lit('export API_TOKEN="'), value, F.lit('"')))
+    )
+    moved = F.replace("text", F.lit('token = "'), F.lit('\nSERVICE_TOKEN = "'))
+    return I.table(spark, d, "documents").select("doc_id", F.concat(first, F.lit("\n"), moved).alias("text"))
+
+
 def scan(spark, d):
-    return N.scan_text(I.table(spark, d, "documents"), "doc_id", "text")
+    return N.scan_text(planted(spark, d), "doc_id", "text")
 
 
 @query("m1_scan_text", f"WITH {SCAN_SQL} SELECT path, line, category, fingerprint FROM scan")
@@ -346,10 +363,10 @@ def m2(spark, d):
 
 @query(
     "m3_new_findings",
-    f"""WITH {SCAN_SQL}, known AS (SELECT fingerprint, count(*) AS k FROM scan WHERE category = 'email_address' AND line % 2 = 0 GROUP BY 1),
+    f"""WITH {SCAN_SQL}, known AS (SELECT fingerprint, count(*) AS k FROM scan WHERE category = 'github_token' AND line % 2 = 1 GROUP BY 1),
     r AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY line, path, category) AS n FROM scan)
     SELECT path, line, category, fingerprint FROM r LEFT JOIN known USING (fingerprint) WHERE n > coalesce(k, 0)""",
 )
 def m3(spark, d):
     found = scan(spark, d)
-    return N.new_findings(found, found.where("category = 'email_address' AND line % 2 = 0"))
+    return N.new_findings(found, found.where("category = 'github_token' AND line % 2 = 1"))
