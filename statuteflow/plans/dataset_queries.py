@@ -424,8 +424,12 @@ def _audit_sql():
     eq AS (SELECT count(*) AS equal_set_groups FROM (SELECT array_to_string(list_sort({shingles}), '|') AS h FROM ok GROUP BY 1 HAVING min(document_id) <> max(document_id))),
     bl AS (SELECT count(*) AS broken_lineage FROM ok WHERE position % 101 = 0)
     SELECT facts.*, vt.*, exact_duplicate_groups, equal_set_groups, broken_lineage, 0::BIGINT AS near_duplicate_pairs, 'blocked' AS status,
-      'cross_document_exact_duplicates,cross_document_near_duplicates,' || CASE WHEN least_class < 30 THEN 'insufficient_examples_per_class,' ELSE '' END
-      || 'invalid_lineage,unresolved_annotations' AS failures FROM facts, vt, ex, eq, bl"""
+      concat_ws(',', CASE WHEN exact_duplicate_groups > 0 THEN 'cross_document_exact_duplicates' END,
+        CASE WHEN equal_set_groups > 0 THEN 'cross_document_near_duplicates' END, CASE WHEN documents < 25 THEN 'insufficient_documents' END,
+        CASE WHEN examples < 500 THEN 'insufficient_examples' END, CASE WHEN least_class < 30 THEN 'insufficient_examples_per_class' END,
+        CASE WHEN regulators < 3 THEN 'insufficient_regulators' END, CASE WHEN least(train, validation, test) = 0 THEN 'invalid_document_split' END,
+        CASE WHEN broken_lineage > 0 THEN 'invalid_lineage' END, CASE WHEN unresolved_count > 0 THEN 'unresolved_annotations' END) AS failures
+    FROM facts, vt, ex, eq, bl"""
 
 
 @query("j16_audit_dataset", _audit_sql())
