@@ -29,3 +29,9 @@ def join_checked(
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row result (an aggregate without keys) to every row, as one scalar subquery."""
+    packed = row.select(F.struct(*row.columns).alias("__row")).scalar()
+    return df.withColumn("__row", packed).select(*df.columns, "__row.*")

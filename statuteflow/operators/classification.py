@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions.joins import attach_row
 from ..functions.ordered import fingerprint_columns
 from ..functions.scoring import temperature_scale, top_label
 from ..functions.text import clause_hash, document_bucket, normalize_ws, sentences
@@ -174,7 +175,7 @@ def train_baseline(train: DataFrame, iterations: int = 100) -> PipelineModel:
     """Fit the baseline with balanced class weights."""
     counts = train.groupBy("label").agg(F.count("*").alias("label_count"))  # at most seven rows
     total = train.agg(F.count("*").alias("total"), F.count_distinct("label").alias("labels"))
-    weighted = train.join(F.broadcast(counts), "label").join(F.broadcast(total)).withColumn(
+    weighted = attach_row(train.join(F.broadcast(counts), "label"), total).withColumn(
         "class_weight", F.col("total") / (F.col("labels") * F.col("label_count"))
     )
     return baseline_pipeline(iterations=iterations).fit(weighted)

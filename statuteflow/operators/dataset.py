@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions.joins import attach_row
 from ..functions.ordered import fingerprint_columns, first_per_key
 from ..functions.text import document_bucket, let, sentences, shingles, tokens
 from ..session import stage_table
@@ -65,7 +66,7 @@ def execution_receipt(candidates: DataFrame, sections: DataFrame, registry: Data
         *fingerprint_columns(F.col("d"), "candidate_fingerprint")
     ).withColumnRenamed("rows", "candidates")
     count = sections.agg(F.count("*").alias("sections"))
-    return cover.join(F.broadcast(queue)).join(F.broadcast(count)).withColumn(  # three single rows
+    return attach_row(attach_row(cover, queue), count).withColumn(
         "status",
         F.when((F.col("documents_without_sections") + F.col("sections_without_approval")) > 0, "coverage_mismatch")
         .when(F.col("candidates") == 0, "no_candidates")
@@ -271,7 +272,7 @@ def audit_dataset(resolved: DataFrame, lineage: DataFrame, seed: str = "clause-s
     equal = equal_set_groups(rows).agg(F.count("*").alias("equal_set_groups"))
     one = facts
     for part in (votes, broken, exact, near, equal):
-        one = one.join(F.broadcast(part))  # single rows
+        one = attach_row(one, part)
     p = V.PROMOTION
     rules = {
         "insufficient_examples": F.col("examples") < p["examples"],

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed as V
+from ..functions.joins import attach_row
 from ..functions.ordered import running_sum
 
 
@@ -120,7 +121,7 @@ def abstention_threshold(predictions: DataFrame, minimum_covered_accuracy: float
     ok = (F.col("correct") / F.col("selected") >= minimum_covered_accuracy) & (
         F.col("selected") / F.col("total") >= minimum_coverage
     )
-    return above.join(F.broadcast(total)).agg(F.min(F.when(ok, F.col("score"))).alias("threshold"))  # one row: the total
+    return attach_row(above, total).agg(F.min(F.when(ok, F.col("score"))).alias("threshold"))
 
 
 def precision_threshold(observations: DataFrame, minimum_precision: float) -> DataFrame:

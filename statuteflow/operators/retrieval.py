@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed as V
 from ..functions.embeddings import feature_hash
-from ..functions.joins import join_checked
+from ..functions.joins import attach_row, join_checked
 from ..functions.text import section_content_hash, token_set, tokens
 
 # Queries scored in one pass over the index. More queries take more passes; no query is dropped.
@@ -196,7 +196,7 @@ def lexical_matches(index: DataFrame, queries: DataFrame, depth: int = V.RRF_DEP
         F.min(F.struct("df", "token")).alias("least"), F.count_if(F.col("df").isNull()).alias("absent")
     ).where("absent = 0").select("query_id", F.col("least.token").alias("token"))
     candidates = postings.join(rarest, "token").select("query_id", "section_id")
-    idf = frequency.join(F.broadcast(corpus)).select(  # one row: the number of sections
+    idf = attach_row(frequency, corpus).select(
         "token", F.log(1 + F.col("n") / F.col("df")).alias("idf")
     )
     hits = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed as V
-from ..functions.joins import join_checked
+from ..functions.joins import attach_row, join_checked
 from ..functions.ordered import fingerprint_columns
 from ..functions.text import aware_timestamp, hash_bucket, sampling_stratum, stable_rank, strip
 from ..sources.records import violations
@@ -100,7 +100,7 @@ def queue_verification(candidates: DataFrame, receipts: DataFrame) -> DataFrame:
     now = candidates.select(F.sha2(F.concat_ws(":", "clause_id", "text_sha256"), 256).alias("d")).agg(
         *fingerprint_columns(F.col("d"), "actual_fingerprint")
     )
-    return receipts.join(F.broadcast(now)).select(  # one row
+    return attach_row(receipts, now).select(
         "receipt_id",
         F.when(F.col("status") != "candidate_queue_ready", "queue_not_ready")
         .when(F.col("candidates") != F.col("rows"), "count_mismatch")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions.joins import attach_row
 from ..functions.text import sampling_stratum
 from ..operators import consensus as K
 from ..operators import dataset as D
@@ -174,7 +175,7 @@ def j7(spark, d):
     found = stage_table(candidates(spark, d), "candidates")
     known = D.execution_receipt(found, candidate_sections(spark, d), registry(spark, d)).select("candidates", "candidate_fingerprint")
     k = F.col("n_nationkey") % 4
-    receipts = I.table(spark, d, "nation").select(F.col("n_nationkey").alias("receipt_id")).join(F.broadcast(known)).select(  # one row
+    receipts = attach_row(I.table(spark, d, "nation").select(F.col("n_nationkey").alias("receipt_id")), known).select(
         "receipt_id", F.when(F.col("receipt_id") % 4 == 1, "draft").otherwise("candidate_queue_ready").alias("status"),
         (F.col("candidates") + F.when(F.col("receipt_id") % 4 == 2, 1).otherwise(0)).alias("candidates"),
         F.when(F.col("receipt_id") % 4 == 3, "x").otherwise(F.col("candidate_fingerprint")).alias("candidate_fingerprint"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions.joins import attach_row
 from ..functions.text import sampling_stratum
 from ..operators import classification as K
 from ..operators import metrics as M
@@ -65,7 +66,7 @@ def i5(spark, d):
 def i5_summary(spark, d):
     p = predictions(spark, d)
     macro = M.macro_report(M.class_report(p)).drop("least_f1")
-    out = M.accuracy_report(p, 0.6).join(F.broadcast(macro))  # single rows
+    out = attach_row(M.accuracy_report(p, 0.6), macro)
     return out.select("examples", *[F.round(c, 9).alias(c) for c in ("macro_f1", "weighted_f1", "accuracy", "coverage", "covered_accuracy")])
 
 
