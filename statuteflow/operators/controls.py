@@ -46,12 +46,12 @@ def latest_control_versions(control_versions: DataFrame, inactive: DataFrame | N
     return latest if inactive is None else latest.join(inactive.select(*key), key, "left_anti")
 
 
-def _rank_in_task(sources: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+def _rank_in_task(sources: DataFrame, catalogue: pd.DataFrame, limit: int) -> DataFrame:
     """Best controls per obligation with the catalogue sent along: a map over Arrow batches.
 
     Overlaps of a slice of obligations with the catalogue of their organization are one matrix product.
     """
-    catalogue = targets.orderBy("organization_id", "control_version_id").toPandas()
+    catalogue = catalogue.sort_values(["organization_id", "control_version_id"])
     by_org, listed = {}, []
     for org, rows in catalogue.groupby("organization_id", sort=False):
         vocabulary = {}
@@ -161,9 +161,13 @@ def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V
         "organization_id", "control_version_id", "control_key",
         token_set(F.concat_ws(" ", "title", "description", "evidence_requirement")).alias("terms"),
     )
-    held = targets.limit(CATALOGUE_IN_TASK + 1).count()
-    rank = _rank_in_task if held <= CATALOGUE_IN_TASK else _rank_by_block
-    ranked = rank(sources, targets, limit).withColumn("overlap", F.array_intersect("terms", "t"))
+    # One row more than the bound is read, so that a catalogue beyond it is noticed and takes the other way.
+    catalogue = targets.limit(CATALOGUE_IN_TASK + 1).toPandas()
+    if len(catalogue) <= CATALOGUE_IN_TASK:
+        ranked = _rank_in_task(sources, catalogue, limit)
+    else:
+        ranked = _rank_by_block(sources, targets, limit)
+    ranked = ranked.withColumn("overlap", F.array_intersect("terms", "t"))
     raw, overlap = -F.col("negative"), F.col("overlap")
     stopwords = F.array(*[F.lit(w) for w in V.EXPLANATION_STOPWORDS])
     return ranked.select(
