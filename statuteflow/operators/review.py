@@ -14,60 +14,61 @@ DECISION_OUTCOME = (
 )
 
 
+def checked_requests(requests: DataFrame) -> DataFrame:
+    """Requests with the verdict of the rules that need no state."""
+    return requests.select(
+        "organization_id", "obligation_id", "mapping_id", "decision", "idempotency_key", "requested_at",
+        F.col("expected_revision").cast("int").alias("expected"),
+        F.when(~F.col("decision").isin(*V.REVIEW_DECISIONS), "unsupported_decision")
+        .when((F.col("decision") == "confirmed_unmapped") & F.col("mapping_id").isNotNull(), "must_target_obligation")
+        .when((F.col("decision") != "confirmed_unmapped") & F.col("mapping_id").isNull(), "mapping_required")
+        .alias("invalid"),
+    )
+
+
+def decision_step(state, row):
+    """(state', output row) of one request. The state of an obligation: revision per mapping, and the keys used."""
+    present = lambda v: None if v is None or v != v else v
+    revisions, used = state if state is not None else ({}, {})
+    key, target, invalid = row["idempotency_key"], present(row["mapping_id"]), present(row["invalid"])
+    outcome, revision, supersedes = None, None, None
+    if invalid == "unsupported_decision":
+        outcome = invalid
+    elif key in used:
+        outcome = "replayed" if used[key][0] == target else "key_conflict"
+        revision = used[key][1] if outcome == "replayed" else None
+    elif invalid:
+        outcome = invalid
+    else:
+        # A decision about the obligation itself is measured against every decision of that obligation.
+        slot = target or ""
+        current = revisions.get(slot, 0) if target is not None else max(revisions.values(), default=0)
+        if int(row["expected"]) != current:
+            outcome = "stale_revision"
+        else:
+            outcome, revision, supersedes = "appended", current + 1, current or None
+            revisions[slot] = current + 1
+            used[key] = (target, current + 1)
+    return (revisions, used), (
+        row["organization_id"], row["obligation_id"], target, row["decision"], key, row["requested_at"], outcome, revision, supersedes
+    )
+
+
 def apply_decisions(requests: DataFrame) -> DataFrame:
     """Outcome of every decision request, in request order.
 
     ``requests``: organization_id, obligation_id, mapping_id (null for the obligation itself), decision,
     idempotency_key, expected_revision, requested_at.
 
-    The checks that need no state are columns. Replays are found with an aggregate per idempotency key. What is left
-    is optimistic concurrency, where each request depends on the revisions before it: those rows are folded in
-    order per obligation, streaming, with one counter per mapping as the only state.
+    The checks that need no state are columns. What is left is optimistic concurrency, where each request depends on
+    the revisions before it: the rows are folded in order per obligation, streaming, so no group is held in memory.
     """
-    checked = requests.withColumn("expected", F.col("expected_revision").cast("int")).withColumn(
-        "invalid",
-        F.when(~F.col("decision").isin(*V.REVIEW_DECISIONS), "unsupported_decision")
-        .when((F.col("decision") == "confirmed_unmapped") & F.col("mapping_id").isNotNull(), "must_target_obligation")
-        .when((F.col("decision") != "confirmed_unmapped") & F.col("mapping_id").isNull(), "mapping_required"),
-    )
-    columns = [
-        "organization_id", "obligation_id", "mapping_id", "decision", "idempotency_key", "requested_at", "expected", "invalid"
-    ]
-
-    def step(state, row):
-        revisions, used = state if state is not None else ({}, {})
-        key, target = row["idempotency_key"], _none(row["mapping_id"])
-        outcome, revision, supersedes = None, None, None
-        if row["invalid"] == "unsupported_decision":
-            outcome = "unsupported_decision"
-        elif key in used:
-            outcome = "replayed" if used[key][0] == target else "key_conflict"
-            revision = used[key][1] if outcome == "replayed" else None
-        elif _none(row["invalid"]):
-            outcome = row["invalid"]
-        else:
-            # A decision about the obligation itself is measured against every decision of that obligation.
-            current = revisions.get(target, 0) if target is not None else max(revisions.values(), default=0)
-            if int(row["expected"]) != current:
-                outcome = "stale_revision"
-            else:
-                outcome, revision, supersedes = "appended", current + 1, current or None
-                revisions[target] = current + 1
-                used[key] = (target, current + 1)
-        return (revisions, used), (
-            row["organization_id"], row["obligation_id"], target, row["decision"], key, row["requested_at"],
-            outcome, revision, supersedes,
-        )
-
     return fold_sorted(
-        checked.select(*columns), ["organization_id", "obligation_id"], ["requested_at", "idempotency_key"], DECISION_OUTCOME, step
+        checked_requests(requests), ["organization_id", "obligation_id"], ["requested_at", "idempotency_key"], DECISION_OUTCOME,
+        decision_step,
     )
 
 
-def _none(value):
-    return None if value is None or value != value else value
-
-
 def key_conflicts(requests: DataFrame) -> DataFrame:
     """Idempotency keys of a tenant that were sent for more than one obligation or mapping."""
     target = F.concat_ws("|", "obligation_id", F.coalesce("mapping_id", F.lit("")))

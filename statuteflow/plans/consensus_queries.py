@@ -84,6 +84,21 @@ def k2(spark, d):
     )
 
 
+@query(
+    "b27_request_rendering",
+    """SELECT 'a-' || doc_id AS request_id, doc_id::VARCHAR AS clause_id, sha256(text) AS text_sha256, 'labeler-a' AS labeler_id, """
+    f"""'{V.SLOTS['A'][0]}' AS prompt_version, {S.lit(prompt('A'))} AS system_prompt FROM documents""",
+)
+def b27(spark, d):
+    rows = I.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("clause_id"), F.col("source").alias("document_id"), F.lit("r").alias("regulator"), "text",
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+    return K.label_requests(rows, {"A": LABELERS["A"]}).select(
+        "request_id", "clause_id", "text_sha256", "labeler_id", "prompt_version", "system_prompt"
+    )
+
+
 @query(
     "k2_request_stream",
     f"""WITH {SILVER_SQL}, r AS (SELECT slot, clause_id, row_number() OVER (PARTITION BY document_id ORDER BY clause_id) AS p FROM cl CROSS JOIN (VALUES ('A'), ('B')) v(slot))

@@ -13,6 +13,7 @@ from . import inputs as I
 from . import sql as S
 from .inputs import CONTROLS_SQL, OBLIGATIONS_SQL
 from ..session import stage_table
+from ..streaming import live
 from .registry import as_text, query
 
 
@@ -178,13 +179,17 @@ def d5(spark, d):
 
 
 def decision_requests(spark, d):
+    return as_decisions(I.table(spark, d, "events"))
+
+
+def as_decisions(events):
     """Events read as decision requests: a user is an obligation, the payload picks mapping and expected revision."""
     k = F.get_json_object("props", "$.k").cast("int")
     decision = (
         F.when(F.col("event_type") == "signup", "confirmed_unmapped").when(F.col("event_type") == "view", "deferred")
         .when(F.col("event_type") == "error", "rejected").when(k == 99, "unheard").otherwise("accepted")
     )
-    e = I.table(spark, d, "events").select("event_id", "user_id", "event_type", k.alias("k"), decision.alias("decision"))
+    e = events.select("event_id", "user_id", "event_type", k.alias("k"), decision.alias("decision"))
     mapping = F.when((F.col("decision") == "confirmed_unmapped") & (F.col("k") % 10 > 0), F.lit(None)).otherwise(F.col("k") % 3)
     return e.select(
         F.lit("org-1").alias("organization_id"),
@@ -238,6 +243,19 @@ def g1(spark, d):
     )
 
 
+@query(
+    "g1_decision_stream",
+    f"""WITH RECURSIVE {DECISIONS_SQL} SELECT event_id, obligation_id, mapping_id, decision, outcome, revision::VARCHAR AS revision
+    FROM decided""",
+)
+def g1_stream(spark, d):
+    events = live.read_events(spark, d, I.table(spark, d, "events").schema)
+    out = live.drain(live.decision_outcomes(as_decisions(events)), "decisions")
+    return as_text(out, "revision").select(
+        F.col("requested_at").alias("event_id"), "obligation_id", "mapping_id", "decision", "outcome", "revision"
+    )
+
+
 @query(
     "g1_key_conflicts",
     f"""WITH RECURSIVE {DECISIONS_SQL} SELECT 'org-1' AS organization_id, 'key-' || user_id || '-' || k AS idempotency_key, count(*) AS requests
@@ -406,6 +424,16 @@ def h1(spark, d):
     )
 
 
+@query(
+    "b28_risk_and_gates",
+    f"""WITH {PROPOSALS_SQL} SELECT obligation_id, risk_level, citation_complete, confidence_gate, control_candidates_present, true AS tenant_scope FROM proposals""",
+)
+def b28(spark, d):
+    return proposals(spark, d).select(
+        "obligation_id", "risk_level", "citation_complete", "confidence_gate", "control_candidates_present", "tenant_scope"
+    )
+
+
 def workflow_requests(spark, d):
     """Events as decisions on runs: the user is the run, every payload value one actor and key."""
     k = F.get_json_object("props", "$.k").cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions import fixed as V
 from ..operators.jobs import job_transition
 from ..operators.operations import alert_columns
+from ..operators.review import DECISION_OUTCOME, checked_requests, decision_step
 from ..session import work_folder
 
 
@@ -106,3 +108,29 @@ def job_states(events: DataFrame, lease: int = 120, max_attempts: int = 5) -> Da
         .groupBy("job_id")
         .applyInPandasWithState(update, JOB_ROW, JOB_STORE, "append", GroupStateTimeout.EventTimeTimeout)
     )
+
+
+def decision_outcomes(requests: DataFrame) -> DataFrame:
+    """Outcome of each decision request as it arrives; the state of an obligation is kept between triggers."""
+    columns = [field.split()[0] for field in DECISION_OUTCOME.split(", ")]
+    order = ["requested_at", "idempotency_key"]
+
+    def update(key, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
+        state = None
+        if store.exists:
+            revisions, used = json.loads(store.get[0])
+            state = (revisions, {k: tuple(v) for k, v in used.items()})
+        arrived = pd.concat(list(batches), ignore_index=True).sort_values(order)
+        out = []
+        for row in arrived.to_dict("records"):
+            state, result = decision_step(state, row)
+            out.append(result)
+        store.update((json.dumps(state),))
+        frame = pd.DataFrame(out, columns=columns)
+        yield frame.astype({"revision": "Int32", "supersedes": "Int32"})
+
+    return (
+        checked_requests(requests)
+        .groupBy("organization_id", "obligation_id")
+        .applyInPandasWithState(update, DECISION_OUTCOME, "state string", "append", GroupStateTimeout.NoTimeout)
+    )
