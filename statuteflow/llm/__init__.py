@@ -7,7 +7,7 @@ import importlib
 from .registry import CHECKS, QUERIES
 
 GROUPS = (
-    "token_counts", "toxicity", "language_id", "mixing", "license_scan",
+    "substring_dedup", "token_counts", "toxicity", "language_id", "mixing", "license_scan",
 
 )
 
