@@ -7,7 +7,7 @@ import importlib
 from .registry import CHECKS, QUERIES
 
 GROUPS = (
-    "substring_dedup", "token_counts", "toxicity", "language_id", "mixing", "license_scan", "jaccard_join", "vector_graph",
+    "substring_dedup", "decontamination", "token_counts", "toxicity", "language_id", "mixing", "license_scan", "jaccard_join", "vector_graph",
 
 )
 
