@@ -3,8 +3,9 @@
 A window is read by a random walk: each step writes the word under a pointer, and a random bit of that word and step says
 whether the pointer moves on. Two windows that differ by few edits fall into step again, so edit distance becomes Hamming
 distance of what is written. Hash tables sample some steps of several walks (bit sampling); their number follows from the
-wanted recall. Windows of an item's size begin at every word of a text; those with too few words of any item cannot be
-near one and are not walked. Candidates are verified by the exact edit distance of words.
+wanted recall. Windows of an item's size begin at every word of a text; those that hold less of the items' words, weighed
+by rarity, than the allowed edits leave of an item cannot be near one and are not walked. Candidates are verified by the
+exact edit distance of words.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ class Items:
         self.words = [words.key[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
         self.usable = [i for i, w in enumerate(self.words) if len(w) >= LEAST_WORDS]
         self.vocabulary = np.unique(np.concatenate([self.words[i] for i in self.usable])) if self.usable else np.zeros(0, dtype=np.uint64)
-        self.lengths = sorted({len(self.words[i]) for i in self.usable})
+        times = np.unique(np.concatenate([self.words[i] for i in self.usable]), return_counts=True)[1] if self.usable else np.zeros(0, dtype=np.int64)
+        self.weights = 1 + np.round(16 * np.log2(times.sum() / times)).astype(np.int64) if self.usable else times
         self.walks = math.ceil(table_count() / TABLES_PER_WALK)
         rng = np.random.default_rng(11)
         classes: dict[int, list[int]] = {}
@@ -57,7 +59,23 @@ class Items:
             begin = np.cumsum([0] + [len(self.words[i]) for i in own])
             keys = self.keys(flat, begin[:-1], begin[1:], [(number, steps)])[number]
             order = np.argsort(keys.reshape(-1), kind="stable")
-            self.classes.append((number, steps, keys.reshape(-1)[order], np.tile(np.array(own), self.walks * TABLES_PER_WALK)[order], sorted({len(self.words[i]) for i in own})))
+            self.classes.append((number, steps, keys.reshape(-1)[order], np.tile(np.array(own), self.walks * TABLES_PER_WALK)[order], self._least(own)))
+
+    def _least(self, items: list[int]) -> list[tuple[int, int]]:
+        """Bounds (words of a passage, weight) of which each passage near one of the items meets one at least.
+
+        An edit takes one word of the item at most, and each word by which the passage is longer is an edit that takes
+        none; what is left weighs no less than the item without its heaviest words.
+        """
+        out: dict[int, int] = {}
+        for i in items:
+            weights = np.sort(self.weights[np.searchsorted(self.vocabulary, self.words[i])])
+            edits = int(EDITS * len(weights))
+            for longer, shorter in ((0, 0), (edits // 2, 1), (edits, edits // 2 + 1)):  # passages longer by shorter..longer
+                taken = max(0, edits - shorter)
+                width, least = len(weights) + longer, int(weights[: len(weights) - taken].sum())
+                out[width] = min(out.get(width, least), least)
+        return sorted(out.items())
 
     def keys(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray, classes) -> dict[int, np.ndarray]:
         """For each class its table keys (tables x places) of the windows from begin; words from end on are no words."""
@@ -83,29 +101,23 @@ class Items:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         spot = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         known = self.vocabulary[spot] == words
-        sums = np.concatenate([[0], np.cumsum(known)])
+        sums = np.concatenate([[0], np.cumsum(np.where(known, self.weights[spot], 0))])
         at = np.flatnonzero(known)
         wanted = {}
-        for number, _, _, _, lengths in self.classes:
-            ok = np.zeros(len(at), dtype=bool)
-            for n in lengths:
-                ok |= sums[np.minimum(at + n, ends[at])] - sums[at] >= n - 2 * int(EDITS * n)
-            wanted[number] = ok
-        some = np.zeros(len(at), dtype=bool)
-        for ok in wanted.values():
-            some |= ok
+        for number, _, _, _, bounds in self.classes:
+            wanted[number] = np.zeros(len(at), dtype=bool)
+            for width, least in bounds:
+                wanted[number] |= sums[np.minimum(at + width, ends[at])] - sums[at] >= least
         found = []
-        for first in range(0, int(some.sum()), PLACES_AT_ONCE):
-            index = np.flatnonzero(some)[first : first + PLACES_AT_ONCE]
-            places = at[index]
-            keys = self.keys(words, places, ends[places], [(number, steps) for number, steps, *_ in self.classes])
-            for number, _, table, items, _ in self.classes:
-                ok = np.flatnonzero(wanted[number][index])
-                own = keys[number][:, ok]
+        for number, steps, table, items, _ in self.classes:
+            chosen = at[wanted[number]]
+            for first in range(0, len(chosen), PLACES_AT_ONCE):
+                places = chosen[first : first + PLACES_AT_ONCE]
+                own = self.keys(words, places, ends[places], [(number, steps)])[number]
                 low, high = np.searchsorted(table, own, "left"), np.searchsorted(table, own, "right")
                 row, col = np.nonzero(high > low)
                 for r, c in zip(row.tolist(), col.tolist()):
-                    found.extend((places[ok[c]], item) for item in set(items[low[r, c] : high[r, c]].tolist()))
+                    found.extend((places[c], item) for item in set(items[low[r, c] : high[r, c]].tolist()))
         pairs = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1]
 
