@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that they have inverses modulo 2**64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, SPLIT_BYTES = 4 << 20, 1 << 20
 
 
 class Words(NamedTuple):
@@ -53,8 +53,22 @@ def span_keys(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
 
 
 def split_words(texts: list[bytes], lower: bool = False) -> Words:
-    """The words of a few texts (UTF-8; None is an empty text); lower: A-Z become a-z."""
+    """The words of some texts (UTF-8; None is an empty text); lower: A-Z become a-z.
+
+    Working arrays are eight times the size of the bytes, so texts are split a few at a time.
+    """
     lengths = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+    group = np.cumsum(lengths) // SPLIT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    parts, doc, byte = [], 0, 0
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        part = _split(texts[low:high], lengths[low:high], lower)
+        parts.append(Words(part.data, part.start + byte, part.end + byte, part.doc + doc, part.key))
+        doc, byte = high, byte + len(part.data)
+    return parts[0] if len(parts) == 1 else Words(*(np.concatenate(field) for field in zip(*parts)))
+
+
+def _split(texts: list[bytes], lengths: np.ndarray, lower: bool) -> Words:
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     data = np.frombuffer(b"".join(t for t in texts if t), dtype=np.uint8)
     if lower:
