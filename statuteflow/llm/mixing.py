@@ -49,22 +49,24 @@ def tilts(masses: DataFrame, targets: DataFrame, most: float = MOST) -> DataFram
     Each iteration is one aggregate over the masses, joined with the multipliers; the driver sees only the largest
     error. Steps are cut to 1, which keeps them on the convex side. A source without tokens or target has tilt null.
     """
-    now = stage_table(targets.withColumn("tilt", F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.lit(0.0))), "tilts")
-    masses = stage_table(masses, "masses")
+    masses = stage_table(masses.where("prior > 0"), "masses")
+    # above this tilt every document of the source is at the limit
+    tops = masses.groupBy("source").agg((F.log(F.lit(most)) - F.log(F.min("prior"))).alias("top"))
+    start = F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.least(F.lit(0.0), F.col("top")))
+    now = targets.alias("t").join(tops.alias("m"), F.col("m.source").eqNullSafe(F.col("t.source")), "left").select("t.*", "top", start.alias("tilt"))
+    now = stage_table(now, "tilts")
     for _ in range(MOST_STEPS):
         free = F.col("prior") * F.exp("tilt")
         sums = masses.alias("m").join(now.alias("t"), F.col("m.source").eqNullSafe(F.col("t.source"))).groupBy("t.source").agg(
             F.sum(F.col("mass") * F.least(F.lit(most), free)).alias("reached"),
-            F.sum(F.when(free <= most, F.col("mass") * free)).alias("slope"),  # null where every rate is at its limit
-            F.sum(F.col("mass") * free).alias("whole_slope"),
+            F.sum(F.when(free <= most * (1 + 1e-9), F.col("mass") * free)).alias("slope"),
         )
-        error = (F.col("target") - F.col("reached")) / F.col("target")
-        slope = F.when(F.col("reached") > F.col("target"), F.col("whole_slope")).otherwise(F.col("slope"))
-        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - F.col("reached")) / slope))
+        missing = F.col("target") - F.col("reached")
+        error = F.abs(missing / F.col("target"))
+        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), missing / F.col("slope")))
+        tilt = F.least(F.col("top"), F.col("tilt") + F.when(error > TOLERANCE, F.coalesce(step, F.lit(0.0))).otherwise(0.0))
         moved = now.alias("t").join(sums.alias("s"), F.col("s.source").eqNullSafe(F.col("t.source")), "left").select(
-            "t.source", "t.source_size", "t.target", (F.col("tilt") + F.when(F.abs(error) > TOLERANCE, F.coalesce(step, F.lit(0.0))).otherwise(0.0)).alias("tilt"),
-            F.abs(error).alias("error"),
-        )
+            "t.source", "t.source_size", "t.target", "t.top", tilt.alias("tilt"), error.alias("error"))
         moved = stage_table(moved, "tilts")
         worst = moved.agg(F.max("error")).first()[0]
         now = moved.drop("error")
@@ -104,21 +106,21 @@ def rounded_copies(rated: DataFrame) -> DataFrame:
     return summed.withColumns({"copies": (whole(upto) - whole(upto - F.col("units"))).cast("long"), "source": F.col("source.source")}).drop("units", "coarse", "part", "here", "offset")
 
 
-def balance_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, prior: Column | None = None) -> DataFrame:
+def balance_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, prior: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for every row of ``docs``.
 
-    ``docs`` has doc_id, text, source; other columns are not read. Size is the number of words; a null or empty text has
+    ``docs`` has doc_id, text, source; of the other columns those in ``carry`` come along as the struct ``rest``. Size is the number of words; a null or empty text has
     size 0 and is taken 0 times its 0 words. A null source is a source, the last one; null and repeated ids are rows like
     others (equal rows may be told apart by nothing, so which of them has the larger count does not matter). An empty
     table gives an empty result. ``prior``: rates before balancing, 1 by default; a null prior is 1.
     """
     rate = F.lit(1.0) if prior is None else F.coalesce(prior.cast("double"), F.lit(1.0))
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), rate.alias("prior"))
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), rate.alias("prior"), *([F.struct(*carry).alias("rest")] if carry else []))
     rows = stage_table(rows, "sizes")
     masses = rows.groupBy("source", "prior").agg(F.sum("size").cast("double").alias("mass"))
     tilted = tilts(masses, source_targets(rows, weights, share, most), most)
     rated = rows.alias("r").join(tilted.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(
-        "r.doc_id", "r.source", "size", "source_size", "target",
+        "r.doc_id", "r.source", "size", "source_size", "target", *(["rest"] if carry else []),
         F.coalesce(F.least(F.lit(most), F.col("prior") * F.exp("tilt")), F.lit(0.0)).alias("rate"),
     )
     return rounded_copies(rated).withColumn("taken", F.col("copies") * F.col("size"))
