@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .exchange import chunked, deal, flags, from_planes, gather_flags, part_count, planes
 from .registry import query
@@ -23,11 +24,16 @@ WINDOW = 13
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id, which comes after all others
 
 
+def row_order(table: pa.Table) -> list[int]:
+    """The same order of a chunk's rows each time the chunk is read; rows that tie are equal in id and text."""
+    ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
+
+
 def in_order(table: pa.Table) -> tuple[list, list, np.ndarray]:
-    """Ids, texts and ids as numbers of a chunk, in the same order each time the chunk is read."""
+    """Ids, texts and ids as numbers of a chunk, by ``row_order``."""
+    table = table.select(["id", "text"]).take(pa.array(row_order(table), pa.int64()))
     ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
-    ids, texts = [ids[i] for i in order], [texts[i] for i in order]
     return ids, texts, np.array([LAST_ID if i is None else i for i in ids], dtype=np.int64)
 
 
@@ -56,16 +62,17 @@ def covered(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, n_words, n_removed, kept (bytes: kept words joined by one space), spans (first word, end) for every row.
 
-    ``docs``: doc_id (whole number), text; other columns are not read. A word goes if a window that covers it also begins
+    ``docs``: doc_id (whole number), text; of the other columns those in ``carry`` come along as the struct ``rest``. A word goes if a window that covers it also begins
     in a row with a smaller doc_id. Rows with the same doc_id do not touch each other; a null doc_id is after all
     others; a null or empty text has no words and an empty result; repeated rows are judged each. Texts of any length
     are read whole; a chunk holds whole texts. All exchanges are of even hash groups: chunks of texts, parts of hashes.
     """
     block = (window + 1) // 2
-    texts, parts = chunked(docs), part_count(docs)
+    rest = (F.struct(*carry).alias("rest"),) if carry else ()
+    texts, parts = chunked(docs, others=rest), part_count(docs)
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         _, raw, _ = in_order(table)
@@ -110,6 +117,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if not table.num_rows:
             return OUT.empty_table()
         ids, raw, _ = in_order(table)
+        along = table.select(["rest"]).take(pa.array(row_order(table), pa.int64())).column("rest") if carry else None
         first = np.array(answers.column("round").to_pylist(), dtype=np.int64) == 1
         words, (places, keys) = _candidates(raw, answers.filter(pa.array(first)), block, window, parts)
         second = answers.filter(pa.array(~first))
@@ -129,14 +137,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             else:
                 spans.append([])
             kept.append(b" ".join(own))
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_words": n_words.astype(np.int64), "n_removed": n_removed.astype(np.int64), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, OUT.field("spans").type)}, schema=OUT)
+        out = pa.table({"id": pa.array(ids, pa.int64()), "n_words": n_words.astype(np.int64), "n_removed": n_removed.astype(np.int64), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, OUT.field("spans").type)}, schema=OUT)
+        return out.append_column("rest", along) if carry else out
 
     asks, answers = "chunk long, part int, keys binary, more binary", "chunk long, part int, flags binary"
     by_chunk = texts.groupBy("chunk")
     anchors = by_chunk.applyInArrow(ask_anchors, asks).groupBy("part").applyInArrow(answer_anchors, answers)
     windows = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(ask_windows, asks).groupBy("part").applyInArrow(answer_windows, answers)
     told = anchors.withColumn("round", F.lit(1)).union(windows.withColumn("round", F.lit(2)))
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(cut, "id long, n_words long, n_removed long, kept binary, spans array<array<long>>")
+    schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept binary, spans array<array<long>>")
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(cut, T.StructType(schema.fields + ([texts.schema["rest"]] if carry else [])))
 
 
 OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
@@ -158,7 +168,7 @@ def _candidates(raw: list[bytes], answers: pa.Table, block: int, window: int, pa
 def dedup_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of ``remove_repeats`` with doc_id and kept_text."""
     done = remove_repeats(docs, window)
-    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.decode("kept", F.lit("UTF-8")).alias("kept_text"), "spans")
+    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.decode("kept", "UTF-8").alias("kept_text"), "spans")
 
 
 DEDUP_SQL = rf"""
