@@ -171,7 +171,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def sharded(vectors: DataFrame, overlap: int) -> DataFrame:
-    """id, dim, v, shards of every vector. Centroids: a bounded sample's, for each dimension."""
+    """id, dim, v, copies, shards of every vector. Centroids: a bounded sample's, for each dimension."""
     spark, total = vectors.sparkSession, vectors.count()
     sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, FIT_VECTORS / max(1, total)) * 1_000_003).select("dim", "v").toPandas()
     found = {dim: fit_centroids(_matrix(own["v"]), int(min(CENTROIDS, max(1, round(total * len(own) / max(1, len(sample)) * overlap / SHARD))))) for dim, own in sample.groupby("dim")}
@@ -189,13 +189,13 @@ def sharded(vectors: DataFrame, overlap: int) -> DataFrame:
                 out.append(own.assign(shards=list(chosen)))
             yield pd.concat(out) if out else frame.assign(shards=[])
 
-    return vectors.mapInPandas(assign, "id long, dim int, v array<double>, shards array<int>")
+    return vectors.select("id", "dim", "v", "copies").mapInPandas(assign, "id long, dim int, v array<double>, copies long, shards array<int>")
 
 
 def find_links(vectors: DataFrame, overlap: int, beam: int, least: float) -> DataFrame:
-    """id, links (number of other vectors found), label (edge to the smallest id of a shard's component), from all shards."""
+    """id, links (number of other vectors found, with their copies), label (edge to the smallest id of a shard's component), from all shards."""
     placed = stage_table(sharded(vectors, overlap), "placed")
-    members = placed.select("id", "dim", "v", "shards", F.explode("shards").alias("shard"))
+    members = placed.select("id", "dim", "v", "copies", "shards", F.explode("shards").alias("shard"))
     sizes = members.groupBy("dim", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = stage_table(members.join(sizes, ["dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
 
@@ -210,9 +210,9 @@ def find_links(vectors: DataFrame, overlap: int, beam: int, least: float) -> Dat
     medoids = built.where("medoid").select("dim", "shard", "block", "id", "medoid")
     nodes = members.join(united, "id").join(medoids, ["dim", "shard", "block", "id"], "left")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(name)
-    graph_rows = nodes.select("dim", "shard", "block", every("turn"), "id", "v", "shards", "near", F.coalesce("medoid", F.lit(False)).alias("medoid"), F.lit(True).alias("is_node"))
-    asking = members.select("dim", "shard", every("to"), F.col("block").alias("turn"), "id", "v", "shards").select(
-        "dim", "shard", F.col("to").alias("block"), "turn", "id", "v", "shards", F.lit(None).cast("array<long>").alias("near"), F.lit(False).alias("medoid"), F.lit(False).alias("is_node"))
+    graph_rows = nodes.select("dim", "shard", "block", every("turn"), "id", "v", "copies", "shards", "near", F.coalesce("medoid", F.lit(False)).alias("medoid"), F.lit(True).alias("is_node"))
+    asking = members.select("dim", "shard", every("to"), F.col("block").alias("turn"), "id", "v", "copies", "shards").select(
+        "dim", "shard", F.col("to").alias("block"), "turn", "id", "v", "copies", "shards", F.lit(None).cast("array<long>").alias("near"), F.lit(False).alias("medoid"), F.lit(False).alias("is_node"))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         node, ask = (frame[frame["is_node"] == kind].sort_values("id", ignore_index=True) for kind in (True, False))
@@ -224,7 +224,7 @@ def find_links(vectors: DataFrame, overlap: int, beam: int, least: float) -> Dat
         place = np.minimum(np.searchsorted(ids, target), len(ids) - 1)
         pairs = np.stack([np.repeat(np.arange(len(ids)), lengths), place], axis=1)[ids[place] == target]
         graph, medoid = _padded(len(ids), pairs), int(node["medoid"].to_numpy().argmax())
-        queries, own = _matrix(ask["v"]), ask["id"].to_numpy()
+        queries, own, copies = _matrix(ask["v"]), ask["id"].to_numpy(), node["copies"].to_numpy()
         lists = {kind: np.array(f["shards"].tolist(), dtype=np.int64) for kind, f in ((True, node), (False, ask))}
         labels = np.unique(np.concatenate([ids, own]))
         start = labels.copy()
@@ -237,7 +237,8 @@ def find_links(vectors: DataFrame, overlap: int, beam: int, least: float) -> Dat
             # a pair that meets in several shards counts in the first of the asking vector's shards that has both
             mine, theirs = lists[False][a], lists[True][b]
             met = (mine[:, :, None] == theirs[:, None, :]).any(axis=2)
-            counts += np.bincount(a[mine[np.arange(len(a)), met.argmax(axis=1)] == shard], minlength=len(own))
+            here = mine[np.arange(len(a)), met.argmax(axis=1)] == shard
+            counts += np.bincount(a[here], weights=copies[b[here]], minlength=len(own)).astype(np.int64)
             found_a.append(np.searchsorted(start, own[a]))
             found_b.append(np.searchsorted(start, ids[b]))
         labels = smallest_labels(np.concatenate(found_a), np.concatenate(found_b), labels)
@@ -268,10 +269,10 @@ def audit_recall(vectors: DataFrame, links: DataFrame, least: float, queries: in
             for dim, own in frame.groupby("dim"):
                 if dim in sent.value:
                     x, ids = sent.value[dim]
-                    n += int(((x @ _matrix(own["v"]).T >= least) & (ids[:, None] != own["id"].to_numpy())).sum())
+                    n += int((((x @ _matrix(own["v"]).T >= least) & (ids[:, None] != own["id"].to_numpy())) @ own["copies"].to_numpy()).sum())
             yield pd.DataFrame({"n": [n]})
 
-    there = vectors.select("id", "dim", "v").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+    there = vectors.select("id", "dim", "v", "copies").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
     return float(asked["links"].sum()) / there if there else 1.0
 
 
@@ -287,7 +288,7 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str
     vectors = stage_table(unit_vectors(rows.where(F.col(id_column).isNotNull()), id_column, vector_column), "vectors")
     folded = vectors.groupBy("dim", "v").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
     folded = stage_table(folded, "folded")
-    heads = folded.select(F.col("head").alias("id"), "dim", "v")
+    heads = folded.select(F.col("head").alias("id"), "dim", "v", "copies")
     overlap, beam = OVERLAP, BEAM
     for turn in range(WIDENED + 1):
         found = stage_table(find_links(heads, overlap, beam, least), "found")
