@@ -62,8 +62,8 @@ def tilts(masses: DataFrame, targets: DataFrame, most: float = MOST) -> DataFram
             F.sum(F.when(free <= most * (1 + 1e-9), F.col("mass") * free)).alias("slope"),
         )
         missing = F.col("target") - F.col("reached")
-        error = F.abs(missing / F.col("target"))
-        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), missing / F.col("slope")))
+        error = F.abs(F.try_divide(missing, F.col("target")))
+        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(missing, F.col("slope"))))
         tilt = F.least(F.col("top"), F.col("tilt") + F.when(error > TOLERANCE, F.coalesce(step, F.lit(0.0))).otherwise(0.0))
         moved = now.alias("t").join(sums.alias("s"), F.col("s.source").eqNullSafe(F.col("t.source")), "left").select(
             "t.source", "t.source_size", "t.target", "t.top", tilt.alias("tilt"), error.alias("error"))
