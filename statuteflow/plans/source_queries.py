@@ -58,8 +58,9 @@ def a1(spark, d):
 
 def _html_sql(x: str) -> str:
     for tag in ("script", "style", "noscript", "template"):
-        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->|<![^>]*>|<[?][^>]*>', chr(10), 'g')"
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|\\z)', chr(10), 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?(?:-->|\\z)|<![^>]*>|<[?][^>]*>', chr(10), 'g')"
+    x = f"""regexp_replace({x}, '</?[A-Za-z](?:[^''">]|"[^"]*"|''[^'']*'')*>', chr(10), 'g')"""
     x = f"regexp_replace({x}, '</?[A-Za-z][^>]*>', chr(10), 'g')"
     for name, char in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
         x = f"replace({x}, '&{name};', {S.lit(char)})"
