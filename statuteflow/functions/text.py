@@ -25,6 +25,12 @@ def strip(value: Column | str) -> Column:
     return F.btrim(_c(value), F.lit(V.WS_CHARACTERS))
 
 
+def padded(number: Column | str, width: int) -> Column:
+    """A whole number with leading zeros up to ``width`` digits; a longer one stays whole."""
+    digits = _c(number).cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def normalize_ws(value: Column | str) -> Column:
     """Squeeze each run of white space to one blank and strip."""
     return F.trim(F.regexp_replace(_c(value), f"[{V.WS_FAST}]+", " "))

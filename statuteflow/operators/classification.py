@@ -58,17 +58,6 @@ def dataset_fingerprint(rows: DataFrame) -> DataFrame:
     return rows.select(F.sha2(_canonical_row(), 256).alias("d")).agg(*fingerprint_columns(F.col("d")))
 
 
-def dataset_fingerprint_exact(rows: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """SHA-256 over the rows joined in id order, for exchange with tools that hash the file itself.
-
-    One digest over one byte stream cannot be split, so a set longer than ``max_rows`` is refused, not cut.
-    """
-    if rows.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"an exact fingerprint is limited to {max_rows} rows; use dataset_fingerprint")
-    ordered = F.sort_array(F.collect_list(F.struct("clause_id", _canonical_row().alias("line"))))
-    return rows.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 256).alias("sha256"))
-
-
 def promotion_failures(manifests: DataFrame) -> DataFrame:
     """Add ``failures``: the promotion gates a model misses. ``per_class_f1`` is a map, ``labels`` an array."""
     p, taxonomy = V.PROMOTION, F.array(*[F.lit(x) for x in sorted(V.LABELS)])

@@ -99,16 +99,26 @@ def top_matches(index: DataFrame, queries: DataFrame, limit: int, lexical_weight
         batch = numbered.where(F.col("__block") == block).select("query_id", "search_tokens", "embedding").toPandas()
         if len(batch):
             parts.append(_score_block(index, batch, limit, lexical_weight, vector_weight, queries.schema["query_id"].dataType))
-    best = parts[0]
-    for part in parts[1:]:
+    best = index.sparkSession.createDataFrame([], _match_schema(index, queries.schema["query_id"].dataType))
+    for part in parts:
         best = best.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "section_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _match_schema(index, query_type) -> T.StructType:
+    scores = [T.StructField(n, T.DoubleType()) for n in ("score", "lexical_score", "vector_score")]
+    return T.StructType([T.StructField("query_id", query_type), T.StructField("section_id", index.schema["section_id"].dataType), *scores])
+
+
+def _vectors(column: pd.Series, dimensions: int) -> np.ndarray:
+    """A matrix of the vectors; a missing one is zero, which is near nothing."""
+    return np.array([np.zeros(dimensions) if v is None else np.asarray(v, dtype=np.float64) for v in column]).reshape(len(column), dimensions)
+
+
 def _score_block(index, batch, limit, lexical_weight, vector_weight, query_type) -> DataFrame:
     query_ids = batch["query_id"].to_numpy()
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])
+    matrix = _vectors(batch["embedding"], max([len(v) for v in batch["embedding"] if v is not None], default=1))
     lengths = np.linalg.norm(matrix, axis=1)
     unit = np.divide(matrix, lengths[:, None], out=np.zeros_like(matrix), where=lengths[:, None] > 0)
     vocabulary: dict[str, int] = {}
@@ -120,13 +130,7 @@ def _score_block(index, batch, limit, lexical_weight, vector_weight, query_type)
         for word in set(words):
             incidence[vocabulary[word], column] = 1.0
     query_sizes = np.maximum([len(set(w)) for w in batch["search_tokens"]], 1)
-    schema = T.StructType(
-        [
-            T.StructField("query_id", query_type),
-            T.StructField("section_id", index.schema["section_id"].dataType),
-            *[T.StructField(n, T.DoubleType()) for n in ("score", "lexical_score", "vector_score")],
-        ]
-    )
+    schema = _match_schema(index, query_type)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,7 +139,7 @@ def _score_block(index, batch, limit, lexical_weight, vector_weight, query_type)
             if not len(rows):
                 continue
             ids = rows["section_id"].to_numpy()
-            vectors = np.array([np.asarray(v, dtype=np.float64) for v in rows["embedding"]])
+            vectors = _vectors(rows["embedding"], matrix.shape[1])
             norms = np.linalg.norm(vectors, axis=1)
             vectors = np.divide(vectors, norms[:, None], out=np.zeros_like(vectors), where=norms[:, None] > 0)
             vector = np.maximum(vectors @ unit.T, 0.0) if lexical_weight else vectors @ unit.T

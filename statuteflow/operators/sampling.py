@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed as V
 from ..functions.joins import attach_row, join_checked
 from ..functions.ordered import fingerprint_columns
-from ..functions.text import aware_timestamp, hash_bucket, sampling_stratum, stable_rank, strip
+from ..functions.text import aware_timestamp, hash_bucket, padded, sampling_stratum, stable_rank, strip
 from ..sources.records import violations
 
 IMMUTABLE = ("document_id", "regulator", "source_url", "section_id", "heading", "page", "text", "text_sha256")
@@ -183,10 +183,15 @@ def export_annotations(tasks: DataFrame) -> DataFrame:
     return tasks.select("clause_id", "annotator_id", "label", "guideline_version", "annotated_at", "notes")
 
 
+def batch_name(number: Column) -> Column:
+    """batch-001 and so on; numbers above 999 are as long as they are."""
+    return F.concat(F.lit("batch-"), padded(number, 3))
+
+
 def campaign_batches(sample: DataFrame, batch_size: int) -> DataFrame:
     """Consecutive batches of the sample."""
     number = F.floor((F.col("sample_position") - 1) / batch_size) + 1
-    return sample.withColumn("batch_id", F.concat(F.lit("batch-"), F.lpad(number.cast("string"), 3, "0")))
+    return sample.withColumn("batch_id", batch_name(number))
 
 
 def campaign_manifest(batched: DataFrame) -> DataFrame:
@@ -212,12 +217,12 @@ def manifest_violations(batched: DataFrame, manifest: DataFrame, target: int) ->
             "fingerprint_mismatch": F.coalesce(both, F.lit(False)) & (F.col("sample_fingerprint") != F.col("now_fingerprint")),
         },
     ).drop("detail")
-    whole = manifest.agg(F.sum("clauses").alias("c"), F.count("*").alias("b"), F.max("batch_id").alias("last"))
+    whole = manifest.agg(F.sum("clauses").alias("c"), F.count("*").alias("b"), F.max_by("batch_id", F.struct(F.length("batch_id"), "batch_id")).alias("last"))
     gaps = whole.select(
         F.explode(
             F.array(
                 F.when(F.col("c") != target, F.lit("target_mismatch")),
-                F.when(F.col("last") != F.concat(F.lit("batch-"), F.lpad(F.col("b").cast("string"), 3, "0")), F.lit("batch_numbering")),
+                F.when(F.col("last") != batch_name(F.col("b")), F.lit("batch_numbering")),
             )
         ).alias("check")
     ).where("check IS NOT NULL").select("check", F.lit("campaign").alias("key"))

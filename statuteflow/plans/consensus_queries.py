@@ -102,14 +102,15 @@ def b27(spark, d):
 @query(
     "k2_request_stream",
     f"""WITH {SILVER_SQL}, r AS (SELECT slot, clause_id, row_number() OVER (PARTITION BY document_id ORDER BY clause_id) AS p FROM cl CROSS JOIN (VALUES ('A'), ('B')) v(slot))
-    SELECT lower(slot) || '-' || clause_id AS request_id FROM cl CROSS JOIN (VALUES ('A'), ('B')) v(slot)
-    ORDER BY slot, CASE WHEN slot = 'B' THEN -(ordinal * 1000 + position) ELSE ordinal * 1000 + position END, clause_id LIMIT 500""",
+    SELECT lower(slot) || '-' || clause_id AS request_id, slot, CASE WHEN slot = 'B' THEN -(ordinal * 1000 + position) ELSE ordinal * 1000 + position END AS place
+    FROM cl CROSS JOIN (VALUES ('A'), ('B')) v(slot)""",
 )
 def k2_stream(spark, d):
     c = clauses(spark, d)
     place = c.select("clause_id", (F.col("ordinal") * 1000 + F.col("position")).alias("sample_position"))
     stream = K.label_requests(c, LABELERS).join(place, "clause_id")
-    return stream.orderBy(*K.request_order(stream), "clause_id").limit(500).select("request_id")
+    slot, order = K.request_order(stream)
+    return stream.select("request_id", slot.alias("slot"), order.cast("bigint").alias("place"))
 
 
 def damaged(c):

@@ -303,10 +303,10 @@ LEDGER_SQL = f"""{MAPPINGS_SQL},
 le AS (SELECT event_id, 'reg-' || (user_id % 100) AS regulation_id, json_extract_string(props, '$.k')::INT AS position,
   event_id % 3 + 1 AS rank, CASE event_type WHEN 'signup' THEN 'confirmed_unmapped' WHEN 'view' THEN 'deferred'
   WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'superseded' ELSE 'accepted' END AS decision FROM events),
-lt AS (SELECT organization_id, obligation_id, regulation_id, position FROM obligations o
-  WHERE ordinal = (SELECT max(ordinal) FROM obligations x WHERE x.regulation_id = o.regulation_id)),
+lt AS MATERIALIZED (SELECT organization_id, obligation_id, regulation_id, position FROM obligations
+  QUALIFY ordinal = max(ordinal) OVER (PARTITION BY regulation_id)),
 lh AS (SELECT le.event_id, le.rank, le.decision, lt.organization_id, lt.obligation_id FROM le JOIN lt USING (regulation_id, position)),
-ledger AS (
+ledger AS MATERIALIZED (
   SELECT organization_id, obligation_id, NULL::VARCHAR AS mapping_id, decision, event_id + 1 AS revision FROM lh WHERE decision = 'confirmed_unmapped'
   UNION ALL SELECT lh.organization_id, lh.obligation_id, m.mapping_id, decision, event_id + 1 FROM lh
   JOIN mappings m ON m.obligation_id = lh.obligation_id AND m.rank = lh.rank WHERE decision <> 'confirmed_unmapped'),

@@ -255,7 +255,7 @@ def j10(spark, d):
 
 @query(
     "j11_campaign_batches",
-    f"""WITH {SAMPLE_SQL}, b AS (SELECT *, 'batch-' || lpad(((sample_position - 1) // 100 + 1)::VARCHAR, 3, '0') AS batch_id FROM sample),
+    f"""WITH {SAMPLE_SQL}, b AS (SELECT *, 'batch-' || {S.padded('(sample_position - 1) // 100 + 1', 3)} AS batch_id FROM sample),
     r AS (SELECT batch_id, sha256(clause_id || ':' || text_sha256 || ':' || st) AS h FROM b), g AS (SELECT batch_id, {S.fingerprint('h')} FROM r GROUP BY 1)
     SELECT batch_id, rows AS clauses, fingerprint AS sample_fingerprint FROM g""",
 )
@@ -281,7 +281,7 @@ def j12(spark, d):
 
 @query(
     "j13_campaign_progress",
-    f"""WITH {TASKS_SQL}, v AS (SELECT clause_id, 'batch-' || lpad(((sample_position - 1) // 100 + 1)::VARCHAR, 3, '0') AS batch_id,
+    f"""WITH {TASKS_SQL}, v AS (SELECT clause_id, 'batch-' || {S.padded('(sample_position - 1) // 100 + 1', 3)} AS batch_id,
       max(CASE WHEN slot = 'A' THEN label END) AS a, max(CASE WHEN slot = 'B' THEN label END) AS b FROM tasks GROUP BY ALL)
     SELECT coalesce(batch_id, 'total') AS batch_id, count(*) AS clauses, count(a) AS completed_a, count(b) AS completed_b,
       count(*) FILTER (a = b) AS agreements FROM v GROUP BY ROLLUP (batch_id)""",
@@ -292,7 +292,7 @@ def j13(spark, d):
     return report.select(F.coalesce("batch_id", F.lit("total")).alias("batch_id"), "clauses", "completed_a", "completed_b", "agreements")
 
 
-@query("j14_campaign_export", f"""WITH {TASKS_SQL}, b AS (SELECT *, 'batch-' || lpad(((sample_position - 1) // 100 + 1)::VARCHAR, 3, '0') AS batch_id FROM hs)
+@query("j14_campaign_export", f"""WITH {TASKS_SQL}, b AS (SELECT *, 'batch-' || {S.padded('(sample_position - 1) // 100 + 1', 3)} AS batch_id FROM hs)
     SELECT batch_id, count(*) * 2 AS votes FROM b GROUP BY 1""")
 def j14(spark, d):
     s = P.campaign_batches(stage_table(sample(spark, d), "sample"), 100)
@@ -367,7 +367,7 @@ def j15_violations(spark, d):
 
 
 _DOCS_SQL = f"""
-dd AS (SELECT 'clause-' || lpad(doc_id::VARCHAR, 9, '0') AS clause_id, source AS document_id, text FROM documents),
+dd AS (SELECT 'clause-' || {S.padded('doc_id', 9)} AS clause_id, source AS document_id, text FROM documents),
 dw AS (SELECT *, {S.tokens('text')} AS w FROM dd),
 ds AS (SELECT clause_id, document_id, text, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1),
   lambda i: array_to_string(list_slice(w, i, i + 2), ' ')))) AS s FROM dw),
@@ -381,7 +381,7 @@ near AS (SELECT l, r, n::DOUBLE / (len(a.s) + len(b.s) - n) AS similarity, a.cla
 
 def document_clauses(spark, d):
     return I.table(spark, d, "documents").select(
-        F.concat(F.lit("clause-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("clause_id"), F.col("source").alias("document_id"), "text"
+        F.concat(F.lit("clause-"), padded("doc_id", 9)).alias("clause_id"), F.col("source").alias("document_id"), "text"
     )
 
 

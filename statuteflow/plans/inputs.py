@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, padded
 from ..operators.changes import detect_changes
 from ..operators.versioning import first_versions, ingest_versions
 from ..session import stage_table
@@ -80,7 +80,7 @@ def document_sections(spark, d, versions: DataFrame) -> DataFrame:
         "regulation_id",
         "ordinal",
         "version_id",
-        F.lpad(F.col("line").cast("string"), 6, "0").alias("section_key"),
+        padded("line", 6).alias("section_key"),
         "heading",
         "body",
         (F.floor(F.col("line") / 10) + 1).cast("int").alias("page"),
@@ -115,7 +115,7 @@ dlines AS (
   SELECT doc_id, lang AS heading, unnest(string_split(text, chr(10))) AS body,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 dsections AS (
-  SELECT v.regulation_id, v.ordinal, v.version_id, lpad(l.line::VARCHAR, 6, '0') AS section_key, l.heading, l.body,
+  SELECT v.regulation_id, v.ordinal, v.version_id, {S.padded('l.line', 6)} AS section_key, l.heading, l.body,
          (l.line // 10 + 1)::INT AS page, l.line AS position
   FROM dlines l JOIN dversions v USING (doc_id)),
 dprev AS (

@@ -20,21 +20,21 @@ def search_index(spark, d):
     vectors = I.table(spark, d, "embeddings").select(F.col("vec_id").alias("section_id"), "embedding")
     return I.table(spark, d, "documents").select(
         F.col("doc_id").alias("section_id"), F.col("text").alias("searchable_text")
-    ).join(vectors, "section_id")
+    ).join(vectors, "section_id", "left")
 
 
 def search_queries(spark, d):
     vectors = I.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     return I.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(
-        vectors, "query_id"
+        vectors, "query_id", "left"
     )
 
 
 SEARCH_SQL = f"""
-idx AS (SELECT doc_id AS section_id, text AS searchable_text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON doc_id = vec_id),
-qry AS (SELECT item_id AS query_id, text AS query, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id),
+idx AS (SELECT doc_id AS section_id, text AS searchable_text, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+qry AS (SELECT item_id AS query_id, text AS query, embedding::DOUBLE[] AS v FROM benchmark LEFT JOIN embeddings ON item_id = vec_id),
 idx_t AS (SELECT *, {S.token_set('searchable_text')} AS t FROM idx), qry_t AS (SELECT *, {S.token_set('query')} AS t FROM qry),
-cosines AS (SELECT q.query_id, s.section_id, list_cosine_similarity(s.v, q.v) AS cos FROM idx s CROSS JOIN qry q)"""
+cosines AS (SELECT q.query_id, s.section_id, coalesce(list_cosine_similarity(s.v, q.v), 0) AS cos FROM idx s CROSS JOIN qry q)"""
 
 
 @query(
@@ -59,7 +59,8 @@ def e2(spark, d):
     return E.search_readiness(sections, index)
 
 
-@query("e1_index_sections")
+@query("e1_index_sections", f"""WITH {I.RULE_BOOK_SQL} SELECT section_id, sha256(heading || chr(10) || body) AS content_hash, 384 AS dimensions
+    FROM rsections WHERE ordinal > 5""")
 def e1(spark, d):
     sections = I.rule_book(spark, d)
     index = sections.where("ordinal <= 5").select("section_id", F.lit(V.EMBEDDING_MODEL).alias("embedding_model_id"))

@@ -21,6 +21,10 @@ def ws(x: str) -> str:
     return f"trim(regexp_replace({x}, {lit('[' + V.WS + ']+')}, ' ', 'g'))"
 
 
+def padded(x: str, width: int) -> str:
+    return f"lpad(({x})::VARCHAR, greatest(len(({x})::VARCHAR), {width})::INT, '0')"
+
+
 def strip(x: str) -> str:
     return f"regexp_replace({x}, {lit(chr(92) + 'A[' + V.WS + ']+|[' + V.WS + ']+' + chr(92) + 'z')}, '', 'g')"
 

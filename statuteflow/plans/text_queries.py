@@ -150,7 +150,7 @@ def label_centroids(e):
     return e.groupBy("label").agg(F.array(*means).alias("centroid"))
 
 
-@query("b14_feature_hash_embedding")
+@query("b14_feature_hash_embedding", f"""SELECT doc_id, 384 AS dimensions, CASE WHEN len({S.tokens('text')}) > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm FROM documents""")
 def b14(spark, d):
     out = feature_hash_embedding(docs(spark, d), "doc_id", "text")
     return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(P.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
