@@ -25,19 +25,21 @@ def running_sum(
     out: str,
     weight: Column | None = None,
 ) -> DataFrame:
-    """Add ``out``: sum of ``weight`` (1 by default) over the rows of the group up to and including this one."""
+    """Add ``out``: sum of ``weight`` (1 by default) over the rows of the group up to and including this one.
+
+    Keys and chunk travel as one struct, in which nulls are equal to each other: no row is lost for a null.
+    """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
-    base = df.withColumn("__chunk", chunk).withColumn("__weight", weight)
-    group = [*keys, "__chunk"]
-    totals = base.groupBy(*group).agg(F.sum("__weight").alias("__total"))
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
-    local = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    base = df.withColumns({"__group": F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("chunk")), "__weight": weight})
+    totals = base.groupBy("__group").agg(F.sum("__weight").alias("__total"))
+    before = Window.partitionBy(*[f"__group.k{i}" for i in range(len(keys))]).orderBy("__group.chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__group", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+    local = Window.partitionBy("__group").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         base.withColumn("__local", F.sum("__weight").over(local))
-        .join(offsets, group)
+        .join(offsets, "__group")
         .withColumn(out, F.col("__local") + F.col("__offset"))
-        .drop("__chunk", "__weight", "__local", "__offset")
+        .drop("__group", "__weight", "__local", "__offset")
     )
 
 
