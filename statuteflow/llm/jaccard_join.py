@@ -27,6 +27,7 @@ from .words import mix, runs, span_keys, split_words
 SHINGLE, PERCENT = 5, 80
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 FREQUENT = 100  # a token in more groups than this is frequent
+PRUNED = 3  # times that tokens and sets without a possible link are taken out
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,15 +48,41 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def gather_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """id, n (size of the set), node (hash of the set), common (tokens that other rows have), lows (minimal hashes), tokens.
+    """id, n (size of the set), node (hash of the set), common (tokens that other sets have), lows (minimal hashes), tokens.
 
-    Tokens and lows are given only where enough tokens are common for any link; the others link with nothing.
+    Of equal sets one asks for its tokens. Tokens, common and lows are given only for it, and only where enough tokens
+    are common for any link with a different set.
     """
     texts, parts = chunked(docs), part_count(docs)
 
-    def ask(table: pa.Table) -> pa.Table:
-        _, raw, _ = in_order(table)
-        _, keys = shingle_sets(raw, size)
+    def sets_of(table: pa.Table):
+        ids, raw, numbers = in_order(table)
+        doc, keys = shingle_sets(raw, size)
+        n = np.bincount(doc, minlength=len(ids))
+        node = np.zeros(len(ids), dtype=np.uint64)
+        np.add.at(node, doc, mix(keys))
+        return ids, numbers, doc, keys, n, mix(node + n.astype(np.uint64)).view(np.int64)
+
+    def sign(table: pa.Table) -> pa.Table:
+        _, numbers, _, _, n, node = sets_of(table)
+        some = np.flatnonzero(n)
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64()), "node": node[some], "number": numbers[some]})
+
+    def asking(numbers: np.ndarray, n: np.ndarray, node: np.ndarray, heads: pa.Table) -> np.ndarray:
+        """Whether each text is the one of its set that asks; of repeated rows the first."""
+        wanted = set(zip(heads.column("node").to_pylist(), heads.column("number").to_pylist()))
+        out = np.zeros(len(n), dtype=bool)
+        for i, key in enumerate(zip(node.tolist(), numbers.tolist())):
+            if n[i] and key in wanted:
+                out[i] = True
+                wanted.discard(key)
+        return out
+
+    def ask(table: pa.Table, heads: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
+        _, numbers, doc, keys, n, node = sets_of(table)
+        keys = keys[asking(numbers, n, node, heads)[doc]]
         order, bounds = deal(keys, parts)
         some = np.flatnonzero(np.diff(bounds))
         return pa.table({
@@ -68,31 +95,32 @@ def gather_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         _, number, times = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
         return _answers(table, times[number] >= 2, [len(k) for k in asked])
 
-    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return SETS.empty_table()
-        ids, raw, _ = in_order(table)
-        doc, keys = shingle_sets(raw, size)
+        ids, numbers, doc, keys, n, node = sets_of(table)
+        is_head = pa.array([part is None for part in told.column("part").to_pylist()], pa.bool_())
+        asks = asking(numbers, n, node, told.filter(is_head))
+        answers = told.filter(pa.array([not x for x in is_head.to_pylist()], pa.bool_()))
+        doc, keys = doc[asks[doc]], keys[asks[doc]]
         shared = gather_flags(*deal(keys, parts), answers.column("part").to_pylist(), answers.column("flags").to_pylist())
-        n = np.bincount(doc, minlength=len(ids))
         common = np.bincount(doc[shared], minlength=len(ids))
-        starts = np.cumsum(n) - n
-        node = np.zeros(len(ids), dtype=np.uint64)
-        np.add.at(node, doc, mix(keys))
-        node = mix(node + n.astype(np.uint64)).view(np.int64)
+        cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
         lows, tokens = [], []
         for i in range(len(ids)):
-            if n[i] and common[i] * 100 >= percent * n[i]:
-                own = keys[starts[i] : starts[i] + n[i]]
-                lows.append([int(mix(own ^ np.uint64(seed)).min().view(np.int64)) for seed in SEEDS])
-                tokens.append(own.view(np.int64))
-            else:
-                lows.append(None)
-                tokens.append(None)
+            active = asks[i] and common[i] * 100 >= percent * n[i]
+            own = keys[cuts[i] : cuts[i + 1]]
+            lows.append([int(mix(own ^ np.uint64(seed)).min().view(np.int64)) for seed in SEEDS] if active else None)
+            tokens.append(own.view(np.int64) if active else None)
         return pa.table({"id": pa.array(ids, pa.int64()), "n": n.astype(np.int64), "node": node, "common": common.astype(np.int64), "lows": pa.array(lows, pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.list_(pa.int64()))}, schema=SETS)
 
     by_chunk = texts.groupBy("chunk")
-    told = by_chunk.applyInArrow(ask, "chunk long, part int, keys binary").groupBy("part").applyInArrow(answer, "chunk long, part int, flags binary")
+    signed = by_chunk.applyInArrow(sign, "chunk long, node long, number long")
+    heads = signed.groupBy("node").agg(F.min(F.struct("number", "chunk")).alias("head")).select("head.chunk", "node", "head.number")
+    asks = by_chunk.cogroup(heads.groupBy("chunk")).applyInArrow(ask, "chunk long, part int, keys binary")
+    answers = asks.groupBy("part").applyInArrow(answer, "chunk long, part int, flags binary")
+    told = answers.select("chunk", "part", "flags", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("number")).union(
+        heads.select("chunk", F.lit(None).cast("int"), F.lit(None).cast("binary"), "node", "number"))
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(finish, "id long, n long, node long, common long, lows array<long>, tokens array<long>")
 
 
@@ -108,39 +136,56 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def typical_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links of every set with the most typical one (most common tokens) of those that share a minimal hash with it."""
+    """Links of every set with the most typical one (fewest tokens of its own) of those that share a minimal hash with it."""
     rows = sets.select("node", (1 - F.col("common") / F.col("n")).alias("own"), F.posexplode("lows").alias("turn", "low"))
     centers = rows.groupBy("turn", "low").agg(F.min(F.struct("own", "node"))["node"].alias("b"), F.count("*").alias("many")).where("many > 1")
     pairs = rows.join(centers, ["turn", "low"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     return verified(pairs, sets, percent)
 
 
-def prefix_keys(sets: DataFrame, groups: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """key, node, grp, n, met: index keys of the sets that may link with a set of another group.
+def meeting_tokens(sets: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, grp, n, own: the tokens of each set that a link with another group could have in common.
+
+    ``groups``: node, grp. A token counts by the groups that have it, and knows the smallest set that does. A set keeps a
+    token only if it has enough of them for a link with a set of that size; sets that have too few are out. What is out
+    makes further tokens useless, so this is done again, each time over what is left.
+    """
+    left = sets.join(groups, "node").select("node", "grp", "n", F.explode("tokens").alias("token"))
+    for turn in range(PRUNED):
+        used = left.groupBy("token", "grp").agg(F.min("n").alias("low")).groupBy("token").agg(F.count("*").alias("in_groups"), F.min("low").alias("low")).where("in_groups > 1")
+        own = left.join(used, "token").groupBy("node", "grp", "n").agg(F.collect_list(F.struct("in_groups", "token", "low")).alias("own"))
+        own = own.withColumn("own", F.filter("own", lambda x: F.ceil((F.col("n") + x["low"]) * percent / (100 + percent)) <= F.size("own")))
+        own = stage_table(own.where(F.size("own") * 100 >= F.col("n") * percent), "meeting")
+        left = own.select("node", "grp", "n", F.explode("own.token").alias("token"))
+    return own
+
+
+def prefix_keys(meeting: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """key, node, grp, n, most: index keys of the sets, and how many tokens a link by such a key can have in common.
 
-    ``groups``: node, grp. A token counts by the groups that have it; met is how many tokens of a set other groups have.
+    Tokens that are not in ``meeting`` come first in the order of the prefix and use up its places.
     """
-    tokens = sets.join(groups, "node").select("node", "grp", "n", F.explode("tokens").alias("token"))
-    used = tokens.groupBy("token", "grp").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("in_groups")).where("in_groups > 1")
-    met = tokens.join(used, "token").groupBy("node", "grp", "n").agg(F.sort_array(F.collect_list(F.struct((F.col("in_groups") > frequent).alias("often"), "token"))).alias("own"))
-    met = met.withColumn("met", F.size("own")).where(F.col("met") * 100 >= F.col("n") * percent)
-    # tokens that no other group has would come first: they use up places of the prefix
+    own = F.sort_array(F.transform("own", lambda x: F.struct((x["in_groups"] > frequent).alias("often"), x["token"].alias("token"))))
+    met = meeting.select("node", "grp", "n", own.alias("own"), F.size("own").alias("met"), F.size(F.filter("own", lambda x: x["in_groups"] > frequent)).alias("often"))
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("met"))
     first = F.slice("own", 1, F.greatest(places, F.lit(0)).cast("int"))
     wider = F.filter(F.slice("own", 1, F.greatest(places + 1, F.lit(0)).cast("int")), lambda x: x["often"])
-    single = F.transform(F.filter(first, lambda x: ~x["often"]), lambda x: F.xxhash64(x["token"]))
-    pairs = F.flatten(F.transform(wider, lambda x, i: F.transform(F.slice(wider, i + 2, F.size(wider)), lambda y: F.xxhash64(x["token"], y["token"]))))
-    return met.select("node", "grp", "n", "met", F.explode(F.concat(single, pairs)).alias("key"))
+    # without a common rare token all common tokens are frequent
+    wider = F.when(F.col("often") * 100 >= F.col("n") * percent, wider).otherwise(F.slice(wider, 1, 0))
+    single = F.transform(F.filter(first, lambda x: ~x["often"]), lambda x: F.struct(F.xxhash64(x["token"]).alias("key"), F.col("met").alias("most")))
+    pairs = F.flatten(F.transform(wider, lambda x, i: F.transform(
+        F.slice(wider, i + 2, F.size(wider)), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), F.col("often").alias("most")))))
+    return met.select("node", "grp", "n", F.explode(F.concat(single, pairs)).alias("k")).select("node", "grp", "n", "k.key", "k.most")
 
 
 def links_between_groups(sets: DataFrame, groups: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """All links between sets of different groups."""
-    keys = stage_table(prefix_keys(sets, groups, percent, frequent), "keys")
+    keys = stage_table(prefix_keys(meeting_tokens(sets, groups, percent), percent, frequent), "keys")
     mixed = keys.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("key")
     keys = keys.join(mixed, "key")
-    one, two = (keys.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "grp", "n", "met")]) for x in "ab")
+    one, two = (keys.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "grp", "n", "most")]) for x in "ab")
     least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))  # common tokens that a link needs
-    found = one.join(two, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("grp_a") != F.col("grp_b")) & (F.least("met_a", "met_b") >= least))
+    found = one.join(two, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("grp_a") != F.col("grp_b")) & (F.least("most_a", "most_b") >= least))
     return verified(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent)
 
 
@@ -153,22 +198,17 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     hashes of their shingles. An empty table gives an empty result.
     """
     rows = stage_table(gather_sets(docs, size, percent), "sets")
-    active = rows.where("tokens IS NOT NULL")
-    # of equal sets one; their arrays stay where they are, only ids are compared
-    heads = active.groupBy("node").agg(F.min(F.coalesce("id", F.lit(np.iinfo(np.int64).max))).alias("head"), F.count("*").alias("copies"))
-    sets = active.withColumn("head", F.coalesce("id", F.lit(np.iinfo(np.int64).max))).join(heads, ["node", "head"])
-    sets = stage_table(sets.dropDuplicates(["node"]).select("node", "n", "common", "lows", "tokens"), "distinct-sets")
+    sets = rows.where("tokens IS NOT NULL").select("node", "n", "common", "lows", "tokens")
     near = stage_table(typical_links(sets, percent), "near")
     grouped = components(near)
     groups = stage_table(sets.select("node").join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("grp")), "groups")
     far = stage_table(links_between_groups(sets, groups, percent, frequent), "far")
     merged = components(near.union(far))
-    smallest = heads.join(merged, "node", "left").select("node", "head", F.coalesce("component", "node").alias("component"))
-    lowest = smallest.groupBy("component").agg(F.min("head").alias("low"))
-    named = smallest.join(lowest, "component").select("node", "low")
-    found = rows.select("id", "n", F.when(F.col("tokens").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
-    own = F.when(F.col("low") < np.iinfo(np.int64).max, F.col("low"))
-    return found.select("id", F.col("n").alias("n_shingles"), F.when(F.col("low").isNotNull(), own).otherwise(F.col("id")).alias("component_id"))
+    heads = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("head"))
+    placed = heads.join(merged, "node", "left").select("node", "head", F.coalesce("component", "node").alias("component"))
+    named = placed.join(placed.groupBy("component").agg(F.min("head").alias("low")), "component").select("node", "low")
+    found = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    return found.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"))
 
 
 JOIN_SQL = rf"""
