@@ -83,7 +83,7 @@ class LanguageModels:
         at[at == len(self.known)] = 0
         new = self.known[at] != unique if len(self.known) else np.ones(len(unique), dtype=bool)
         if new.any():
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 400_000:
                 self.known, self.values, new = self.known[:0], self.values[:0], np.ones(len(unique), dtype=bool)
             made = self._compute(codes, places[first[new]])
             keys_now = np.concatenate([self.known, unique[new]])

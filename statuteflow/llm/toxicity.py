@@ -33,6 +33,7 @@ STEMS = (4, 5, 6)  # lengths of word beginnings that are features beside whole w
 FIT_DOCUMENTS, FEATURES = 200_000, 50_000
 SEEN_LEAST, WEIGHT_LEAST = 5, 2.5  # toxic documents with a feature; its smallest weight
 CONFIDENCE = 1.64  # standard deviations
+KNOWN_WORDS, SLICE = 150_000, 1 << 20  # readings that a task remembers; bytes of texts that it reads at once
 _EDGES = re.compile(r"^[^\w@$€£|+(!]+|[^\w@$€£|+]+$")
 _RUNS = re.compile(r"(.)\1{2,}")
 _GAPS = re.compile(r"[^\w@$€£|+(!]|_")
@@ -150,7 +151,7 @@ def character_costs(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
         for batch in batches:
-            for _, texts in text_slices(batch.column(0)):
+            for _, texts in text_slices(batch.column(0), SLICE):
                 _, distinct, times = distinct_words(split_words(texts))
                 kept = [(w, n) for w, n in zip((w.decode("utf-8", "replace").lower().strip(".,;:") for w in distinct), times.tolist()) if w.isalpha()]
                 known = {c: symbol(c) for c in set("".join(w for w, _ in kept))}
@@ -174,7 +175,7 @@ def character_costs(docs: DataFrame) -> np.ndarray:
 def _restored(texts: list[bytes], restorer: Restorer, known: dict[bytes, str]) -> tuple[Words, np.ndarray, list[str]]:
     words = joined_letters(split_words(texts))
     codes, distinct, _ = distinct_words(words)
-    if len(known) > 500_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     return words, codes, [known[w] if w in known else known.setdefault(w, restorer.restore(w)) for w in distinct]
 
@@ -189,7 +190,7 @@ def restore_texts(docs: DataFrame, costs: np.ndarray) -> DataFrame:
     def run(batches):
         restorer, known = Restorer(model.value), {}
         for batch in batches:
-            for at, texts in text_slices(batch.column(1)):
+            for at, texts in text_slices(batch.column(1), SLICE):
                 words, codes, read = _restored(texts, restorer, known)
                 out: list[list[str]] = [[] for _ in texts]
                 for doc, code in zip(words.doc.tolist(), codes.tolist()):
@@ -223,7 +224,7 @@ def feature_weights(sample: DataFrame, costs: np.ndarray) -> tuple[np.ndarray, n
         restorer, known = Restorer(model.value), {}
         for batch in batches:
             toxic_of = batch.column(1).to_numpy(zero_copy_only=False)
-            for at, texts in text_slices(batch.column(0)):
+            for at, texts in text_slices(batch.column(0), SLICE):
                 words, codes, read = _restored(texts, restorer, known)
                 owner, keys = feature_keys(read)
                 unique, number = np.unique(keys, return_inverse=True)
@@ -276,7 +277,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, most
         costs, keys, weights, prior = model.value
         restorer, known = Restorer(costs), {}
         for batch in batches:
-            for at, texts in text_slices(batch.column(1)):
+            for at, texts in text_slices(batch.column(1), SLICE):
                 words, codes, read = _restored(texts, restorer, known)
                 owner, mine = feature_keys(read)
                 each = np.zeros(len(read))

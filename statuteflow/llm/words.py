@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that they have inverses modulo 2**64
-SLICE_BYTES, SPLIT_BYTES = 4 << 20, 1 << 20
+SLICE_BYTES, SPLIT_BYTES = 2 << 20, 1 << 20
 
 
 class Words(NamedTuple):
@@ -95,16 +95,20 @@ def runs(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(column: pa.Array, most: int = SLICE_BYTES):
-    """(first row, texts as bytes) for consecutive rows of about ``most`` bytes; one long text stands alone."""
-    texts = column.cast(pa.large_binary()).to_pylist()
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"")
-        if size >= most:
-            yield first, texts[first : i + 1]
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+    """(first row, texts as bytes) for consecutive rows of about ``most`` bytes; one long text stands alone.
+
+    Rows leave Arrow a few at a time, as a batch may be much larger than a slice.
+    """
+    texts, first, size = [], 0, 0
+    for low in range(0, len(column), 64):
+        for text in column.slice(low, 64).cast(pa.large_binary()).to_pylist():
+            texts.append(text)
+            size += len(text or b"")
+            if size >= most:
+                yield first, texts
+                texts, first, size = [], first + len(texts), 0
+    if texts:
+        yield first, texts
 
 
 def distinct_words(words: Words) -> tuple[np.ndarray, list[bytes], np.ndarray]:
