@@ -237,6 +237,11 @@ def j9(spark, d):
     return P.progress_report(returned_tasks(spark, d, s)).drop("same_annotator")
 
 
+@query("j9_label_counts", f"WITH {TASKS_SQL} SELECT slot, label, count(*) AS n FROM tasks WHERE label IS NOT NULL GROUP BY ALL")
+def j9_label_counts(spark, d):
+    return P.label_counts(returned_tasks(spark, d, stage_table(sample(spark, d), "sample")))
+
+
 @query("j9_disagreements", f"""WITH {TASKS_SQL}, v AS (SELECT clause_id, max(CASE WHEN slot = 'A' THEN label END) AS label_a,
     max(CASE WHEN slot = 'B' THEN label END) AS label_b FROM tasks GROUP BY 1) SELECT * FROM v WHERE label_a <> label_b""")
 def j9_disagreements(spark, d):
