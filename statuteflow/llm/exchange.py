@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", others: tuple[Column, ...] = ()) -> DataFrame:
