@@ -25,14 +25,18 @@ PIECES, WORD_MARK = "/opt/tokenizers/piece_bpe_32k.model", "▁"
 class PieceCounter:
     """Number of greedy longest-match pieces of a word; -1 where no sequence of longest matches covers it.
 
-    ``first`` pieces may begin a word, ``inner`` pieces continue it.
+    ``first`` pieces may begin a word, ``inner`` pieces continue it. An empty piece in ``first`` is the bare mark: one
+    piece before inner pieces, where no longer one begins the word.
     """
 
     def __init__(self, first: Iterable[str], inner: Iterable[str]):
         self.next: list[dict[str, int]] = [{}, {}]  # node 0: begin of a word, node 1: inside a word
+        first = set(first)
         ends = {self._add(0, piece) for piece in first if piece} | {self._add(1, piece) for piece in inner if piece}
         n = len(self.next)
         self.fail, self.pops = [-1] * n, [0] * n
+        if "" in first:
+            self.fail[0], self.pops[0] = 1, 1
         parents: deque[int] = deque((0, 1))
         while parents:
             at = parents.popleft()
@@ -75,7 +79,7 @@ class PieceCounter:
 
 
 def load_pieces(path: str) -> tuple[list[str], list[str]]:
-    """Pieces that begin a word (without the mark) and pieces inside a word, of a sentencepiece file."""
+    """Pieces that begin a word (without the mark; the bare mark is '') and pieces inside a word, of a sentencepiece file."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)

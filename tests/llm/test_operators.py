@@ -170,6 +170,27 @@ def test_token_counts_are_greedy_longest_matches(spark, odd):
     assert token_counts.count_tokens(df.limit(0), first, inner).count() == 0
 
 
+def test_token_counts_keep_the_bare_word_mark(spark):
+    first, inner = token_counts.load_pieces(token_counts.PIECES)
+    pieces, starts = set(inner), set(first)
+    assert "" in starts
+
+    def brute(word):
+        begin = next(e for e in range(len(word), -1, -1) if word[:e] in starts)
+        rest = brute_pieces(word[begin:], pieces, pieces)
+        return -1 if rest < 0 else 1 + rest
+
+    words = ["2024", "3.5", "ça", "être", "ñu", "ß", "1,000.00", "(a)", "word", "x2y", "§12", "the", "'s"]
+    rng = random.Random(3)
+    signs = sorted({p[0] for p in inner})
+    words += ["".join(rng.choice(signs if rng.random() < 0.3 else "0123456789etaç.") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    counter = token_counts.PieceCounter(first, inner)
+    assert [counter.count(w) for w in words] == [brute(w) for w in words]
+    assert all(counter.count(w) > 0 for w in words[:6])
+    got = token_counts.count_tokens(table(spark, [(1, "2024 3.5 ça", "fr", "s")]), first, inner).first()
+    assert tuple(got) == (1, 3, sum(brute(w) for w in ("2024", "3.5", "ça")), 0)
+
+
 def brute_vectors(rows, least=0.9):
     good = {i: np.array(v, dtype=float) / max(map(abs, v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     links = {i: {j for j, w in good.items() if j != i and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= least} for i, v in good.items()}
