@@ -450,3 +450,31 @@ def test_license_scan_finds_wordings(spark, odd):
     assert got == [(-1, "MIT"), (1, "MIT"), (2, "MIT"), (4, "Apache-2.0"), (5, "CC-BY-NC-4.0")]
     assert license_scan.scan_licenses(odd[0]).count() == 0
     assert license_scan.scan_licenses(odd[0].limit(0)).count() == 0
+
+
+def test_license_scan_of_neighbouring_and_wrapped_statements(spark):
+    notice, gpl = license_scan.TEMPLATES["MIT"][1], license_scan.TEMPLATES["GPL-3.0"][1]
+    wrap = lambda text, mark, n: "\n".join(mark + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    mit, apache = "Released under the MIT License.", license_scan.TEMPLATES["Apache-2.0"][0]
+    texts = [
+        ("permission " + "a filler " * gap + mit + " filler" * 200, ["MIT"]) for gap in range(1, 90, 8)
+    ] + [
+        (wrap(notice, " * ", 7), ["MIT"]), (f"x\n{wrap(gpl, '# ', 9)}\ny", ["GPL-3.0"]),  # wrapped
+        (f"{mit} {apache}", ["Apache-2.0", "MIT"]), (f"{apache} words " * 3, ["Apache-2.0"] * 3), (f"{mit}\n\n\n{apache}", ["Apache-2.0", "MIT"]),
+        ("w " * 400 + f"{mit} " + "w " * 60 + f"{apache} " + "w " * 500 + mit, ["Apache-2.0", "MIT", "MIT"]), ("permission " * 300 + mit + " license" * 300, ["MIT"]),
+    ]
+    rows = license_scan.scan_licenses(table(spark, [(i, text, "en", "s") for i, (text, _) in enumerate(texts)])).collect()
+    assert [sorted(r["license"] for r in rows if r["doc_id"] == i) for i in range(len(texts))] == [wanted for _, wanted in texts]
+    assert all(texts[r["doc_id"]][0].encode()[r["at_byte"] :].startswith(r["block"].encode()) and r["n_changes"] == 0 for r in rows)
+
+
+def test_license_regions_hold_all_words_near_anchors():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["license", "relicensed ", "a", "bc ", " ", "\n", "- ", "x" * 90 + " ", "é "]) if rng.random() < 0.5 else "w " for _ in range(rng.randrange(0, 60))).encode()
+        words = [m.span() for m in license_scan.WORDS.finditer(text)]
+        width, near = rng.randrange(1, 6), set()
+        for found in license_scan.ANCHOR.finditer(text):
+            at = next(i for i, (a, b) in enumerate(words) if a <= found.start() < b)
+            near |= set(range(max(0, at - width), min(len(words), at + width + 1)))
+        assert [w for r in license_scan.regions(text, width) for w in r] == [words[i] for i in sorted(near)], (text, width)
