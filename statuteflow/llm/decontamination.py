@@ -2,15 +2,17 @@
 
 A window is read by a random walk: each step writes the word under a pointer, and a random bit of that word and step says
 whether the pointer moves on. Two windows that differ by few edits fall into step again, so edit distance becomes Hamming
-distance of what is written. Hash tables sample some steps of several walks (bit sampling); their number follows from the
-wanted recall. Windows of an item's size begin at every word of a text; those that hold less of the items' words, weighed
-by rarity, than the allowed edits leave of an item cannot be near one and are not walked. Candidates are verified by the
-exact edit distance of words.
+distance of what is written. Hash tables sample steps of the whole of several walks (bit sampling); their number follows
+from the wanted recall, measured on made passages of each length. Windows of an item's size begin at every word of a text.
+Two exact tests say which cannot be near an item and are not walked: of an item cut into one piece more than its allowed
+edits, one piece must be there unchanged and at most that many words from its place; and what a window holds of the items'
+words, weighed by rarity, must not be less than the edits leave. Candidates are verified by the exact edit distance of words.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,26 +20,84 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query
-from .words import mix, split_words, text_slices
+from .words import STEP, mix, span_keys, split_words, text_slices
 
 EDITS = 0.2  # edits of words that a hit may have, as a share of the item's words
 LEAST_WORDS = 8  # shorter items are no evidence
-RECALL, SAMPLED, MISMATCH = 0.98, 3, 0.5  # wanted recall; steps in a table; share of steps that differ at EDITS
+RECALL, SAMPLED = 0.99, 3  # wanted recall of the measured passages; steps in a table
 TABLES_PER_WALK = 3
-SPREAD = 1.2  # steps are sampled below this many times the shortest item of a class of lengths
-CLASS = 8  # items whose lengths have the same quotient by it share their sampled steps
+CLASS = 1.1  # items share their sampled steps with items up to so many times as long
+TRIALS = 300  # passages of each kind on which the number of walks is measured
 ITEMS_AT_ONCE = 20_000  # items in one broadcast; more are taken in turns
-PLACES_AT_ONCE = 200_000
+PLACES_AT_ONCE = 20_000
 
 
-def table_count(recall: float = RECALL, sampled: int = SAMPLED, mismatch: float = MISMATCH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - mismatch) ** sampled))
+def length_class(n: int) -> tuple[int, int]:
+    """Shortest and longest length of the items that share sampled steps with items of n words."""
+    low = LEAST_WORDS
+    while int(low * CLASS) < n:
+        low = int(low * CLASS) + 1
+    return low, int(low * CLASS)
+
+
+def sampled_steps(low: int, walks: int) -> np.ndarray:
+    """Steps (walks x tables x SAMPLED) over the whole walk of ``low`` words, which ends after two steps a word, about."""
+    rng = np.random.default_rng(11 + low)
+    last = int(2 * low - math.sqrt(2 * low))
+    return np.stack([[np.sort(rng.choice(last, SAMPLED, replace=False)) for _ in range(TABLES_PER_WALK)] for _ in range(walks)])
+
+
+def table_keys(words: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Keys (walks x tables x places) of the windows from begin; words from end on are no words."""
+    walks, padded = len(steps), np.append(words, np.uint64(0))
+    number = np.arange(walks)
+    at, out = np.repeat(begin[None, :], walks, axis=0), np.zeros((walks, TABLES_PER_WALK, len(begin)), dtype=np.uint64)
+    for step in range(int(steps.max()) + 1):
+        word = np.where(at < end, padded[np.minimum(at, len(words))], np.uint64(0))
+        for walk, table in zip(*np.nonzero((steps == step).any(axis=2))):
+            out[walk, table] = mix(out[walk, table] ^ word[walk]) + np.uint64(1 + walk * TABLES_PER_WALK + table)
+        stamp = (number.astype(np.uint64) * np.uint64(100_003) + np.uint64(step + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        at += (mix(word ^ stamp[:, None]) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+def edited(rng: np.random.Generator, words: np.ndarray, edits: int, low: int, high: int) -> np.ndarray:
+    """The words with ``edits`` words replaced, deleted or inserted at places from low to high."""
+    own = words.tolist()
+    for p in sorted(rng.choice(np.arange(low, high), min(edits, high - low), replace=False).tolist(), reverse=True):
+        how = rng.integers(3)
+        own[p : p + (how > 0)] = [] if how == 2 else rng.integers(1, 2**63, 1).tolist()
+    return np.array(own, dtype=np.uint64)
+
+
+@lru_cache(maxsize=None)
+def walk_count(low: int, high: int, recall: float = RECALL) -> int:
+    """Walks that find at least ``recall`` of passages with all allowed edits, be they all over, in the first or second half."""
+    rng, walks = np.random.default_rng(7), 16
+    pairs = []
+    for n in sorted({low, high}):
+        for first, last in ((1, n), (1, (n + 1) // 2), (n // 2, n)):
+            for _ in range(TRIALS):
+                item, behind = (rng.integers(1, 2**63, k).astype(np.uint64) for k in (n, 2 * n))
+                pairs.append((item, np.concatenate([edited(rng, item, int(EDITS * n), first, last), behind])))
+
+    def keys(side, steps):
+        ends = np.cumsum([len(p[side]) for p in pairs])
+        return table_keys(np.concatenate([p[side] for p in pairs]), np.append(0, ends[:-1]), ends, steps)
+
+    while True:
+        steps = sampled_steps(low, walks)
+        met = np.logical_or.accumulate((keys(0, steps) == keys(1, steps)).any(axis=1), axis=0)
+        worst = met.reshape(walks, -1, TRIALS).mean(axis=2).min(axis=1)
+        if worst[-1] >= recall:
+            return 1 + int(np.argmax(worst >= recall))
+        walks *= 2
 
 
 class Items:
-    """The items of a benchmark and their hash tables."""
+    """The items of a benchmark and their hash tables. walks: of each class of lengths, measured here if not given."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], walks: dict[tuple[int, int], int] | None = None):
         words = split_words(texts, lower=True)
         cuts = np.searchsorted(words.doc, np.arange(len(texts) + 1))
         self.words = [words.key[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
@@ -45,21 +105,53 @@ class Items:
         self.vocabulary = np.unique(np.concatenate([self.words[i] for i in self.usable])) if self.usable else np.zeros(0, dtype=np.uint64)
         times = np.unique(np.concatenate([self.words[i] for i in self.usable]), return_counts=True)[1] if self.usable else np.zeros(0, dtype=np.int64)
         self.weights = 1 + np.round(16 * np.log2(times.sum() / times)).astype(np.int64) if self.usable else times
-        self.walks = math.ceil(table_count() / TABLES_PER_WALK)
-        rng = np.random.default_rng(11)
-        classes: dict[int, list[int]] = {}
+        classes: dict[tuple[int, int], list[int]] = {}
         for i in self.usable:
-            classes.setdefault(len(self.words[i]) // CLASS, []).append(i)
+            classes.setdefault(length_class(len(self.words[i])), []).append(i)
+        self.walks = {c: walk_count(*c) for c in classes} if walks is None else walks
         self.classes = []
-        for number in sorted(classes):
-            own = classes[number]
-            shortest = min(len(self.words[i]) for i in own)
-            steps = np.sort(rng.integers(0, int(SPREAD * shortest), (self.walks, TABLES_PER_WALK, SAMPLED)), axis=2)
+        for low, high in sorted(classes):
+            own = classes[low, high]
+            steps = sampled_steps(low, self.walks[low, high])
             flat = np.concatenate([self.words[i] for i in own])
             begin = np.cumsum([0] + [len(self.words[i]) for i in own])
-            keys = self.keys(flat, begin[:-1], begin[1:], [(number, steps)])[number]
+            keys = table_keys(flat, begin[:-1], begin[1:], steps).reshape(-1, len(own))
             order = np.argsort(keys.reshape(-1), kind="stable")
-            self.classes.append((number, steps, keys.reshape(-1)[order], np.tile(np.array(own), self.walks * TABLES_PER_WALK)[order], self._least(own)))
+            self.classes.append((steps, keys.reshape(-1)[order], np.tile(np.array(own), len(keys))[order], self._least(own)))
+        self.pieces = self._pieces([classes[c] for c in sorted(classes)])
+
+    def _pieces(self, classes: list[list[int]]) -> dict[int, tuple[np.ndarray, ...]]:
+        """By length in words: sorted keys of pieces, their class, and how far before the piece a passage begins."""
+        found: dict[int, set] = {}
+        for number, own in enumerate(classes):
+            for i in own:
+                n = len(self.words[i])
+                edits = int(EDITS * n)
+                cuts = n * np.arange(edits + 2) // (edits + 1)
+                for key, a, b in zip(span_keys(self.words[i], cuts[:-1], cuts[1:], STEP).tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    found.setdefault(b - a, set()).add((key, number, max(0, a - edits), a + edits))
+        return {length: tuple(np.array(x, dtype=kind) for x, kind in zip(zip(*sorted(rows)), (np.uint64, np.int64, np.int64, np.int64))) for length, rows in found.items()}
+
+    def _near_pieces(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Classes x places: where a passage near an item of the class may begin, by the pieces that are there unchanged."""
+        n = len(words)
+        change = np.zeros((len(self.classes), n + 1), dtype=np.int32)
+        for length, (keys, number, nearest, farthest) in self.pieces.items():
+            at = np.arange(max(0, n - length + 1))
+            at = at[at + length <= ends[at]]
+            own = span_keys(words, at, at + length, STEP)
+            spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = np.flatnonzero(keys[spot] == own)
+            low, high = spot[hit], np.searchsorted(keys, own[hit], "right")
+            for first in range(0, len(hit), PLACES_AT_ONCE):
+                some = slice(first, first + PLACES_AT_ONCE)
+                many = high[some] - low[some]
+                for turn in range(int(many.max())):
+                    here = many > turn
+                    piece, place = low[some][here] + turn, at[hit[some][here]]
+                    np.add.at(change, (number[piece], np.maximum(0, place - farthest[piece])), 1)
+                    np.add.at(change, (number[piece], np.maximum(0, place - nearest[piece]) + 1), -1)
+        return np.cumsum(change[:, :-1], axis=1, dtype=np.int32) > 0
 
     def _least(self, items: list[int]) -> list[tuple[int, int]]:
         """Bounds (words of a passage, weight) of which each passage near one of the items meets one at least.
@@ -77,24 +169,6 @@ class Items:
                 out[width] = min(out.get(width, least), least)
         return sorted(out.items())
 
-    def keys(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray, classes) -> dict[int, np.ndarray]:
-        """For each class its table keys (tables x places) of the windows from begin; words from end on are no words."""
-        padded = np.append(words, np.uint64(0))
-        out = {number: np.zeros((self.walks, TABLES_PER_WALK, len(begin)), dtype=np.uint64) for number, _ in classes}
-        last = max(int(steps.max()) for _, steps in classes)
-        for walk in range(self.walks):
-            at = begin.copy()
-            for step in range(last + 1):
-                word = np.where(at < end, padded[np.minimum(at, len(words))], np.uint64(0))
-                for number, steps in classes:
-                    for table in range(TABLES_PER_WALK):
-                        for _ in range(int((steps[walk, table] == step).sum())):
-                            own = out[number][walk, table]
-                            out[number][walk, table] = mix(own ^ word) + np.uint64(1 + number * 1_000_003 + walk * TABLES_PER_WALK + table)
-                bit = mix(word ^ np.uint64((walk * 100_003 + step + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(1)
-                at = at + bit.astype(np.int64)
-        return {number: keys.reshape(self.walks * TABLES_PER_WALK, -1) for number, keys in out.items()}
-
     def candidates(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, item) of windows that share a key with an item. ends: of each word's text."""
         if not self.usable or not len(words):
@@ -102,18 +176,17 @@ class Items:
         spot = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         known = self.vocabulary[spot] == words
         sums = np.concatenate([[0], np.cumsum(np.where(known, self.weights[spot], 0))])
-        at = np.flatnonzero(known)
-        wanted = {}
-        for number, _, _, _, bounds in self.classes:
-            wanted[number] = np.zeros(len(at), dtype=bool)
-            for width, least in bounds:
-                wanted[number] |= sums[np.minimum(at + width, ends[at])] - sums[at] >= least
+        possible = self._near_pieces(words, ends)
         found = []
-        for number, steps, table, items, _ in self.classes:
-            chosen = at[wanted[number]]
+        for own_places, (steps, table, items, bounds) in zip(possible, self.classes):
+            at = np.flatnonzero(own_places & known)
+            wanted = np.zeros(len(at), dtype=bool)
+            for width, least in bounds:
+                wanted |= sums[np.minimum(at + width, ends[at])] - sums[at] >= least
+            chosen = at[wanted]
             for first in range(0, len(chosen), PLACES_AT_ONCE):
                 places = chosen[first : first + PLACES_AT_ONCE]
-                own = self.keys(words, places, ends[places], [(number, steps)])[number]
+                own = table_keys(words, places, ends[places], steps).reshape(-1, len(places))
                 low, high = np.searchsorted(table, own, "left"), np.searchsorted(table, own, "right")
                 row, col = np.nonzero(high > low)
                 for r, c in zip(row.tolist(), col.tolist()):
@@ -161,15 +234,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for block in range(blocks):
         own = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(own), own.schema.field("item_id").type), f"doc_id {kinds[0]}, item_id {kinds[1]}, edits long, first_word long, n_words long")
+        lengths = np.unique(np.bincount(split_words([t.encode() for t in own.column("text").to_pylist()]).doc))
+        walks = {c: walk_count(*c) for c in sorted({length_class(n) for n in lengths.tolist() if n >= LEAST_WORDS})}
+        part = rows.mapInArrow(_search(spark.sparkContext.broadcast((own, walks)), own.schema.field("item_id").type), f"doc_id {kinds[0]}, item_id {kinds[1]}, edits long, first_word long, n_words long")
         found = part if found is None else found.union(part)
     return found
 
 
 def _search(sent, id_type):
     def run(batches):
-        ids = sent.value.column("item_id").combine_chunks()
-        items = Items([t.encode() for t in sent.value.column("text").to_pylist()])
+        given, walks = sent.value
+        ids = given.column("item_id").combine_chunks()
+        items = Items([t.encode() for t in given.column("text").to_pylist()], walks)
         for batch in batches:
             for at, texts in text_slices(batch.column(1)):
                 words = split_words(texts, lower=True)

@@ -132,6 +132,41 @@ def test_decontamination_finds_edited_items_and_nothing_else(spark):
     assert all(d % 2 for d, _ in found)
 
 
+@pytest.mark.parametrize("n", [9, 20, 40, 80])
+def test_decontamination_finds_clustered_edits(n):
+    rng, texts, benchmark = random.Random(n), [], []
+    for i in range(240):
+        own = spoken(rng, n, 100_000)
+        benchmark.append(" ".join(own).encode())
+        low, high = ((1, n), (1, (n + 1) // 2), (n // 2, n))[i % 3]
+        for p in sorted(rng.sample(range(low, high), min(int(0.2 * n), high - low)), reverse=True):
+            how = rng.random()
+            own[p : p + (how > 0.3)] = [] if how > 0.7 else spoken(rng, 1, 100_000)
+        texts.append(" ".join(spoken(rng, 30, 100_000) + own + spoken(rng, 30, 100_000)).encode())
+    words = decontamination.split_words(texts, lower=True)
+    ends = np.searchsorted(words.doc, np.arange(1, len(texts) + 1))[words.doc]
+    items = decontamination.Items(benchmark)
+    found = {(int(words.doc[p]), item) for p, item, *_ in items.verified(words.key, ends, *items.candidates(words.key, ends))}
+    assert found <= {(i, i) for i in range(len(texts))}
+    for kind in range(3):  # all over, first half, second half
+        assert sum((i, i) in found for i in range(kind, 240, 3)) >= 78
+
+
+def test_pieces_and_weights_keep_every_near_passage():
+    rng = random.Random(8)
+    benchmark = [spoken(rng, rng.randrange(8, 50), 30) for _ in range(40)]
+    texts = [spoken(rng, 20, 30) + own[: len(own) // 3] + spoken(rng, int(0.1 * len(own)), 30) + own[len(own) // 3 :] + spoken(rng, 20, 30) for own in benchmark]
+    words = decontamination.split_words([" ".join(t).encode() for t in texts], lower=True)
+    ends = np.searchsorted(words.doc, np.arange(1, len(texts) + 1))[words.doc]
+    items = decontamination.Items([" ".join(b).encode() for b in benchmark], {decontamination.length_class(len(b)): 1 for b in benchmark})
+    near = items._near_pieces(words.key, ends)
+    classes = sorted({decontamination.length_class(len(b)) for b in benchmark})
+    for item, own in enumerate(benchmark):
+        every = np.arange(len(words.key))
+        hits = items.verified(words.key, ends, every, np.full(len(every), item))
+        assert hits and all(near[classes.index(decontamination.length_class(len(own))), place] for place, *_ in hits)
+
+
 def test_decontamination_of_odd_input(spark, odd):
     df, rows = odd
     item = " ".join(rows[3][1].split()[5:25])
