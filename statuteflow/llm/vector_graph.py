@@ -4,7 +4,8 @@ Vectors go to the clusters of their nearest centroids, each to several, so that
 nearest neighbours, thinned by robust pruning, with reversed edges and a way from the medoid to every node. The adjacency
 lists of a vector are united over its shards. Every vector is then searched in each of its shards: greedily from the
 medoid with a beam, and from each hit outwards while neighbours are in range. An audit compares a sample of queries with
-all vectors and widens the search if too many links are missing. Links are verified in double precision.
+all vectors and widens the search if too many links are missing; if they still are in the last turn, all blocks are compared
+with all. Links are verified in double precision.
 """
 
 from __future__ import annotations
@@ -249,10 +250,39 @@ def find_links(vectors: DataFrame, overlap: int, beam: int, least: float) -> Dat
     return graph_rows.unionByName(asking).groupBy("dim", "shard", "block", "turn").applyInPandas(search, "id long, links long, label long")
 
 
+def exact_links(vectors: DataFrame, least: float) -> DataFrame:
+    """What ``find_links`` gives, without a miss: every block of a dimension is compared with every block of it."""
+    sizes = vectors.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = vectors.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    nodes = members.select("dim", "block", every.alias("turn"), "id", "v", "copies", F.lit(True).alias("is_node"))
+    asking = members.select("dim", every.alias("to"), F.col("block").alias("turn"), "id", "v", "copies").select("dim", F.col("to").alias("block"), "turn", "id", "v", "copies", F.lit(False).alias("is_node"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        node, ask = (frame[frame["is_node"] == kind].sort_values("id", ignore_index=True) for kind in (True, False))
+        if node.empty or ask.empty:
+            return pd.DataFrame({"id": [], "links": [], "label": []})
+        x, ids, copies = _matrix(node["v"]), node["id"].to_numpy(), node["copies"].to_numpy()
+        queries, own = _matrix(ask["v"]), ask["id"].to_numpy()
+        start = np.unique(np.concatenate([ids, own]))
+        labels, counts = start.copy(), np.zeros(len(own), dtype=np.int64)
+        for first in range(0, len(own), LANES):
+            a, b = np.nonzero((queries[first : first + LANES] @ x.T >= least) & (own[first : first + LANES, None] != ids))
+            counts += np.bincount(a + first, weights=copies[b], minlength=len(own)).astype(np.int64)
+            # with what earlier parts joined
+            ends = [np.append(np.arange(len(start)), np.searchsorted(start, own[a + first])), np.append(np.searchsorted(start, labels), np.searchsorted(start, ids[b]))]
+            labels = smallest_labels(*ends, labels)
+        edges = pd.DataFrame({"id": start, "links": 0, "label": labels})
+        return pd.concat([pd.DataFrame({"id": own, "links": counts, "label": own}), edges[edges["id"] != edges["label"]]])
+
+    return nodes.unionByName(asking).groupBy("dim", "block", "turn").applyInPandas(compare, "id long, links long, label long")
+
+
 def audit_recall(vectors: DataFrame, links: DataFrame, least: float, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the links of about ``queries`` vectors that were found; ``links``: id, links. Compared with all vectors.
+    """Mean share of their links that were found for about ``queries`` vectors; ``links``: id, links. Compared with all vectors.
 
-    Half of the queries are taken among vectors with links, which few vectors may have.
+    Half of the queries are taken among vectors with links, which few vectors may have. Each query with links weighs the
+    same, so that the many links of a dense group do not hide what is lost elsewhere.
     """
     total = max(1, links.count())
     some = max(1, links.where("links > 0").count())
@@ -264,16 +294,18 @@ def audit_recall(vectors: DataFrame, links: DataFrame, least: float, queries: in
     sent = vectors.sparkSession.sparkContext.broadcast({dim: (_matrix(own["v"]), own["id"].to_numpy()) for dim, own in asked.groupby("dim")})
 
     def count(frames):
+        there = {dim: np.zeros(len(ids), dtype=np.int64) for dim, (_, ids) in sent.value.items()}
         for frame in frames:
-            n = 0
             for dim, own in frame.groupby("dim"):
-                if dim in sent.value:
+                if dim in there:
                     x, ids = sent.value[dim]
-                    n += int((((x @ _matrix(own["v"]).T >= least) & (ids[:, None] != own["id"].to_numpy())) @ own["copies"].to_numpy()).sum())
-            yield pd.DataFrame({"n": [n]})
+                    there[dim] += ((x @ _matrix(own["v"]).T >= least) & (ids[:, None] != own["id"].to_numpy())) @ own["copies"].to_numpy()
+        for dim, n in there.items():
+            yield pd.DataFrame({"id": sent.value[dim][1], "n": n})
 
-    there = vectors.select("id", "dim", "v", "copies").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
-    return float(asked["links"].sum()) / there if there else 1.0
+    there = dict(vectors.select("id", "dim", "v", "copies").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect())  # the queries
+    shares = [found / there[i] for i, found in zip(asked["id"].tolist(), asked["links"].tolist()) if there.get(i)]
+    return float(np.mean(shares)) if shares else 1.0
 
 
 def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", least: float = LEAST) -> DataFrame:
@@ -290,12 +322,15 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str
     folded = stage_table(folded, "folded")
     heads = folded.select(F.col("head").alias("id"), "dim", "v", "copies")
     overlap, beam = OVERLAP, BEAM
-    for turn in range(WIDENED + 1):
+    for _ in range(WIDENED + 1):
         found = stage_table(find_links(heads, overlap, beam, least), "found")
         links = found.groupBy("id").agg(F.sum("links").alias("links"))
-        if turn == WIDENED or audit_recall(heads, links, least) >= RECALL:
+        if audit_recall(heads, links, least) >= RECALL:
             break
         overlap, beam = overlap + 1, beam * 2
+    else:
+        found = stage_table(exact_links(heads, least), "found")
+        links = found.groupBy("id").agg(F.sum("links").alias("links"))
     return _result(rows.select(F.col(id_column).alias("id")), vectors, folded, found, links)
 
 

@@ -269,6 +269,19 @@ def test_large_shards_are_searched_in_blocks(spark, monkeypatch):
     assert sum(got[i]["n_links"] for i, _ in rows) >= 0.95 * sum(n for n, _ in want.values())
 
 
+def test_links_that_the_widened_search_misses_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "BLOCK", 60)
+    monkeypatch.setattr(vector_graph, "LANES", 7)
+    rng = np.random.default_rng(9)
+    place = [np.ones(12) if i < 100 else 3 * np.random.default_rng(i // 2).normal(size=12) for i in range(260)]  # a dense group and pairs
+    rows = [(i, (p + rng.normal(size=12) * 0.05).tolist()) for i, p in enumerate(place)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    search = vector_graph.find_links
+    monkeypatch.setattr(vector_graph, "find_links", lambda *a: search(*a).withColumn("label", F.when(F.col("id") < 100, F.col("label")).otherwise(F.col("id"))).withColumn("links", F.when(F.col("id") < 100, F.col("links")).otherwise(0)))
+    got, want = {r["id"]: r for r in vector_graph.near_vectors(df).collect()}, brute_vectors(rows)
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 130)] + [(200, 200), (300, 301), (301, 300)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
