@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.joins import attach_row
-from ..functions.text import sampling_stratum
+from ..functions.text import padded, sampling_stratum
 from ..operators import consensus as K
 from ..operators import dataset as D
 from ..operators import metrics as M
