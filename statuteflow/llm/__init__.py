@@ -7,7 +7,7 @@ import importlib
 from .registry import CHECKS, QUERIES
 
 GROUPS = (
-    "substring_dedup", "decontamination", "token_counts", "toxicity", "language_id", "context_mixing", "mixing", "license_scan", "jaccard_join", "vector_graph", "credential_links",
+    "substring_dedup", "decontamination", "token_counts", "toxicity", "language_id", "context_mixing", "mixing", "license_scan", "jaccard_join", "vector_graph", "credential_links", "lexical_search", "token_alignment",
 
 )
 
