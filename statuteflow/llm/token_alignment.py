@@ -9,7 +9,7 @@ Long documents enter as several lanes, divided where tokens of both end.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -19,106 +19,70 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 from .registry import query
-from .words import span_keys
 
 #: Tokenizer files of the query.
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES, WINDOW_BYTES = 6 << 20, 2 << 20  # of texts whose pairs are counted together; of texts that merge at once
+CHUNK_BYTES, WINDOW_BYTES = 4 << 20, 1 << 20  # of texts whose pairs are counted together; of texts that merge at once
 LANE = 256  # tokens of A after which a lane may end
-CACHE = 300_000  # distinct units whose tokens a task remembers
+
+
+#: Fixed value: how byte-level BPE of this family cuts a text before it merges.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoders:
-    """Token ids of both tokenizers, and the bytes of each token."""
+    """Both tokenizers, and the bytes of each token.
+
+    ``byte_bpe`` is a tokenizers file; its vocabulary and merges are run by tiktoken, whose ranks are ids, so the ids of the
+    file must follow the order of its merges.
+    """
 
     def __init__(self, byte_bpe: str, piece_bpe: str):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
+        import tiktoken
+
+        with open(byte_bpe, encoding="utf-8") as file:
+            known = json.load(file)
+        vocabulary, special = known["model"]["vocab"], {t["id"] for t in known["added_tokens"]}
+        made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in known["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError(f"the ids of {byte_bpe} do not follow its merges")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE writes as themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        self.bytes_a = [bytes(byte_of.get(c, 63) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if i not in special}
+        self.a = tiktoken.Encoding("byte-level", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
+        self.bytes_a = [b""] * (1 + max(ranks.values()))
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-
-    def encode(self, units: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
-        """The tokens of both for texts that begin with a space, None where their bytes are not those of the text."""
-        texts = [u.decode("utf-8", "replace") for u in units]
-        found = zip(units, (e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)), self.b.encode([t[1:] for t in texts], num_threads=1))
-        return [(a, b) if b"".join([self.bytes_a[i] for i in a]) == u == b"".join([self.bytes_b[i] for i in b]) else None for u, a, b in found]
-
-
-class Cached:
-    """Tokens of texts by their units, each distinct one encoded once.
-
-    A unit ends before a space that follows a character other than white space. Neither tokenizer has a token over such a
-    border: pretokens of A take a space only at their front, pieces of B have their mark only in front.
-    """
-
-    def __init__(self, encoders: Encoders):
-        self.encoders = encoders
-        self.lengths = tuple(np.array([len(x) for x in table], dtype=np.int64) for table in (encoders.bytes_a, encoders.bytes_b))
-        self.clear()
-
-    def clear(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.ids, self.sizes, self.good = ([], []), ([], []), []
-        self.flat = None
-
-    def _learn(self, units: list[bytes]) -> None:
-        for unit, found in zip(units, self.encoders.encode(units)):
-            self.places[unit] = len(self.good)
-            self.good.append(found is not None)
-            for side in (0, 1):
-                own = found[side] if found else []
-                self.ids[side].extend(own)
-                self.sizes[side].append(len(own))
-        self.flat = [(np.array(ids, dtype=np.int32), np.array(sizes, dtype=np.int64)) for ids, sizes in zip(self.ids, self.sizes)]
-        self.flat = [(ids, sizes, np.cumsum(sizes) - sizes) for ids, sizes in self.flat]
-        self.known_good = np.array(self.good, dtype=bool)
+        self.tables = [(np.frombuffer(b"".join(t), dtype=np.uint8), np.cumsum([0, *map(len, t)])) for t in (self.bytes_a, self.bytes_b)]
 
     def tokens(self, texts: list[bytes]):
-        """For both sides (ids, bounds of the texts in them), and which texts both tokenizers cover; the others have none."""
-        raw = b"".join(b" " + t for t in texts)
-        begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        start = unit_starts(np.frombuffer(raw, dtype=np.uint8), begin[:-1])
-        end = np.append(start[1:], len(raw))
-        code, first = distinct(span_keys(np.frombuffer(raw, dtype=np.uint8), start, end))
-        units = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
-        if len(self.places) + len(units) > CACHE:
-            self.clear()
-        fresh = [u for u in units if u not in self.places]
-        if fresh or self.flat is None:
-            self._learn(fresh)
-        place = np.fromiter(map(self.places.__getitem__, units), dtype=np.int64, count=len(units))[code]
-        doc = np.searchsorted(begin, start, side="right") - 1
+        """For both sides (ids, bounds of the texts in them, byte ends), and which texts both cover; the others have none."""
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        sides = [[self.a.encode_to_numpy(" " + t).astype(np.int32) for t in plain], [np.array(ids, dtype=np.int32) for ids in self.b.encode(plain, num_threads=1)]]
+        raw = np.frombuffer(b"".join(b" " + t for t in texts), dtype=np.uint8)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
         covered = np.ones(len(texts), dtype=bool)
-        covered[doc[~self.known_good[place]]] = False
-        place, doc = place[covered[doc]], doc[covered[doc]]
-        sides = []
-        for ids, sizes, at in self.flat:
-            own = sizes[place]
-            take = np.repeat(at[place] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=own, minlength=len(texts)).astype(np.int64))])
-            sides.append((ids[take], bounds))
-        return *sides, covered
-
-
-def unit_starts(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Places where units begin: each text, and spaces behind a character that cannot be white space or the piece mark.
-
-    The last space of a text begins none, as B adds no mark to nothing.
-    """
-    at = np.flatnonzero(data == 32)
-    at = np.setdiff1d(at, np.append(begin[1:], len(data)) - 1)
-    before = data[at - 1]
-    lead = np.isin(data[np.maximum(at - 3, 0)], (0xE1, 0xE2, 0xE3)) | (data[np.maximum(at - 2, 0)] == 0xC2)
-    return np.union1d(at[(before > 32) & ((before < 128) | ~lead)], begin)
+        for ids, (data, at) in zip(sides, self.tables):
+            flat, doc = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            sizes = at[flat + 1] - at[flat]
+            covered &= np.bincount(doc, weights=sizes, minlength=len(ids)) == np.diff(begin)
+            kept = covered[doc]
+            flat, sizes = flat[kept], sizes[kept]
+            own = data[np.repeat(at[flat] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]  # bytes of the tokens
+            of = np.repeat(np.arange(len(texts)), np.diff(begin))
+            differ = own != raw[covered[of]]
+            covered[of[covered[of]][differ]] = False
+        found = []
+        for ids, (_, at) in zip(sides, self.tables):
+            own = [x if c else x[:0] for x, c in zip(ids, covered.tolist())]
+            flat = np.concatenate(own)
+            found.append((flat, np.cumsum([0, *map(len, own)]), np.cumsum(at[flat + 1] - at[flat])))
+        return *found, covered
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +95,13 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values in their order, how often each is there)."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.diff(values, prepend=values[0] - 1)) if len(values) else np.zeros(0, dtype=np.int64)
+    return values[first], np.diff(first, append=len(values))
+
+
 def lanes(end_a: np.ndarray, end_b: np.ndarray, bounds_a: np.ndarray) -> np.ndarray:
     """Tokens of A with which lanes begin: the first of each document, and others behind a common end every LANE tokens or so."""
     starts = [bounds_a[:-1][np.diff(bounds_a) > 0]]
@@ -143,7 +114,7 @@ def lanes(end_a: np.ndarray, end_b: np.ndarray, bounds_a: np.ndarray) -> np.ndar
         common = end_b[np.searchsorted(end_b, end_a[at])] == end_a[at]
         starts.append(at[common] + 1)
         at, last = at[~common] + 1, last[~common]
-    return np.unique(np.concatenate(starts))
+    return np.sort(np.concatenate(starts))
 
 
 def lockstep(end_a: np.ndarray, end_b: np.ndarray, bounds_a: np.ndarray, bounds_b: np.ndarray):
@@ -190,11 +161,16 @@ def written(ids_a, ids_b, cut_a, cut_b, bounds_a, bounds_b) -> tuple[bytes, np.n
 
 
 def pieces(row: int, text: bytes):
-    """(row, part of the text) for parts of about WINDOW_BYTES that begin with a unit (less its space), so that none needs more."""
+    """(row, part of the text) for parts of about WINDOW_BYTES, less the space that begins each, so that none needs more.
+
+    A part ends before a space that follows a visible sign of ASCII. Neither tokenizer has a token over such a border:
+    pretokens of A take a space only at their front, pieces of B have their mark only in front. The last space of a text
+    begins no part, as B adds no mark to nothing.
+    """
     at = 0
     while len(text) - at > WINDOW_BYTES:
         cut = text.find(b" ", at + WINDOW_BYTES)
-        while cut > 0 and not 32 < text[cut - 1] < 128:
+        while cut > 0 and not 32 < text[cut - 1] < 127:
             cut = text.find(b" ", cut + 1)
         if cut < 0 or cut + 1 == len(text):
             break
@@ -219,17 +195,16 @@ def windows(texts: list[bytes]):
 class Aligned:
     """Counts, hash of the groups and links of each text of a chunk."""
 
-    def __init__(self, encoder: Cached, texts: list[bytes]):
-        n, width = len(texts), len(encoder.lengths[1])
+    def __init__(self, encoders: Encoders, texts: list[bytes]):
+        n, width = len(texts), len(encoders.bytes_b)
         self.counts = np.zeros((4, n), dtype=np.int64)  # n_a, n_b, n_groups, n_links
         hashes, fails = [hashlib.sha256() for _ in texts], np.zeros(n, dtype=bool)
         begun = np.zeros(n, dtype=bool)
         rows, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for window in windows(texts):
             row = np.array([r for r, _ in window])
-            (ids_a, bounds_a), (ids_b, bounds_b), covered = encoder.tokens([t for _, t in window])
+            (ids_a, bounds_a, end_a), (ids_b, bounds_b, end_b), covered = encoders.tokens([t for _, t in window])
             fails[row[~covered]] = True
-            end_a, end_b = np.cumsum(encoder.lengths[0][ids_a]), np.cumsum(encoder.lengths[1][ids_b])
             link_a, link_b, cut_a, cut_b = lockstep(end_a, end_b, bounds_a, bounds_b)
             text, ends = written(ids_a, ids_b, cut_a, cut_b, bounds_a, bounds_b)
             owner = np.searchsorted(bounds_a, link_a, side="right") - 1
@@ -242,7 +217,7 @@ class Aligned:
                     begun[r] = True
             pair, first = distinct(ids_a[link_a].astype(np.int64) * width + ids_b[link_b])
             names = (ids_a[link_a[first]].astype(np.int64) * width) + ids_b[link_b[first]]
-            both, times = np.unique(row[owner] * max(len(names), 1) + pair, return_counts=True)
+            both, times = counted(row[owner] * max(len(names), 1) + pair)
             rows.append(np.stack([both // max(len(names), 1), times]).T.reshape(-1, 2))
             keys.append(names[both % max(len(names), 1)])
         self.counts[:, fails] = 0
@@ -268,11 +243,11 @@ def align_chunks(docs: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
     """A row for each chunk of about CHUNK_BYTES of texts: what is known of its documents, and its distinct pairs."""
 
     def run(batches):
-        encoder, task, made = Cached(Encoders(byte_bpe, piece_bpe)), TaskContext.get().partitionId(), 0
+        encoders, task, made = Encoders(byte_bpe, piece_bpe), TaskContext.get().partitionId(), 0
         texts, ids, size = [], [], 0
 
         def chunk():
-            x = Aligned(encoder, texts)
+            x = Aligned(encoders, texts)
             low = (x.row.astype("<u4"), x.code.astype("<u4"), np.minimum(x.times, 0xFFFFFFFF).astype("<u4"))
             values = [[(task << 32) + made], *([c.tolist()] for c in x.counts), [x.hashes], *([packed(v)] for v in low), [x.pairs], [x.pair_times]]
             columns = [pa.array(v, t.type) for v, t in zip(values, CHUNK)]

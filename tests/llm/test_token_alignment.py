@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from statuteflow.llm import token_alignment as T
 
@@ -14,6 +15,9 @@ PIECES = [
     "<|endoftext|>", "<s>", "</s> ", "<unk>", "<0x41>", "!!", "...", "http://a.b/c?d=e", "\x00", "\x7f ", "\x1c ", "\x85 ", "ﬁ", "x" * 30, "ạ̈", "​ ", "﻿", "İ", "ſ",
 ]
 
+BYTE_LEVEL = Tokenizer.from_file(T.BYTE_BPE)
+BYTE_LEVEL.encode_special_tokens = True
+
 
 @pytest.fixture(scope="module")
 def encoders():
@@ -24,7 +28,7 @@ def whole(encoders, text):
     """Tokens of the tokenizers on the whole text, or none."""
     if not text:
         return [], []
-    a = encoders.a.encode(" " + text, add_special_tokens=False).ids
+    a = BYTE_LEVEL.encode(" " + text, add_special_tokens=False).ids
     b = encoders.b.encode(text)
     raw = (" " + text).encode()
     join = lambda ids, table: b"".join(table[i] for i in ids)
@@ -73,30 +77,38 @@ def test_rows_are_those_of_brute_force(spark, encoders):
     assert answer(spark, made()) == brute(encoders, made())
 
 
-def test_small_windows_chunks_and_lanes_change_nothing(encoders, monkeypatch):
-    docs = made()
-    texts = [(t or "").encode() for _, t in docs]
-    want = T.Aligned(T.Cached(encoders), texts)
+def test_small_windows_and_lanes_change_nothing(encoders, monkeypatch):
+    texts = [(t or "").encode() for _, t in made()]
+    want = T.Aligned(encoders, texts)
     monkeypatch.setattr(T, "WINDOW_BYTES", 40)
     monkeypatch.setattr(T, "LANE", 3)
-    monkeypatch.setattr(T, "CACHE", 20)
-    got = T.Aligned(T.Cached(encoders), texts)
+    got = T.Aligned(encoders, texts)
     assert (got.counts == want.counts).all() and got.hashes == want.hashes
-    told = lambda x: sorted(zip(x.row.tolist(), x.pairs[x.code].tolist()))
-    assert {(r, p): n for r, p, n in zip(got.row.tolist(), got.pairs[got.code].tolist(), [0] * len(got.row))}.keys() == set(told(want))
+    summed = lambda x: Counter({(r, p): 0 for r, p in zip(x.row.tolist(), x.pairs[x.code].tolist())}) + Counter(
+        k for r, p, n in zip(x.row.tolist(), x.pairs[x.code].tolist(), x.times.tolist()) for k in [(r, p)] * n
+    )
+    assert summed(got) == summed(want)
     assert dict(zip(got.pairs.tolist(), got.pair_times.tolist())) == dict(zip(want.pairs.tolist(), want.pair_times.tolist()))
 
 
-def test_units_hold_whole_tokens_of_every_character(encoders):
-    """No token of either tokenizer reaches over a border of units, whatever characters stand next to it."""
+def test_tokens_are_those_of_the_file(encoders):
+    """The merges run as the file's own library runs them: every token of the vocabulary, every character, beside others."""
+    own = [t for t in (b.decode("utf-8", "ignore") for b in encoders.bytes_a) if t]
     rng = random.Random(1)
     chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [chr(c) for c in rng.sample(range(0xE000, 0x20000), 3_000)]
-    rng.shuffle(chars)
-    cached = T.Cached(encoders)
-    for low in range(0, len(chars), 100):
-        text = "".join(f"{c} {c}a {rng.choice(chars)}{c}  {c}1" for c in chars[low : low + 100])
-        (a, _), (b, _), covered = cached.tokens([text.encode()])
-        assert (a.tolist(), b.tolist()) == tuple(map(list, whole(encoders, text))) or not covered[0] and whole(encoders, text) == ([], [])
+    mixed = [f"{c} {c}a {rng.choice(chars)}{c}  {c}1 {c}'s" for c in chars]
+    for texts in (own, mixed):
+        assert [x.ids for x in BYTE_LEVEL.encode_batch_fast(texts, add_special_tokens=False)] == [encoders.a.encode_ordinary(t) for t in texts]
+
+
+def test_parts_of_long_texts_hold_whole_tokens(encoders, monkeypatch):
+    monkeypatch.setattr(T, "WINDOW_BYTES", 5)
+    for _, text in made():
+        if text:
+            parts = [t.decode() for _, t in T.pieces(0, text.encode())]
+            assert " ".join(parts) == text
+            assert sum([BYTE_LEVEL.encode(" " + t, add_special_tokens=False).ids for t in parts], []) == BYTE_LEVEL.encode(" " + text, add_special_tokens=False).ids
+            assert sum(encoders.b.encode(parts), []) == encoders.b.encode(text)
 
 
 def test_packed_numbers_come_back():
