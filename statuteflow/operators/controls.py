@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed as V
-from ..functions.joins import join_checked
 from ..functions.ordered import running_sum
-from ..functions.text import let, token_set
-
-# Controls compared per row of the obligation side; a larger catalogue is split into more blocks.
-CONTROL_BLOCK = 512
-# Largest catalogue that is sent along to the tasks.
-CATALOGUE_IN_TASK = 20_000
+from ..functions.text import token_set
+from .similarity import RARE, top_matches
 
 
 def version_controls(changes: DataFrame, chunk: Column) -> DataFrame:
@@ -46,140 +38,37 @@ def latest_control_versions(control_versions: DataFrame, inactive: DataFrame | N
     return latest if inactive is None else latest.join(inactive.select(*key), key, "left_anti")
 
 
-def _rank_in_task(sources: DataFrame, catalogue: pd.DataFrame, limit: int) -> DataFrame:
-    """Best controls per obligation with the catalogue sent along: a map over Arrow batches.
-
-    Overlaps of a slice of obligations with the catalogue of their organization are one matrix product.
-    """
-    catalogue = catalogue.sort_values(["organization_id", "control_version_id"])
-    by_org, listed = {}, []
-    for org, rows in catalogue.groupby("organization_id", sort=False):
-        vocabulary = {}
-        for terms in rows["terms"]:
-            for t in terms:
-                vocabulary.setdefault(t, len(vocabulary))
-        incidence = np.zeros((len(vocabulary), len(rows)), dtype=np.float32)
-        for c, (cid, name, terms) in enumerate(zip(rows["control_version_id"], rows["control_key"], rows["terms"])):
-            incidence[[vocabulary[t] for t in terms], c] = 1.0
-            listed.append((org, c, cid, name, list(terms)))
-        by_org[org] = (vocabulary, incidence, np.array([len(t) for t in rows["terms"]]))
-    found = T.StructType(
-        [
-            *sources.schema.fields,
-            T.StructField("negative", T.ArrayType(T.DoubleType())),
-            T.StructField("pick", T.ArrayType(T.IntegerType())),
-        ]
-    )
-    spark = sources.sparkSession
-    shared = spark.sparkContext.broadcast(by_org)  # sent once per executor, bounded above
-
-    def run(batches):
-        nothing = (np.empty(0), np.empty(0, dtype=np.int32))
-        for batch in batches:
-            out = [nothing] * len(batch)
-            orgs, terms = batch["organization_id"].to_numpy(), batch["terms"].to_numpy()
-            for org in pd.unique(batch["organization_id"]):
-                if org not in shared.value:
-                    continue
-                at = np.flatnonzero(orgs == org)
-                vocabulary, incidence, sizes = shared.value[org]
-                step = max(1, 4_000_000 // max(len(vocabulary), len(sizes)))
-                for start in range(0, len(at), step):
-                    part = at[start : start + step]
-                    held = [[vocabulary[t] for t in terms[i] if t in vocabulary] for i in part]
-                    counts = np.array([len(h) for h in held])
-                    present = np.zeros((len(part), len(vocabulary)), dtype=np.float32)
-                    present[np.repeat(np.arange(len(part)), counts), np.array([c for h in held for c in h], dtype=int)] = 1.0
-                    overlap = (present @ incidence).astype(np.float64)
-                    lengths = np.array([len(terms[i]) for i in part])[:, None]
-                    score = -(overlap / np.maximum(lengths + sizes[None, :] - overlap, 1))
-                    # Controls are in id order, so a stable sort breaks ties by id.
-                    best = np.argsort(score, axis=1, kind="stable")[:, :limit].astype(np.int32)
-                    value = np.take_along_axis(score, best, axis=1)
-                    for r, i in enumerate(part):
-                        n = int((value[r] < 0).sum())
-                        out[i] = (value[r, :n], best[r, :n])
-            yield batch.assign(negative=[o[0] for o in out], pick=[o[1] for o in out])
-
-    names = spark.createDataFrame(
-        listed, "organization_id string, pick int, control_version_id string, control_key string, t array<string>"
-    )
-    ranked = sources.mapInPandas(run, found).select(
-        "organization_id", "obligation_id", "terms", (F.get("negative", F.lit(1)) - F.get("negative", F.lit(0))).alias("gap"),
-        F.posexplode(F.arrays_zip("negative", "pick")).alias("p", "c"),
-    ).select("organization_id", "obligation_id", "terms", "gap", "p", "c.negative", "c.pick")
-    return ranked.join(F.broadcast(names), ["organization_id", "pick"])  # as long as the counted catalogue
-
-
-def _rank_by_block(sources: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
-    """The same for a catalogue of any size: blocks of it are joined by organization and ranked inside the row."""
-    key = ["organization_id", "obligation_id"]
-    counts = targets.groupBy("organization_id").agg(F.ceil(F.count("*") / CONTROL_BLOCK).cast("int").alias("blocks"))
-    most, total = counts.agg(F.coalesce(F.max("blocks"), F.lit(1)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
-    blocks = (
-        targets.join(counts, "organization_id")
-        .withColumn("block", F.pmod(F.xxhash64("control_version_id"), F.col("blocks")))
-        .groupBy("organization_id", "block")
-        .agg(F.collect_list(F.struct("control_version_id", "control_key", F.col("terms").alias("t"))).alias("catalogue"))
-    )
-
-    def score(c: Column) -> Column:
-        return let(
-            F.size(F.array_intersect(F.col("terms"), c["t"])),
-            lambda overlap: F.struct(
-                (-(overlap / (F.size("terms") + F.size(c["t"]) - overlap))).alias("negative"),
-                c["control_version_id"].alias("control_version_id"), c["control_key"].alias("control_key"), c["t"].alias("t"),
-            ),
-        )
-
-    best = lambda found: F.slice(F.sort_array(found), 1, limit)
-    top = join_checked(sources, blocks, ["organization_id"], max_rows=256, rows=total).select(
-        *key, "terms", best(F.filter(F.transform("catalogue", score), lambda x: x["negative"] < 0)).alias("top")
-    )
-    if most > 1:
-        top = top.groupBy(*key).agg(F.first("terms").alias("terms"), F.flatten(F.collect_list("top")).alias("all")).select(
-            *key, "terms", best(F.col("all")).alias("top")
-        )
-    gap = F.get("top", F.lit(1))["negative"] - F.get("top", F.lit(0))["negative"]
-    return top.select(*key, "terms", gap.alias("gap"), F.posexplode("top").alias("p", "c")).select(
-        *key, "terms", "gap", "p", "c.negative", "c.control_version_id", "c.control_key", "c.t"
-    )
-
-
-def suggest_mappings(obligations: DataFrame, controls: DataFrame, limit: int = V.MAPPING_LIMIT) -> DataFrame:
-    """The best ``limit`` controls per obligation by token overlap (Jaccard), with status and matched terms.
+def suggest_mappings(
+    obligations: DataFrame, controls: DataFrame, limit: int = V.MAPPING_LIMIT, known: DataFrame | None = None, rare: int = RARE
+) -> DataFrame:
+    """The best ``limit`` controls of its tenant per obligation by token overlap (Jaccard), with status and matched terms.
 
-    A token such as "must" is in every obligation and most controls, so joining on tokens would pair everything
-    with everything. Instead obligations are ranked where they are and only ``limit`` entries per obligation leave:
-    no pair becomes a row. A catalogue of at most ``CATALOGUE_IN_TASK`` controls (counted first) is sent to the
-    tasks, and the step is a map with no shuffle; a larger one is joined block by block and the entries of the blocks
-    are merged, so every control is compared whatever the size of the catalogue.
+    ``known``: mappings that are already stored. An obligation that has one by this method keeps what it has, whatever the
+    catalogue says now; only the others are searched. ``rare`` is the bound of the index (see ``top_matches``).
     """
     key = ["organization_id", "obligation_id"]
-    sources = obligations.select(*key, token_set(F.concat_ws(" ", "evidence", "action")).alias("terms"))
+    if known is not None:
+        known = known.where(F.col("mapping_method") == V.MAPPING_METHOD)
+        kept = known.join(obligations.select(*key), key, "left_semi")
+        obligations = obligations.join(known.select(*key).distinct(), key, "left_anti")
+    tenant = F.col("organization_id").alias("scope")
+    sources = obligations.select(tenant, F.col("obligation_id").alias("source"), token_set(F.concat_ws(" ", "evidence", "action")).alias("terms"))
     targets = controls.select(
-        "organization_id", "control_version_id", "control_key",
-        token_set(F.concat_ws(" ", "title", "description", "evidence_requirement")).alias("terms"),
+        tenant, F.col("control_version_id").alias("target"), token_set(F.concat_ws(" ", "title", "description", "evidence_requirement")).alias("terms")
     )
-    # One row more than the bound is read, so that a catalogue beyond it is noticed and takes the other way.
-    catalogue = targets.limit(CATALOGUE_IN_TASK + 1).toPandas()
-    if len(catalogue) <= CATALOGUE_IN_TASK:
-        ranked = _rank_in_task(sources, catalogue, limit)
-    else:
-        ranked = _rank_by_block(sources, targets, limit)
-    ranked = ranked.withColumn("overlap", F.array_intersect("terms", "t"))
-    raw, overlap = -F.col("negative"), F.col("overlap")
+    overlap, raw, first_two = F.array_intersect("terms", "target_terms"), F.col("score"), F.col("position") < 2
     stopwords = F.array(*[F.lit(w) for w in V.EXPLANATION_STOPWORDS])
-    return ranked.select(
-        *key, "control_version_id", "control_key", (F.col("p") + 1).alias("rank"), F.round(raw, 3).alias("score"),
-        F.when((F.col("gap") < V.AMBIGUITY_GAP) & (F.col("p") < 2), "ambiguous")
-        .when(raw >= V.SUGGESTED_MINIMUM, "suggested")
-        .otherwise("needs_review").alias("status"),
+    named = controls.select(tenant, F.col("control_version_id").alias("target"), "control_key", F.col("title").alias("control_title"))
+    made = top_matches(sources, targets, limit, rare).join(named, ["scope", "target"]).select(
+        F.col("scope").alias("organization_id"), F.col("source").alias("obligation_id"), F.col("target").alias("control_version_id"), "control_key", "control_title",
+        (F.col("position") + 1).alias("rank"), F.round(raw, 3).alias("score"),
+        F.when((F.col("gap") < V.AMBIGUITY_GAP) & first_two, "ambiguous").when(raw >= V.SUGGESTED_MINIMUM, "suggested").otherwise("needs_review").alias("status"),
         F.size(overlap).alias("raw_overlap_count"),
         F.sort_array(F.array_except(overlap, stopwords)).alias("matched_terms"),
-        F.sha2(F.concat_ws(":", "obligation_id", "control_version_id"), 256).alias("mapping_id"),
+        F.sha2(F.concat_ws(":", "source", "target"), 256).alias("mapping_id"),
         F.lit(V.MAPPING_METHOD).alias("mapping_method"),
     )
+    return made if known is None else kept.select(*made.columns).union(made)
 
 
 def mapping_state(obligations: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -197,12 +86,10 @@ def list_mappings(
     mappings: DataFrame, obligations: DataFrame, control_versions: DataFrame, limit: int = 100, offset: int = 0
 ) -> DataFrame:
     """Mappings whose obligation and control belong to the same tenant, best first."""
+    key = ["organization_id", "control_version_id"]
     return (
         mappings.join(obligations.select("organization_id", "obligation_id"), ["organization_id", "obligation_id"], "left_semi")
-        .join(
-            control_versions.select("organization_id", "control_version_id", F.col("title").alias("control_title")),
-            ["organization_id", "control_version_id"],
-        )
+        .join(control_versions.select(*key), key, "left_semi")
         .orderBy(F.desc("score"), "mapping_id")
         .offset(offset)
         .limit(limit)

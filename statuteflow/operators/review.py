@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.ordered import first_per_key, fold_sorted
+from .settlement import settle_keys
 
 DECISION_OUTCOME = (
     "organization_id string, obligation_id string, mapping_id string, decision string, idempotency_key string, "
@@ -14,12 +15,24 @@ DECISION_OUTCOME = (
 )
 
 
-def checked_requests(requests: DataFrame) -> DataFrame:
-    """Requests with the verdict of the rules that need no state."""
+def checked_requests(requests: DataFrame, obligations: DataFrame | None = None, mappings: DataFrame | None = None) -> DataFrame:
+    """Requests with the verdict of the rules that need no state.
+
+    ``obligations`` and ``mappings`` are what exists in a tenant; where one is not given, all that is asked for exists.
+    """
+    def known(rows: DataFrame, of: DataFrame | None, key: list[str], flag: str) -> DataFrame:
+        if of is None:
+            return rows.withColumn(flag, F.lit(True))
+        return rows.join(of.select(*key).distinct().withColumn(flag, F.lit(True)), key, "left")
+
+    requests = known(requests, obligations, ["organization_id", "obligation_id"], "has_obligation")
+    requests = known(requests, mappings, ["organization_id", "obligation_id", "mapping_id"], "has_mapping")
     return requests.select(
         "organization_id", "obligation_id", "mapping_id", "decision", "idempotency_key", "requested_at",
         F.col("expected_revision").cast("int").alias("expected"),
         F.when(~F.col("decision").isin(*V.REVIEW_DECISIONS), "unsupported_decision")
+        .when(F.col("has_obligation").isNull(), "obligation_not_found")
+        .when(F.col("mapping_id").isNotNull() & F.col("has_mapping").isNull(), "mapping_not_found")
         .when((F.col("decision") == "confirmed_unmapped") & F.col("mapping_id").isNotNull(), "must_target_obligation")
         .when((F.col("decision") != "confirmed_unmapped") & F.col("mapping_id").isNull(), "mapping_required")
         .alias("invalid"),
@@ -27,13 +40,18 @@ def checked_requests(requests: DataFrame) -> DataFrame:
 
 
 def decision_step(state, row):
-    """(state', output row) of one request. The state of an obligation: revision per mapping, and the keys used."""
+    """(state', output row) of one request. The state of an obligation: revision per mapping, and the keys used.
+
+    ``taken`` says that another obligation has appended the key before.
+    """
     present = lambda v: None if v is None or v != v else v
     revisions, used = state if state is not None else ({}, {})
     key, target, invalid = row["idempotency_key"], present(row["mapping_id"]), present(row["invalid"])
     outcome, revision, supersedes = None, None, None
-    if invalid == "unsupported_decision":
+    if invalid in ("unsupported_decision", "obligation_not_found"):
         outcome = invalid
+    elif row["taken"]:
+        outcome = "key_conflict"
     elif key in used:
         outcome = "replayed" if used[key][0] == target else "key_conflict"
         revision = used[key][1] if outcome == "replayed" else None
@@ -54,18 +72,19 @@ def decision_step(state, row):
     )
 
 
-def apply_decisions(requests: DataFrame) -> DataFrame:
+def apply_decisions(requests: DataFrame, obligations: DataFrame | None = None, mappings: DataFrame | None = None) -> DataFrame:
     """Outcome of every decision request, in request order.
 
     ``requests``: organization_id, obligation_id, mapping_id (null for the obligation itself), decision,
-    idempotency_key, expected_revision, requested_at.
+    idempotency_key, expected_revision, requested_at. ``obligations`` and ``mappings``: what exists (see checked_requests).
 
     The checks that need no state are columns. What is left is optimistic concurrency, where each request depends on
-    the revisions before it: the rows are folded in order per obligation, streaming, so no group is held in memory.
+    the revisions before it: the rows are folded in order per obligation, streaming, so no group is held in memory. An
+    idempotency key belongs to the tenant: once an obligation has appended with it, others conflict (see settle_keys).
     """
-    return fold_sorted(
-        checked_requests(requests), ["organization_id", "obligation_id"], ["requested_at", "idempotency_key"], DECISION_OUTCOME,
-        decision_step,
+    return settle_keys(
+        checked_requests(requests, obligations, mappings), "obligation_id",
+        lambda rows: fold_sorted(rows, ["organization_id", "obligation_id"], ["requested_at", "idempotency_key"], DECISION_OUTCOME, decision_step),
     )
 
 
@@ -109,7 +128,7 @@ def supersede_decisions(ledger: DataFrame, mappings: DataFrame, control_versions
 
 
 def review_queue(
-    obligations: DataFrame, mappings: DataFrame, ledger: DataFrame, regulations: DataFrame, control_titles: DataFrame
+    obligations: DataFrame, mappings: DataFrame, ledger: DataFrame, regulations: DataFrame
 ) -> DataFrame:
     """Every obligation with its candidates, their latest decisions and the state that follows from them.
 
@@ -122,13 +141,9 @@ def review_queue(
         "organization_id", "obligation_id", F.col("decision").alias("own_decision"), F.col("revision").alias("own_revision")
     )
     key = ["organization_id", "obligation_id"]
-    titled = mappings.join(
-        control_titles.select("organization_id", "control_version_id", F.col("title").alias("control_title")),
-        ["organization_id", "control_version_id"],
-    )
     is_ = lambda s: F.coalesce(F.col("decision") == s, F.lit(False))
     folded = (
-        titled.join(on_mapping, [*key, "mapping_id"], "left")
+        mappings.join(on_mapping, [*key, "mapping_id"], "left")
         .groupBy(*key)
         .agg(
             F.sort_array(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.ordered import fold_sorted
+from .settlement import settle_keys
 
 WORKFLOW_OUTCOME = (
     "organization_id string, run_id string, decision string, idempotency_key string, requested_at long, "
@@ -17,7 +18,7 @@ WORKFLOW_OUTCOME = (
 def impact_proposals(obligations: DataFrame, mappings: DataFrame, controls: DataFrame, version_rows: DataFrame) -> DataFrame:
     """One run per obligation: evidence, proposed actions, the six policy gates, score, status and risk."""
     top = mappings.where(F.col("rank") <= V.MAPPING_LIMIT).join(
-        controls.select("organization_id", "control_version_id", "owner", F.col("title").alias("control_title"), "evidence_requirement"),
+        controls.select("organization_id", "control_version_id", "owner", "evidence_requirement"),
         ["organization_id", "control_version_id"],
     )
     proposed = top.groupBy("organization_id", "obligation_id").agg(
@@ -66,6 +67,8 @@ def impact_proposals(obligations: DataFrame, mappings: DataFrame, controls: Data
 def apply_workflow_decisions(requests: DataFrame, runs: DataFrame) -> DataFrame:
     """Outcome of every decision request on a run, in order; rules that need only the run are columns.
 
+    An idempotency key belongs to the tenant: one that another run has appended is a conflict (see settle_keys).
+
     ``requests``: organization_id, run_id, decision, actor_id, idempotency_key, expected_revision, requested_at.
     ``runs``: organization_id, run_id, status, risk_level, created_by.
     """
@@ -95,6 +98,8 @@ def apply_workflow_decisions(requests: DataFrame, runs: DataFrame) -> DataFrame:
             outcome = "blocked_run"
         elif row["self_approval"]:
             outcome = "self_approval"
+        elif row["taken"]:
+            outcome = "key_conflict"
         elif key in used:
             outcome, made = "replayed", used[key]
         elif int(row["expected"]) != revision:
@@ -107,8 +112,9 @@ def apply_workflow_decisions(requests: DataFrame, runs: DataFrame) -> DataFrame:
             row["organization_id"], row["run_id"], decision, key, row["requested_at"], outcome, made, supersedes
         )
 
-    return fold_sorted(
-        judged.select(*columns), ["organization_id", "run_id"], ["requested_at", "idempotency_key"], WORKFLOW_OUTCOME, step
+    return settle_keys(
+        judged.select(*columns), "run_id",
+        lambda rows: fold_sorted(rows, ["organization_id", "run_id"], ["requested_at", "idempotency_key"], WORKFLOW_OUTCOME, step),
     )
 
 

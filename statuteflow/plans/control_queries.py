@@ -91,6 +91,32 @@ def f3(spark, d):
     )
 
 
+OLD_SQL = f"""{MAPPINGS_SQL},
+old_controls AS (SELECT v.* EXCLUDE (title), t.title, v.organization_id || '/' || v.control_key || ':v' || v.ordinal AS control_version_id
+  FROM control_versions v JOIN control_titles t USING (organization_id, control_key)
+  WHERE v.ordinal = 1),
+old_pairs AS (SELECT o.organization_id, obligation_id, organization_id || '/' || control_key || ':v1' AS control_version_id, list_intersect(ot, ct) AS terms, len(ot) + len(ct) AS both_len
+  FROM o_terms o JOIN obligations USING (organization_id, obligation_id)
+  JOIN (SELECT organization_id, control_key, {S.token_set("title || ' ' || description || ' ' || evidence_requirement")} AS ct FROM old_controls) USING (organization_id)
+  WHERE ordinal <= 2),
+old_jaccard AS (SELECT *, len(terms)::DOUBLE / (both_len - len(terms)) AS raw FROM old_pairs WHERE len(terms) > 0),
+known AS MATERIALIZED (SELECT * FROM old_jaccard QUALIFY row_number() OVER (PARTITION BY obligation_id ORDER BY raw DESC, control_version_id) <= {V.MAPPING_LIMIT})"""
+
+
+@query(
+    "f3_incremental_mappings",
+    f"""WITH {OLD_SQL} SELECT obligation_id, control_version_id, round(raw, 3) AS score, len(terms) AS raw_overlap_count FROM known
+    UNION ALL SELECT obligation_id, control_version_id, score, raw_overlap_count FROM mappings WHERE obligation_id NOT IN (SELECT obligation_id FROM known)""",
+)
+def f3_incremental(spark, d):
+    """The first two versions were mapped when each control had its first version; the rest is mapped to the newest now."""
+    o, versions = stored_obligations(spark, d), stage_table(control_versions(spark, d), "controls")
+    known = stage_table(C.suggest_mappings(o.where("ordinal <= 2"), versions.where("ordinal = 1")), "mappings")
+    return C.suggest_mappings(o, C.latest_control_versions(versions), known=known).select(
+        "obligation_id", "control_version_id", "score", F.col("raw_overlap_count").cast("bigint").alias("raw_overlap_count")
+    )
+
+
 @query(
     "f4_mapping_state",
     f"""WITH {MAPPINGS_SQL}, m AS (SELECT obligation_id, count(*) AS n, bool_or(status = 'ambiguous') AS a FROM mappings GROUP BY 1)
@@ -178,12 +204,32 @@ def d5(spark, d):
 # --- G ------------------------------------------------------------------------------------------------------
 
 
+def pair_tenant():
+    return F.concat(F.lit("org-"), (F.floor(F.col("user_id") / 2) % 50).cast("string")).alias("organization_id")
+
+
+def pair_key(k):
+    return F.concat(F.lit("key-"), F.floor(F.col("user_id") / 2).cast("string"), F.lit("-"), k.cast("string")).alias("idempotency_key")
+
+
 def decision_requests(spark, d):
     return as_decisions(I.table(spark, d, "events"))
 
 
+def known_targets(spark, d):
+    """(obligations, mappings) that exist: some users have no obligation, some lack one of their three mappings."""
+    users = I.table(spark, d, "events").select("user_id").distinct().where("user_id % 11 <> 3")
+    obligation = F.concat(F.lit("obl-"), F.col("user_id").cast("string")).alias("obligation_id")
+    maps = users.select(pair_tenant(), obligation, "user_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m")).where("NOT (user_id % 7 = 2 AND m = 1)")
+    mapping = F.concat(F.lit("map-"), F.col("user_id").cast("string"), F.lit("-"), F.col("m").cast("string")).alias("mapping_id")
+    return users.select(pair_tenant(), obligation), maps.select("organization_id", "obligation_id", mapping)
+
+
 def as_decisions(events):
-    """Events read as decision requests: a user is an obligation, the payload picks mapping and expected revision."""
+    """Events read as decision requests: a user is an obligation, the payload picks mapping and expected revision.
+
+    Two neighbouring users belong to one tenant and draw their idempotency keys from the same hundred.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     decision = (
         F.when(F.col("event_type") == "signup", "confirmed_unmapped").when(F.col("event_type") == "view", "deferred")
@@ -192,42 +238,43 @@ def as_decisions(events):
     e = events.select("event_id", "user_id", "event_type", k.alias("k"), decision.alias("decision"))
     mapping = F.when((F.col("decision") == "confirmed_unmapped") & (F.col("k") % 10 > 0), F.lit(None)).otherwise(F.col("k") % 3)
     return e.select(
-        F.lit("org-1").alias("organization_id"),
+        pair_tenant(),
         F.concat(F.lit("obl-"), F.col("user_id").cast("string")).alias("obligation_id"),
         F.concat(F.lit("map-"), F.col("user_id").cast("string"), F.lit("-"), mapping.cast("string")).alias("mapping_id"),
-        "decision",
-        F.concat(F.lit("key-"), F.col("user_id").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("idempotency_key"),
+        "decision", pair_key(F.col("k")),
         F.floor(F.col("k") / 12).cast("int").alias("expected_revision"),
         F.col("event_id").alias("requested_at"),
     )
 
 
-# The same rule, one request at a time per obligation.
+# The same rule, one request at a time per pair of users; slots 1 to 4 are the mappings and the obligation of the even one.
 DECISIONS_SQL = """
-e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events),
-r0 AS (SELECT event_id, user_id, k, CASE WHEN event_type = 'signup' THEN 'confirmed_unmapped' WHEN event_type = 'view' THEN 'deferred'
+e AS (SELECT *, user_id // 2 AS pair, json_extract_string(props, '$.k')::INT AS k FROM events),
+r0 AS (SELECT event_id, user_id, pair, k, CASE WHEN event_type = 'signup' THEN 'confirmed_unmapped' WHEN event_type = 'view' THEN 'deferred'
   WHEN event_type = 'error' THEN 'rejected' WHEN k = 99 THEN 'unheard' ELSE 'accepted' END AS decision FROM e),
 r1 AS (SELECT *, CASE WHEN decision = 'confirmed_unmapped' AND k % 10 > 0 THEN NULL ELSE k % 3 END AS m, k // 12 AS expected,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM r0),
+  row_number() OVER (PARTITION BY pair ORDER BY event_id) AS n FROM r0),
 fold AS (
-  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, [0, 0, 0, 0] AS rev, ''::VARCHAR AS used, NULL::VARCHAR AS outcome,
-    NULL::INT AS revision FROM (SELECT DISTINCT user_id FROM r1)
+  SELECT pair, 0::BIGINT AS n, NULL::BIGINT AS event_id, [0, 0, 0, 0, 0, 0, 0, 0] AS rev, ''::VARCHAR AS used, NULL::VARCHAR AS outcome,
+    NULL::INT AS revision FROM (SELECT DISTINCT pair FROM r1)
   UNION ALL
-  SELECT user_id, n, event_id,
+  SELECT pair, n, event_id,
     CASE WHEN outcome = 'appended' THEN list_transform(rev, lambda v, i: CASE WHEN i = slot THEN cur + 1 ELSE v END) ELSE rev END,
     CASE WHEN outcome = 'appended' THEN used || '[' || k || ':' || slot || ':' || (cur + 1) || ']' ELSE used END,
     outcome, CASE WHEN outcome = 'appended' THEN cur + 1 WHEN outcome = 'replayed' THEN prior_rev END::INT
   FROM (SELECT *, CASE WHEN decision = 'unheard' THEN 'unsupported_decision'
+          WHEN user_id % 11 = 3 THEN 'obligation_not_found'
           WHEN prior_slot <> '' THEN CASE WHEN prior_slot::INT = slot THEN 'replayed' ELSE 'key_conflict' END
+          WHEN user_id % 7 = 2 AND m = 1 THEN 'mapping_not_found'
           WHEN decision = 'confirmed_unmapped' AND m IS NOT NULL THEN 'must_target_obligation'
           WHEN decision <> 'confirmed_unmapped' AND m IS NULL THEN 'mapping_required'
           WHEN expected <> cur THEN 'stale_revision' ELSE 'appended' END AS outcome
-        FROM (SELECT r.user_id, r.n, r.event_id, r.k, r.decision, r.m, r.expected, f.rev, f.used, coalesce(r.m + 1, 4) AS slot,
-                CASE WHEN r.m IS NULL THEN list_max(f.rev) ELSE f.rev[r.m + 1] END AS cur,
+        FROM (SELECT r.pair, r.n, r.event_id, r.user_id, r.k, r.decision, r.m, r.expected, f.rev, f.used, (r.user_id % 2) * 4 + coalesce(r.m + 1, 4) AS slot,
+                CASE WHEN r.m IS NULL THEN list_max(f.rev[(r.user_id % 2) * 4 + 1:(r.user_id % 2) * 4 + 4]) ELSE f.rev[(r.user_id % 2) * 4 + r.m + 1] END AS cur,
                 regexp_extract(f.used, '\\[' || r.k || ':([0-9]+):([0-9]+)\\]', 1) AS prior_slot,
                 nullif(regexp_extract(f.used, '\\[' || r.k || ':([0-9]+):([0-9]+)\\]', 2), '')::INT AS prior_rev
-              FROM fold f JOIN r1 r ON r.user_id = f.user_id AND r.n = f.n + 1))),
-decided AS (SELECT f.event_id, 'obl-' || f.user_id AS obligation_id, 'map-' || f.user_id || '-' || r.m AS mapping_id, r.decision,
+              FROM fold f JOIN r1 r ON r.pair = f.pair AND r.n = f.n + 1))),
+decided AS (SELECT f.event_id, 'obl-' || r.user_id AS obligation_id, 'map-' || r.user_id || '-' || r.m AS mapping_id, r.decision,
   f.outcome, f.revision FROM fold f JOIN r1 r USING (event_id))"""
 
 
@@ -237,7 +284,7 @@ decided AS (SELECT f.event_id, 'obl-' || f.user_id AS obligation_id, 'map-' || f
     FROM decided""",
 )
 def g1(spark, d):
-    out = G.apply_decisions(decision_requests(spark, d))
+    out = G.apply_decisions(decision_requests(spark, d), *known_targets(spark, d))
     return as_text(out, "revision").select(
         F.col("requested_at").alias("event_id"), "obligation_id", "mapping_id", "decision", "outcome", "revision"
     )
@@ -258,8 +305,8 @@ def g1_stream(spark, d):
 
 @query(
     "g1_key_conflicts",
-    f"""WITH RECURSIVE {DECISIONS_SQL} SELECT 'org-1' AS organization_id, 'key-' || user_id || '-' || k AS idempotency_key, count(*) AS requests
-    FROM r1 GROUP BY user_id, k HAVING min(coalesce(m, 9)) <> max(coalesce(m, 9))""",
+    f"""WITH RECURSIVE {DECISIONS_SQL} SELECT 'org-' || (pair % 50) AS organization_id, 'key-' || pair || '-' || k AS idempotency_key, count(*) AS requests
+    FROM r1 GROUP BY pair, k HAVING min(user_id * 10 + coalesce(m, 9)) <> max(user_id * 10 + coalesce(m, 9))""",
 )
 def g1_keys(spark, d):
     return G.key_conflicts(decision_requests(spark, d))
@@ -271,7 +318,7 @@ def g1_keys(spark, d):
     QUALIFY row_number() OVER (PARTITION BY obligation_id, mapping_id ORDER BY revision DESC) = 1""",
 )
 def g2(spark, d):
-    ledger = G.apply_decisions(decision_requests(spark, d)).where("outcome = 'appended'")
+    ledger = G.apply_decisions(decision_requests(spark, d), *known_targets(spark, d)).where("outcome = 'appended'")
     return G.latest_decisions(ledger).select("obligation_id", "mapping_id", "decision", "revision")
 
 
@@ -351,10 +398,10 @@ queue AS (SELECT o.*, coalesce(candidate_count, 0) AS candidate_count, coalesce(
 
 
 def queue(spark, d):
-    o, c = stored_obligations(spark, d), latest_controls(spark, d)
+    o = stored_obligations(spark, d)
     m = stored_mappings(spark, d, o)
     regs = o.select("regulation_id").distinct().withColumn("title", F.concat(F.lit("Rules of "), F.col("regulation_id")))
-    return G.review_queue(o, m, mapping_ledger(spark, d, m, o), regs, c)
+    return G.review_queue(o, m, mapping_ledger(spark, d, m, o), regs)
 
 
 @query(
@@ -435,14 +482,14 @@ def b28(spark, d):
 
 
 def workflow_requests(spark, d):
-    """Events as decisions on runs: the user is the run, every payload value one actor and key."""
+    """Events as decisions on runs: the user is the run, every payload value one actor, and one key for two runs."""
     k = F.get_json_object("props", "$.k").cast("int")
     return I.table(spark, d, "events").select(
-        F.lit("org-1").alias("organization_id"),
+        pair_tenant(),
         F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
         F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "view", "changes_requested").otherwise("approved").alias("decision"),
         F.concat(F.lit("actor-"), (k % 4).cast("string")).alias("actor_id"),
-        F.concat(F.lit("key-"), F.col("user_id").cast("string"), F.lit("-"), k.cast("string")).alias("idempotency_key"),
+        pair_key(k),
         F.floor(k / 12).cast("int").alias("expected_revision"),
         F.col("event_id").alias("requested_at"),
     )
@@ -451,7 +498,7 @@ def workflow_requests(spark, d):
 def workflow_runs(spark, d):
     user = F.col("user_id")
     return I.table(spark, d, "events").select("user_id").distinct().select(
-        F.lit("org-1").alias("organization_id"), F.concat(F.lit("run-"), user.cast("string")).alias("run_id"),
+        pair_tenant(), F.concat(F.lit("run-"), user.cast("string")).alias("run_id"),
         F.when(user % 5 == 0, "blocked").otherwise("awaiting_approval").alias("status"),
         F.when(user % 2 == 0, "high").otherwise("medium").alias("risk_level"),
         F.concat(F.lit("actor-"), (user % 4).cast("string")).alias("created_by"),
@@ -459,27 +506,30 @@ def workflow_runs(spark, d):
 
 
 WORKFLOW_SQL = """
-e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events),
-w AS (SELECT event_id, user_id, k, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'changes_requested' ELSE 'approved' END AS decision,
-  k // 12 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e),
+e AS (SELECT *, user_id // 2 AS pair, json_extract_string(props, '$.k')::INT AS k FROM events),
+w AS (SELECT event_id, user_id, pair, k, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'changes_requested' ELSE 'approved' END AS decision,
+  k // 12 AS expected, user_id % 2 + 1 AS side, row_number() OVER (PARTITION BY pair ORDER BY event_id) AS n FROM e),
 fold AS (
-  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0 AS rev, ''::VARCHAR AS used,
-    CASE WHEN user_id % 5 = 0 THEN 'blocked' ELSE 'awaiting_approval' END AS status, NULL::VARCHAR AS outcome, NULL::INT AS made FROM w
+  SELECT DISTINCT pair, 0::BIGINT AS n, NULL::BIGINT AS event_id, [0, 0] AS rev, ''::VARCHAR AS used,
+    [CASE WHEN pair * 2 % 5 = 0 THEN 'blocked' ELSE 'awaiting_approval' END, CASE WHEN (pair * 2 + 1) % 5 = 0 THEN 'blocked' ELSE 'awaiting_approval' END] AS status,
+    NULL::VARCHAR AS outcome, NULL::INT AS made FROM w
   UNION ALL
-  SELECT user_id, n, event_id, CASE WHEN outcome = 'appended' THEN rev + 1 ELSE rev END,
-    CASE WHEN outcome = 'appended' THEN used || '[' || k || ':' || (rev + 1) || ']' ELSE used END,
-    CASE WHEN outcome = 'appended' THEN decision ELSE status END, outcome,
-    CASE WHEN outcome = 'appended' THEN rev + 1 WHEN outcome = 'replayed' THEN prior::INT END
-  FROM (SELECT *, CASE WHEN status = 'blocked' AND decision = 'approved' THEN 'blocked_run'
+  SELECT pair, n, event_id, CASE WHEN outcome = 'appended' THEN list_transform(rev, lambda v, i: CASE WHEN i = side THEN v + 1 ELSE v END) ELSE rev END,
+    CASE WHEN outcome = 'appended' THEN used || '[' || k || ':' || side || ':' || (rev[side] + 1) || ']' ELSE used END,
+    CASE WHEN outcome = 'appended' THEN list_transform(status, lambda v, i: CASE WHEN i = side THEN decision ELSE v END) ELSE status END, outcome,
+    CASE WHEN outcome = 'appended' THEN rev[side] + 1 WHEN outcome = 'replayed' THEN prior::INT END
+  FROM (SELECT *, CASE WHEN status[side] = 'blocked' AND decision = 'approved' THEN 'blocked_run'
           WHEN user_id % 4 = k % 4 AND user_id % 2 = 0 AND decision = 'approved' THEN 'self_approval'
-          WHEN prior <> '' THEN 'replayed' WHEN expected <> rev THEN 'stale_revision' ELSE 'appended' END AS outcome
-        FROM (SELECT w.*, f.rev, f.used, f.status, regexp_extract(f.used, '\\[' || w.k || ':([0-9]+)\\]', 1) AS prior
-              FROM fold f JOIN w ON w.user_id = f.user_id AND w.n = f.n + 1)))"""
+          WHEN prior_side <> '' THEN CASE WHEN prior_side::INT = side THEN 'replayed' ELSE 'key_conflict' END
+          WHEN expected <> rev[side] THEN 'stale_revision' ELSE 'appended' END AS outcome
+        FROM (SELECT w.*, f.rev, f.used, f.status, regexp_extract(f.used, '\\[' || w.k || ':([0-9]+):([0-9]+)\\]', 1) AS prior_side,
+                regexp_extract(f.used, '\\[' || w.k || ':([0-9]+):([0-9]+)\\]', 2) AS prior
+              FROM fold f JOIN w ON w.pair = f.pair AND w.n = f.n + 1)))"""
 
 
 @query(
     "h2_workflow_decisions",
-    f"""WITH RECURSIVE {WORKFLOW_SQL} SELECT f.event_id, 'run-' || f.user_id AS run_id, w.decision, f.outcome, f.made::VARCHAR AS revision
+    f"""WITH RECURSIVE {WORKFLOW_SQL} SELECT f.event_id, 'run-' || w.user_id AS run_id, w.decision, f.outcome, f.made::VARCHAR AS revision
     FROM fold f JOIN w USING (event_id)""",
 )
 def h2(spark, d):
@@ -489,7 +539,7 @@ def h2(spark, d):
 
 @query(
     "h3_list_workflows",
-    f"""WITH RECURSIVE {WORKFLOW_SQL}, last AS (SELECT user_id, max(made) AS revision, arg_max(event_id, made) AS event_id FROM fold WHERE outcome = 'appended' GROUP BY 1)
+    f"""WITH RECURSIVE {WORKFLOW_SQL}, last AS (SELECT w.user_id, max(made) AS revision, arg_max(event_id, made) AS event_id FROM fold JOIN w USING (event_id) WHERE outcome = 'appended' GROUP BY 1)
     SELECT 'run-' || r.user_id AS run_id, coalesce(w.decision, CASE WHEN r.user_id % 5 = 0 THEN 'blocked' ELSE 'awaiting_approval' END) AS status,
       coalesce(l.revision, 0) AS revision FROM (SELECT DISTINCT user_id FROM w) r LEFT JOIN last l USING (user_id) LEFT JOIN w ON w.event_id = l.event_id""",
 )
