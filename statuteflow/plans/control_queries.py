@@ -297,7 +297,7 @@ def g1(spark, d):
 )
 def g1_stream(spark, d):
     events = live.read_events(spark, d, I.table(spark, d, "events").schema)
-    out = live.drain(live.decision_outcomes(as_decisions(events)), "decisions")
+    out = live.drain(live.decision_outcomes(as_decisions(events), *known_targets(spark, d)), "decisions")
     return as_text(out, "revision").select(
         F.col("requested_at").alias("event_id"), "obligation_id", "mapping_id", "decision", "outcome", "revision"
     )

@@ -181,8 +181,7 @@ fold AS (
     CASE WHEN NOT ok THEN lu WHEN event = 'claim' THEN sec + {LEASE} ELSE 0 END
   FROM (SELECT j.*, f.status, f.attempts, f.replays, f.nb, f.lu, CASE j.event
       WHEN 'claim' THEN f.status IN ('queued', 'failed', 'processing') AND NOT (f.status = 'processing' AND f.lu > j.sec) AND f.nb <= j.sec
-      WHEN 'complete' THEN f.status = 'processing' AND f.lu > j.sec WHEN 'fail' THEN f.status = 'processing' AND f.lu > j.sec
-      WHEN 'error' THEN f.status = 'processing' ELSE f.status IN ('failed', 'dead_letter') END AS ok
+      WHEN 'replay' THEN f.status IN ('failed', 'dead_letter') ELSE f.status = 'processing' END AS ok
     FROM fold f JOIN je j ON j.user_id = f.user_id AND j.n = f.n + 1))"""
 
 
@@ -192,14 +191,39 @@ fold AS (
 )
 def l5(spark, d):
     events = I.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return J.fold_jobs(job_events(events), lease=LEASE).drop("not_before", "lease_until").withColumnRenamed("at", "seconds")
+    return J.fold_jobs(job_events(events), lease=LEASE).drop("not_before", "lease_until", "event_id").withColumnRenamed("at", "seconds")
 
 
-@query("l5_job_stream")
-def l5_stream(spark, d):
+def job_stream(spark, d):
     return live.drain(live.job_states(job_events(event_stream(spark, d)), lease=LEASE), "jobs")
 
 
+@query(
+    "l5_job_stream",
+    f"WITH RECURSIVE {JOB_SQL} SELECT 'job-' || user_id AS job_id, sec AS at, event, accepted, status, attempts, replays FROM fold WHERE n > 0",
+)
+def l5_stream(spark, d):
+    return job_stream(spark, d).where(F.col("event") != live.EXPIRED)
+
+
+EXPIRY_SQL = f"""WITH RECURSIVE {JOB_SQL},
+    f AS (SELECT user_id, event, lu, lead(sec) OVER (PARTITION BY user_id ORDER BY n) AS following FROM fold WHERE n > 0 AND accepted)
+    SELECT 'job-' || user_id AS job_id, lu AS at FROM f, (SELECT epoch(max(ts)) - 600 AS mark FROM events)
+    WHERE event = 'claim' AND lu <= coalesce(following, mark)"""
+
+
+@query("l5_lease_expiries", EXPIRY_SQL)
+def l5_expiries(spark, d):
+    events = I.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    mark = events.agg(F.floor(F.unix_micros(F.max("ts")) / 1_000_000 - 600)).first()[0]
+    return J.lease_expiries(J.fold_jobs(job_events(events), lease=LEASE), mark)
+
+
+@query("l5_lease_stream", EXPIRY_SQL)
+def l5_lease_stream(spark, d):
+    return job_stream(spark, d).where(F.col("event") == live.EXPIRED).select("job_id", "at")
+
+
 @query(
     "l6_dedupe_jobs",
     f"""WITH {JOBS_SQL} SELECT organization_id, regulation_id, content_hash, arg_min(job_id, (created_at, job_id)) AS job_id, count(*) AS requests FROM jobs GROUP BY ALL""",

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed as V
 from ..operators.jobs import job_transition
@@ -72,65 +72,111 @@ def first_jobs(jobs: DataFrame, delay: str) -> DataFrame:
 
 
 JOB_ROW = "job_id string, at long, event string, accepted boolean, status string, attempts int, replays int"
-JOB_STORE = "status string, attempts int, replays int, not_before long, lease_until long"
+EXPIRED = "lease_expired"
+
+
+class JobLeases(StatefulProcessor):
+    """Six numbers per job. Timers report leases that end and drop jobs that nothing has happened to for ``keep`` seconds."""
+
+    def __init__(self, lease: int, max_attempts: int, keep: int):
+        self.lease, self.max_attempts, self.keep = lease, max_attempts, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, attempts int, replays int, not_before long, lease_until long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = sorted(x for batch in rows for x in zip(batch["at"].tolist(), batch["event_id"].tolist(), batch["event"].tolist()))
+        stored = tuple(self.job.get()) if self.job.exists() else None
+        state, last, out = (stored[:5] if stored else None), (stored[5] if stored else 0), []
+        for at, _, event in arrived:
+            if state and at - last >= self.keep:
+                state = None  # its timer has not come yet
+            last = max(last, at)
+            if state and state[0] == "processing" and 0 < state[4] <= at:
+                state = self._expire(key, state, out)
+            state, accepted = job_transition(state, event, at, self.lease, self.max_attempts)
+            out.append((key[0], at, event, accepted, *state[:3]))
+        self.job.update((*state, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if state[0] == "processing" and state[4] > 0:
+            self.handle.registerTimer(state[4] * 1000)
+        self.handle.registerTimer((last + self.keep) * 1000)
+        yield pd.DataFrame(out, columns=["job_id", "at", "event", "accepted", "status", "attempts", "replays"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.job.exists():
+            return
+        *state, last = self.job.get()
+        if expiredTimerInfo.getExpiryTimeInMs() >= (last + self.keep) * 1000:
+            self.job.clear()
+        elif state[0] == "processing" and 0 < state[4] * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            out: list = []
+            self.job.update((*self._expire(key, tuple(state), out), last))
+            yield pd.DataFrame(out, columns=["job_id", "at", "event", "accepted", "status", "attempts", "replays"])
 
+    def _expire(self, key, state: tuple, out: list) -> tuple:
+        """The lease is reported and forgotten; the job stays with its worker until another one claims it."""
+        out.append((key[0], state[4], EXPIRED, True, *state[:3]))
+        return (*state[:4], 0)
 
-def job_states(events: DataFrame, lease: int = 120, max_attempts: int = 5) -> DataFrame:
-    """State of each job after each event (job_id, ts, at, event_id, event); an expired lease reports itself.
 
-    The state is five numbers per job. Events of one trigger are applied in time order.
-    """
-    columns = ["job_id", "at", "event", "accepted", "status", "attempts", "replays"]
-
-    def update(key, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
-        state = store.get if store.exists else None
-        if store.hasTimedOut:
-            status, attempts, replays, not_before, until = state
-            if status == "processing":
-                store.update(("queued", attempts, replays, not_before, 0))
-                yield pd.DataFrame([(key[0], until, "lease_expired", True, "queued", attempts, replays)], columns=columns)
-            return
-        rows = []
-        for batch in batches:
-            for at, event_id, event in zip(batch["at"], batch["event_id"], batch["event"]):
-                rows.append((int(at), int(event_id), event))
-        out = []
-        for at, _, event in sorted(rows):
-            state, accepted = job_transition(state, event, at, lease, max_attempts)
-            out.append((key[0], at, event, accepted, *state[:3]))
-        store.update(state)
-        if state[0] == "processing" and state[4] * 1000 > store.getCurrentWatermarkMs():
-            store.setTimeoutTimestamp(state[4] * 1000)
-        yield pd.DataFrame(out, columns=columns)
+def job_states(events: DataFrame, lease: int = 120, max_attempts: int = 5, delay: str = "10 minutes", keep_days: int = 365) -> DataFrame:
+    """State of each job after each event (job_id, ts, at, event_id, event), and a row for each lease that ends unused.
 
-    return (
-        events.withWatermark("ts", "10 minutes")
-        .groupBy("job_id")
-        .applyInPandasWithState(update, JOB_ROW, JOB_STORE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    Events of one trigger are applied in time order. A lease is reported when an event or the watermark passes its end. The
+    state is of a fixed size per job, and goes ``keep_days`` after the job's last event.
+    """
+    columns = events.select("job_id", "ts", F.col("at").cast("long").alias("at"), F.col("event_id").cast("long").alias("event_id"), "event")
+    return _stateful(columns.withWatermark("ts", delay).groupBy("job_id"), JobLeases(lease, max_attempts, keep_days * 86_400), JOB_ROW, "EventTime")
+
+
+class DecisionLedger(StatefulProcessor):
+    """Revisions and used keys of a tenant, as maps of which a request reads a few entries."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.revisions = handle.getMapState("revisions", "obligation string, slot string", "revision int")
+        self.used = handle.getMapState("used", "idempotency_key string", "obligation string, mapping string, revision int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, out = None, []
+        arrived = []
+        for batch in rows:
+            names = list(batch.columns)
+            arrived += batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None)
+        for row in sorted((dict(zip(names, r)) for r in arrived), key=lambda r: (r["requested_at"], r["obligation_id"], r["idempotency_key"])):
+            out.append(self._decide(row))
+        frame = pd.DataFrame(out, columns=[field.split()[0] for field in DECISION_OUTCOME.split(", ")])
+        yield frame.astype({"revision": "Int32", "supersedes": "Int32"})
 
+    def _decide(self, row: dict) -> tuple:
+        """The step of the batch ledger, over a state that holds what this request can depend on."""
+        obligation, slot, key = row["obligation_id"], row["mapping_id"] or "", (row["idempotency_key"],)
+        every = (obligation, "*")  # the highest revision of the obligation
+        found = self.used.getValue(key) if self.used.containsKey(key) else None
+        at = every if row["mapping_id"] is None else (obligation, slot)
+        revisions = {slot: self.revisions.getValue(at)[0]} if self.revisions.containsKey(at) else {}
+        taken = found is not None and found[0] != obligation
+        used = {row["idempotency_key"]: (found[1], found[2])} if found is not None and not taken else {}
+        (revisions, _), result = decision_step((revisions, used), row | {"taken": taken})
+        if result[6] == "appended":
+            highest = self.revisions.getValue(every)[0] if self.revisions.containsKey(every) else 0
+            self.revisions.updateValue((obligation, slot), (revisions[slot],))
+            self.revisions.updateValue(every, (max(highest, revisions[slot]),))
+            self.used.updateValue(key, (obligation, row["mapping_id"], revisions[slot]))
+        return result
+
+
+def decision_outcomes(requests: DataFrame, obligations: DataFrame | None = None, mappings: DataFrame | None = None) -> DataFrame:
+    """Outcome of each decision request as it arrives.
+
+    Keys belong to the tenant, so its ledger is one sequence: it is the key of the stream. Its maps grow with the ledger
+    in the state store, a request touches four entries of them.
+    """
+    return _stateful(checked_requests(requests, obligations, mappings).groupBy("organization_id"), DecisionLedger(), DECISION_OUTCOME, "None")
 
-def decision_outcomes(requests: DataFrame) -> DataFrame:
-    """Outcome of each decision request as it arrives; the state of an obligation is kept between triggers."""
-    columns = [field.split()[0] for field in DECISION_OUTCOME.split(", ")]
-    order = ["requested_at", "idempotency_key"]
-
-    def update(key, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
-        state = None
-        if store.exists:
-            revisions, used = json.loads(store.get[0])
-            state = (revisions, {k: tuple(v) for k, v in used.items()})
-        arrived = pd.concat(list(batches), ignore_index=True).sort_values(order)
-        out = []
-        for row in arrived.to_dict("records"):
-            state, result = decision_step(state, row)
-            out.append(result)
-        store.update((json.dumps(state),))
-        frame = pd.DataFrame(out, columns=columns)
-        yield frame.astype({"revision": "Int32", "supersedes": "Int32"})
 
-    return (
-        checked_requests(requests)
-        .groupBy("organization_id", "obligation_id")
-        .applyInPandasWithState(update, DECISION_OUTCOME, "state string", "append", GroupStateTimeout.NoTimeout)
-    )
+def _stateful(grouped, processor: StatefulProcessor, schema: str, time: str) -> DataFrame:
+    grouped.session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return grouped.transformWithStateInPandas(processor, T._parse_datatype_string(schema), "Append", time)
