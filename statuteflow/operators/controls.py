@@ -56,7 +56,7 @@ def suggest_mappings(
     targets = controls.select(
         tenant, F.col("control_version_id").alias("target"), token_set(F.concat_ws(" ", "title", "description", "evidence_requirement")).alias("terms")
     )
-    overlap, raw, first_two = F.array_intersect("terms", "target_terms"), F.col("score"), F.col("position") < 2
+    overlap, raw, first_two = F.col("shared"), F.col("score"), F.col("position") < 2
     stopwords = F.array(*[F.lit(w) for w in V.EXPLANATION_STOPWORDS])
     named = controls.select(tenant, F.col("control_version_id").alias("target"), "control_key", F.col("title").alias("control_title"))
     made = top_matches(sources, targets, limit, rare).join(named, ["scope", "target"]).select(

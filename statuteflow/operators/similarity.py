@@ -15,17 +15,17 @@ def top_matches(sources: DataFrame, targets: DataFrame, limit: int, rare: int =
     """The ``limit`` targets of its scope that are most similar (Jaccard of token sets, above 0) to each source.
 
     ``sources``: scope, source, terms; ``targets``: scope, target, terms; ids are unique in a scope, terms have no repeats.
-    Gives scope, source, terms, target, target_terms, position (from 0), score and gap (between the first and the second
-    score, null if there is no second). Equal scores stand by target. Sources without a match give no row.
-
-    Rare tokens have lists of at most ``rare`` targets, so a source meets few targets by them. All other targets share only
-    frequent tokens with it: among those with the same frequent tokens and size the score is the same, so only the ``limit``
-    first by id of each such class can be in the answer. Classes are met by the source's frequent tokens, the rarest
-    first, and by as many of them as the score found so far requires: a set with score s shares s * |source| tokens at
-    least, and its size is within s and 1 / s times the source's. Every comparison that is left out is below the answer, so
-    the answer is exact. The index is written to the shared folder; Spark sends it along or shuffles it as its size asks.
+    Gives scope, source, target, shared (the tokens of both), position (from 0), score and gap (between the first and the
+    second score, null if there is no second). Equal scores stand by target. Sources without a match give no row.
+
+    Only the tokens that a target of the scope holds matter, and the number of all; sources that are alike in both are one
+    question. Rare tokens have lists of at most ``rare`` targets, so a question meets few targets by them. All other targets
+    share only frequent tokens with it: among those with the same frequent tokens and size the score is the same, so only
+    the ``limit`` first by id of each such class can be in the answer. Classes are met by the question's frequent tokens,
+    the rarest first, and by as many of them as the score found so far requires: a set with score s shares s * n tokens of
+    n at least, and its size is within s and 1 / s times n. Every comparison that is left out is below the answer, so the
+    answer is exact. The index is written to the shared folder; Spark sends it along or shuffles it as its size asks.
     """
-    key = ["scope", "source"]
     held = stage_table(targets.select("scope", "target", F.col("terms").alias("target_terms"), F.size("terms").alias("size")), "match-targets")
     postings = held.select("scope", "target", "size", F.explode("target_terms").alias("token"))
     tagged = postings.join(postings.groupBy("scope", "token").agg(F.count("*").alias("df")), ["scope", "token"])
@@ -34,36 +34,44 @@ def top_matches(sources: DataFrame, targets: DataFrame, limit: int, rare: int =
     )
     classes = stage_table(_classes(tagged.where(F.col("df") > rare), limit), "match-classes")
 
-    met = (
-        sources.select(*key, "terms").repartition(*key).select(*key, "terms", F.explode("terms").alias("token"))
-        .join(vocabulary, ["scope", "token"])
-        .groupBy(*key)
-        .agg(
-            F.first("terms").alias("terms"), F.array_distinct(F.flatten(F.collect_list("targets"))).alias("targets"),
-            F.sort_array(F.collect_list(F.when(F.col("df") > rare, F.struct("df", "token")))).alias("frequent"),
-        )
-    )
-    scored = met.select(*key, "terms", "frequent", F.explode_outer("targets").alias("target")).join(held, ["scope", "target"], "left")
-    found = scored.groupBy(*key).agg(
-        F.first("terms").alias("terms"), F.first("frequent").alias("frequent"),
-        F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), F.struct(_negative("target_terms").alias("negative"), "target")))).alias("best"),
-    )
-    by_class = _by_classes(found.select(*key, "terms", F.col("frequent.token").alias("frequent"), F.slice("best", 1, limit).alias("best")), classes, limit)
-    both = F.sort_array(F.concat(F.slice("best", 1, limit), F.coalesce("more", F.array().cast("array<struct<negative:double,target:string>>"))))
+    tokens = sources.select("scope", "source", F.size("terms").alias("n"), F.explode("terms").alias("token"))
+    known = tokens.join(vocabulary.select("scope", "token", "df"), ["scope", "token"])
+    alike = ["scope", "n", "known"]
+    reduced = stage_table(known.groupBy("scope", "source", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known")), "match-sources")
+    questions = reduced.select(*alike).distinct().withColumn("question", F.monotonically_increasing_id())
+    questions = stage_table(questions.select("question", "scope", "n", "known", F.col("known.token").alias("terms")), "match-questions")
+
+    met = questions.select("question", "scope", F.explode("terms").alias("token")).join(vocabulary, ["scope", "token"])
+    pairs = met.select("question", "scope", F.explode("targets").alias("target")).distinct()
+    scored = pairs.join(questions, ["question", "scope"]).join(held, ["scope", "target"])
+    found = _best(scored.select("question", _negative("target_terms").alias("negative"), "target"), limit, "best")
+    asked = questions.join(found, "question", "left").withColumn("best", F.coalesce("best", F.array().cast(MATCHES)))
+    more = _by_classes(asked, classes, rare, limit)
+    both = F.sort_array(F.concat("best", F.coalesce("more", F.array().cast(MATCHES))))
     once = F.filter("both", lambda x, i: F.array_position("both.target", x["target"]) == i + 1)  # met both ways: the better score
-    top = found.join(by_class, key, "left").select(*key, "terms", both.alias("both")).select(*key, "terms", F.slice(once, 1, limit).alias("top"))
+    top = asked.join(more, "question", "left").withColumn("both", both).select(*alike, "terms", F.slice(once, 1, limit).alias("top"))
     gap = F.get("top", F.lit(1))["negative"] - F.get("top", F.lit(0))["negative"]
-    return (
-        top.select(*key, "terms", gap.alias("gap"), F.posexplode("top").alias("position", "of"))
-        .select(*key, "terms", "gap", "position", "of.target", (-F.col("of.negative")).alias("score"))
-        .join(held.drop("size"), ["scope", "target"])
+    answers = (
+        top.select(*alike, "terms", gap.alias("gap"), F.posexplode("top").alias("position", "of"))
+        .join(held.withColumnRenamed("target", "met"), (F.col("of.target") == F.col("met")) & (top["scope"] == held["scope"]))
+        .select(*[top[c] for c in alike], F.struct(F.col("of.target").alias("target"), "position", (-F.col("of.negative")).alias("score"), "gap", F.array_intersect("terms", "target_terms").alias("shared")).alias("match"))
+        .groupBy(*alike).agg(F.collect_list("match").alias("matches"))
     )
+    return reduced.join(answers, alike).select("scope", "source", F.explode("matches").alias("match")).select("scope", "source", "match.*")
+
+
+MATCHES = "array<struct<negative:double,target:string>>"
+
+
+def _best(scored: DataFrame, limit: int, name: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("question").orderBy("negative", "target"))
+    return scored.withColumn("place", rank).where(F.col("place") <= limit).groupBy("question").agg(F.sort_array(F.collect_list(F.struct("negative", "target"))).alias(name))
 
 
 def _negative(of: str) -> Column:
-    """Jaccard of ``terms`` with a set that may be a part of one of ``size`` tokens, negative for ascending order."""
+    """Jaccard of a source's ``n`` tokens, of which ``terms`` matter, with ``size`` tokens, of which ``of`` may be met."""
     shared = F.size(F.array_intersect("terms", of))
-    return -(shared / (F.size("terms") + F.col("size") - shared))
+    return -(shared / (F.col("n") + F.col("size") - shared))
 
 
 def _classes(frequent: DataFrame, limit: int) -> DataFrame:
@@ -74,19 +82,16 @@ def _classes(frequent: DataFrame, limit: int) -> DataFrame:
     return first.groupBy(*alike).agg(F.sort_array(F.collect_list("target")).alias("targets")).withColumn("class", F.get("targets", F.lit(0)))
 
 
-def _by_classes(found: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
-    """scope, source, more: the best ``limit`` of the classes that the rare tokens' score leaves open."""
-    key = ["scope", "source"]
+def _by_classes(asked: DataFrame, classes: DataFrame, rare: int, limit: int) -> DataFrame:
+    """question, more: the best ``limit`` of the classes that the score of ``best`` leaves open."""
     least = F.when(F.size("best") == limit, -F.element_at("best", -1)["negative"]).otherwise(0.0)
-    needed = F.greatest(F.lit(1), F.ceil(F.col("least") * F.size("terms") - 1e-9)).cast("int")
-    asked = (
-        found.withColumn("least", least)
-        .select(*key, "terms", "least", F.explode(F.slice("frequent", F.lit(1), F.greatest(F.lit(0), F.size("frequent") - needed + 1))).alias("token"))
-    )
+    frequent = F.transform(F.filter("known", lambda t: t["df"] > rare), lambda t: t["token"])  # the rarest first
+    needed = F.greatest(F.lit(1), F.ceil(F.col("least") * F.col("n") - 1e-9)).cast("int")
+    own = asked.withColumn("least", least).select("question", "scope", "n", "terms", "least", frequent.alias("frequent"))
+    tokens = own.select("question", "scope", "n", "least", F.explode(F.slice("frequent", F.lit(1), F.greatest(F.lit(0), F.size("frequent") - needed + 1))).alias("token"))
     index = classes.select("scope", "class", "size", F.explode("frequent").alias("token"))
-    near = (F.col("size") >= F.col("least") * F.size("terms") - 1e-9) & (F.col("size") * F.col("least") <= F.size("terms") + 1e-9)
-    pairs = asked.join(index, ["scope", "token"]).where(near).groupBy(*key, "class").agg(F.first("terms").alias("terms"), F.first("least").alias("least"))
-    scored = pairs.join(classes, ["scope", "class"]).withColumn("negative", _negative("frequent")).where(-F.col("negative") >= F.col("least"))
-    each = scored.select(*key, "negative", F.explode("targets").alias("target"))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("negative", "target"))
-    return each.withColumn("place", rank).where(F.col("place") <= limit).groupBy(*key).agg(F.collect_list(F.struct("negative", "target")).alias("more"))
+    near = (F.col("size") >= F.col("least") * F.col("n") - 1e-9) & (F.col("size") * F.col("least") <= F.col("n") + 1e-9)
+    pairs = tokens.join(index, ["scope", "token"]).where(near).select("question", "scope", "class").distinct()
+    scored = pairs.join(own.drop("frequent"), ["question", "scope"]).join(classes, ["scope", "class"])
+    scored = scored.withColumn("negative", _negative("frequent")).where(-F.col("negative") >= F.col("least"))
+    return _best(scored.select("question", "negative", F.explode("targets").alias("target")), limit, "more")
