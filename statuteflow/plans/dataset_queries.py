@@ -407,6 +407,17 @@ def j18(spark, d):
     return D.near_duplicates(document_clauses(spark, d)).withColumn("similarity", F.round("similarity", 9))
 
 
+@query(
+    "j18_clusters",
+    f"""WITH RECURSIVE {_DOCS_SQL}, links AS (SELECT l AS a, r AS b FROM near UNION SELECT r, l FROM near),
+    reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    c AS (SELECT a AS clause_id, least(a, min(b)) AS cluster_id FROM reach GROUP BY a)
+    SELECT cluster_id, clause_id, clauses, count(*) OVER (PARTITION BY cluster_id) AS sets FROM c JOIN sets USING (clause_id)""",
+)
+def j18_clusters(spark, d):
+    return D.near_duplicate_clusters(document_clauses(spark, d))
+
+
 @query(
     "j18_equal_sets",
     f"WITH {_DOCS_SQL} SELECT clause_id AS first_clause, clauses, lo AS first_document, hi AS last_document FROM sets WHERE lo <> hi",
@@ -428,14 +439,23 @@ def _audit_sql():
       round(count(*) FILTER (resolution = 'agreement') / count(*) FILTER (dual), 4) AS agreement_rate FROM resolved),
     ex AS (SELECT count(*) AS exact_duplicate_groups FROM (SELECT {S.clause_hash('text')} AS h FROM ok GROUP BY 1 HAVING min(document_id) <> max(document_id))),
     eq AS (SELECT count(*) AS equal_set_groups FROM (SELECT array_to_string(list_sort({shingles}), '|') AS h FROM ok GROUP BY 1 HAVING min(document_id) <> max(document_id))),
-    bl AS (SELECT count(*) AS broken_lineage FROM ok WHERE position % 101 = 0)
-    SELECT facts.*, vt.*, exact_duplicate_groups, equal_set_groups, broken_lineage, 0::BIGINT AS near_duplicate_pairs, 'blocked' AS status,
+    bl AS (SELECT count(*) AS broken_lineage FROM ok WHERE position % 101 = 0),
+    ns AS (SELECT row_number() OVER () AS sid, s, lo, hi FROM (SELECT list_sort({shingles}) AS s, min(document_id) AS lo, max(document_id) AS hi FROM ok GROUP BY 1)),
+    ng AS (SELECT sid, unnest(s) AS g FROM ns), nf AS (SELECT g, count(*) AS df FROM ng GROUP BY g),
+    np AS (SELECT sid, g FROM ng JOIN nf USING (g) JOIN ns USING (sid)
+      QUALIFY row_number() OVER (PARTITION BY sid ORDER BY df, g) <= len(s) - ceil(0.9 * len(s)) + 1),
+    nr AS (SELECT EXISTS (SELECT 1 FROM np a JOIN np b ON a.g = b.g AND a.sid < b.sid JOIN ns x ON x.sid = a.sid JOIN ns y ON y.sid = b.sid
+      WHERE least(x.lo, y.lo) <> greatest(x.hi, y.hi)
+        AND len(list_intersect(x.s, y.s)) >= 0.9 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))) AS near_duplicates)
+    SELECT facts.*, vt.*, exact_duplicate_groups, equal_set_groups, broken_lineage, near_duplicates,
+      CASE WHEN near_duplicates OR exact_duplicate_groups + equal_set_groups + broken_lineage + unresolved_count > 0 OR documents < 25 OR examples < 500 OR least_class < 30
+        OR regulators < 3 OR least(train, validation, test) = 0 THEN 'blocked' ELSE 'ready' END AS status,
       concat_ws(',', CASE WHEN exact_duplicate_groups > 0 THEN 'cross_document_exact_duplicates' END,
-        CASE WHEN equal_set_groups > 0 THEN 'cross_document_near_duplicates' END, CASE WHEN documents < 25 THEN 'insufficient_documents' END,
+        CASE WHEN near_duplicates OR equal_set_groups > 0 THEN 'cross_document_near_duplicates' END, CASE WHEN documents < 25 THEN 'insufficient_documents' END,
         CASE WHEN examples < 500 THEN 'insufficient_examples' END, CASE WHEN least_class < 30 THEN 'insufficient_examples_per_class' END,
         CASE WHEN regulators < 3 THEN 'insufficient_regulators' END, CASE WHEN least(train, validation, test) = 0 THEN 'invalid_document_split' END,
         CASE WHEN broken_lineage > 0 THEN 'invalid_lineage' END, CASE WHEN unresolved_count > 0 THEN 'unresolved_annotations' END) AS failures
-    FROM facts, vt, ex, eq, bl"""
+    FROM facts, vt, ex, eq, bl, nr"""
 
 
 @query("j16_audit_dataset", _audit_sql())
