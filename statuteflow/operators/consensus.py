@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed as V
-from ..functions.joins import join_checked
-from ..functions.ordered import hash_chunk, running_sum
+from ..functions.ordered import hash_chunk, running_sum, smallest_per_key
 from ..functions.text import label_answer_reject, prompt, stable_rank
 from ..sources.records import violations
 from .metrics import accuracy_report, class_report, macro_report
@@ -25,13 +24,9 @@ def holdout_split(records: DataFrame, evaluation_size: int, seed: str) -> DataFr
     )
     summed = running_sum(per_document, [], hash_chunk("rank_hash"), ["rank_hash"], "cumulative", F.col("n"))
     held = summed.where(F.col("cumulative") - F.col("n") < evaluation_size).select("document_id", F.lit(True).alias("held_out"))
-    marked = join_checked(records, held, ["document_id"], "left").fillna(False, ["held_out"])
-    order = Window.partitionBy("held_out").orderBy(stable_rank(seed, F.lit("eval"), "clause_id"))
-    # Only the first ``evaluation_size`` ranks are kept, so the ranking is cut before its shuffle.
-    first = marked.where("held_out").withColumn("r", F.row_number().over(order)).where(F.col("r") <= evaluation_size)
-    return join_checked(
-        marked, first.select("clause_id", F.lit(True).alias("evaluation")), ["clause_id"], "left", rows=evaluation_size
-    ).fillna(False, ["evaluation"])
+    marked = records.join(held, "document_id", "left").fillna(False, ["held_out"])
+    first = smallest_per_key(marked.where("held_out"), [], stable_rank(seed, F.lit("eval"), "clause_id"), evaluation_size, "r")
+    return marked.join(first.select("clause_id", F.lit(True).alias("evaluation")), "clause_id", "left").fillna(False, ["evaluation"])
 
 
 def label_requests(records: DataFrame, labelers: dict[str, tuple[str, str]]) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed as V
-from ..functions.joins import attach_row, join_checked
-from ..functions.ordered import fingerprint_columns
+from ..functions.joins import attach_row
+from ..functions.ordered import fingerprint_columns, smallest_per_key
 from ..functions.text import aware_timestamp, hash_bucket, padded, sampling_stratum, stable_rank, strip
 from ..sources.records import violations
 
@@ -19,8 +19,8 @@ def sample_pilot(candidates: DataFrame, target: int, seed: str) -> DataFrame:
     """``target`` clauses: an even quota per document, strata taken in turn, the rest filled from the rarest strata.
 
     The rule is a loop over documents and strata; this is its closed form. Ranks inside (document, stratum) only
-    matter up to the quota, and ranks inside a stratum only up to what is left to fill, so every window is cut to
-    that many rows before its shuffle, however large a document is.
+    matter up to the quota, and ranks inside a stratum only up to what is left to fill, so no more rows than that are
+    ranked, however large a document, a stratum or the target is (see smallest_per_key).
     """
     labelled = candidates.withColumn("sampling_stratum", sampling_stratum("text"))
     documents = candidates.select("document_id").distinct().count()
@@ -33,21 +33,16 @@ def sample_pilot(candidates: DataFrame, target: int, seed: str) -> DataFrame:
     n = len(V.LABELS)
     start = hash_bucket(stable_rank(seed, F.lit("document-strata"), "document_id"), n)
     index = F.array_position(F.array(*[F.lit(x) for x in V.LABELS]), F.col("sampling_stratum")) - 1
-    inner = Window.partitionBy("document_id", "sampling_stratum").orderBy(
-        stable_rank(seed, "document_id", "sampling_stratum", "clause_id")
-    )
-    in_stratum = labelled.withColumn("rn", F.row_number().over(inner)).where(F.col("rn") <= quota)
+    inner = stable_rank(seed, "document_id", "sampling_stratum", "clause_id")
+    in_stratum = smallest_per_key(labelled, ["document_id", "sampling_stratum"], inner, quota, "rn")
     turn = Window.partitionBy("document_id").orderBy("rn", F.pmod(index - start + n, F.lit(n)))
     base = (
         in_stratum.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= quota).drop("rn", "turn")
     )
     # The base has at most ``target`` rows, and so have the counts and ids taken from it.
     counts = base.groupBy("sampling_stratum").agg(F.count("*").alias("held"))
-    rest = join_checked(labelled, base.select("clause_id"), ["clause_id"], "left_anti", rows=target)
-    fill_order = Window.partitionBy("sampling_stratum").orderBy(
-        stable_rank(seed, "sampling_stratum", "document_id", "clause_id")
-    )
-    ranked = rest.withColumn("rn", F.row_number().over(fill_order)).where(F.col("rn") <= target)
+    rest = labelled.join(base.select("clause_id"), "clause_id", "left_anti")
+    ranked = smallest_per_key(rest, ["sampling_stratum"], stable_rank(seed, "sampling_stratum", "document_id", "clause_id"), target, "rn")
     filled = (
         ranked.join(F.broadcast(counts), "sampling_stratum", "left")  # seven rows
         .withColumn("level", F.coalesce("held", F.lit(0)) + F.col("rn") - 1)
