@@ -173,7 +173,7 @@ SECRET_PATTERNS = (
     ("bearer_token", r"\bBearer\s+[A-Za-z0-9._~+/=-]{20,}\b"),
 )
 SECRET_ASSIGNMENT = (
-    r"(?i)^\s*(?:export\s+)?"
+    r"(?im)^\s*(?:export\s+)?"
     r"([A-Z][A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|API_KEY|PRIVATE_KEY)[A-Z0-9_]*)"
     r"\s*=\s*[\"']?([^\"'\s#]+)"
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -20,27 +20,41 @@ def _placeholder(value: Column) -> Column:
 
 
 def scan_text(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, category, fingerprint) for every match.
+    """(key, line, category, fingerprint) for every match in the whole text; a match may go over the ends of lines.
 
-    Patterns stay inside a line, so texts are split first; a line is then tried against all patterns in one
-    expression, and only lines with a match go on.
+    ``line`` is the line, from 1, in which the match begins. Each pattern gives its matches and what stands between them;
+    the ends of lines in both are counted in the row, and their running sum over the matches, the only rows that go on,
+    is the line. What a text needs is in proportion to its length, and null texts give nothing.
     """
-    lines = texts.select(F.col(key).cast("string").alias("path"), F.posexplode(F.split(F.col(text), "\n")).alias("p", "body"))
-    name, value = (F.regexp_extract("body", V.SECRET_ASSIGNMENT, i) for i in (1, 2))
-    assigned = F.when((name != "") & ~_placeholder(value), F.array(F.concat(name, F.lit("="), value))).otherwise(
-        F.array().cast("array<string>")
-    )
+    body = F.col("body")
+    ends = lambda part: F.char_length(part) - F.char_length(F.replace(part, F.lit("\n"), F.lit("")))
+
+    def matches(category: str, pattern: str, evidence: Column) -> Column:
+        whole = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+        between = F.slice(F.split(body, pattern, -1), F.lit(1), F.size(whole))
+        zipped = F.arrays_zip(between.alias("between"), whole.alias("whole"), evidence.alias("evidence"))
+        found = F.transform(
+            zipped,
+            lambda z, i: F.struct(
+                F.lit(category).alias("category"), i.alias("place"), ends(z["between"]).alias("before"), ends(z["whole"]).alias("inside"), z["evidence"].alias("evidence")
+            ),
+        )
+        return F.when(body.rlike(pattern), found).otherwise(F.array().cast(MATCH))
+
+    assignment = "(?d)" + V.SECRET_ASSIGNMENT  # lines end at \n alone
+    group = lambda i: F.regexp_extract_all(body, F.lit(assignment), F.lit(i))
+    assigned = F.zip_with(group(1), group(2), lambda name, value: F.when(~_placeholder(value), F.concat(name, F.lit("="), value)))
+    kinds = [matches(category, pattern, F.regexp_extract_all(body, F.lit(pattern), F.lit(0))) for category, pattern in V.SECRET_PATTERNS]
+    kinds.append(matches("credential_assignment", assignment, assigned))
+    rows = texts.select(F.col(key).cast("string").alias("path"), F.col(text).alias("body"), F.monotonically_increasing_id().alias("row"))
+    found = rows.select("path", "row", F.explode(F.concat(*kinds)).alias("f")).select("path", "row", "f.*")
+    so_far = F.sum(F.col("before") + F.col("inside")).over(Window.partitionBy("row", "category").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    placed = found.withColumn("line", (so_far - F.col("inside") + 1).cast("int")).where(F.col("evidence").isNotNull())
+    digest = F.sha2(F.concat_ws("\0", F.lit(V.SCAN_VERSION), "path", "category", "evidence"), 256)
+    return placed.select("path", "line", "category", digest.alias("fingerprint"))
 
-    def named(category: str, matches: Column) -> Column:
-        return F.transform(matches, lambda m: F.struct(F.lit(category).alias("category"), m.alias("evidence")))
 
-    groups = [
-        named(category, F.regexp_extract_all("body", F.lit(pattern), F.lit(0))) for category, pattern in V.SECRET_PATTERNS
-    ]
-    groups.append(named("credential_assignment", assigned))
-    found = lines.select("path", (F.col("p") + 1).alias("line"), F.explode(F.concat(*groups)).alias("f"))
-    digest = F.sha2(F.concat_ws("\0", F.lit(V.SCAN_VERSION), "path", "f.category", "f.evidence"), 256)
-    return found.select("path", "line", "f.category", digest.alias("fingerprint"))
+MATCH = "array<struct<category:string,place:int,before:int,inside:int,evidence:string>>"
 
 
 def content_class(files: DataFrame) -> DataFrame:

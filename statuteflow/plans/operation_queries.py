@@ -334,30 +334,34 @@ def l13(spark, d):
 
 # --- M ----------------------------------------------------------------------------------------------------------
 
-_SCAN_PATTERNS = V.SECRET_PATTERNS
-_FOUND = " UNION ALL ".join(
-    f"SELECT path, line, '{name}' AS category, unnest(regexp_extract_all(body, {S.lit(pattern)})) AS evidence FROM lines" for name, pattern in _SCAN_PATTERNS
-)
-SCAN_SQL = f"""planted AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'ghp_' || substr(sha256(text), 1, 36) WHEN 'fr' THEN 'Authorization: Bearer ' || substr(sha256(text), 1, 30)
+def _scan_sql(name: str, pattern: str, evidence: str, kept: str = "true") -> str:
+    """All matches of a pattern in whole texts; their lines from what stands before them."""
+    p = S.lit(pattern)
+    lines = lambda x: f"coalesce(list_sum(list_transform({x}, lambda t: length(t) - length(replace(t, chr(10), '')))), 0)"
+    return f"""SELECT doc_id::VARCHAR AS path, (1 + {lines('ps[1:i]')} + {lines('ms[1:i - 1]')})::INT AS line, '{name}' AS category, {evidence} AS evidence
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS ms, regexp_split_to_array(text, {p}) AS ps,
+      regexp_extract_all(text, {p}, {1 if name == 'credential_assignment' else 0}) AS n, regexp_extract_all(text, {p}, {2 if name == 'credential_assignment' else 0}) AS v FROM planted)) WHERE {kept}"""
+
+
+_FOUND = " UNION ALL ".join(_scan_sql(name, pattern, "ms[i]") for name, pattern in V.SECRET_PATTERNS)
+SCAN_SQL = f"""planted AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'ghp_' || substr(sha256(text), 1, 36) WHEN 'fr' THEN 'Authorization: Bearer ' || chr(10) || chr(10) || substr(sha256(text), 1, 30)
     WHEN 'es' THEN 'key AKIA' || upper(substr(sha256(text), 1, 16)) || ' end' ELSE 'export API_TOKEN="' || CASE WHEN doc_id % 2 = 0 THEN 'changeme' ELSE substr(sha256(text), 1, 20) END || '"' END
-    || chr(10) || replace(text, 'token = "', chr(10) || 'SERVICE_TOKEN = "') AS text FROM documents),
-lines AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM planted),
-asg AS (SELECT path, line, regexp_extract(body, {S.lit(V.SECRET_ASSIGNMENT)}, 1) AS n, regexp_extract(body, {S.lit(V.SECRET_ASSIGNMENT)}, 2) AS v FROM lines),
-found AS ({_FOUND} UNION ALL SELECT path, line, 'credential_assignment', n || '=' || v FROM asg WHERE n <> '' AND lower(v) NOT IN {S.in_list(V.PLACEHOLDER_VALUES)}),
-scan AS (SELECT path, line::INT AS line, category, sha256('{V.SCAN_VERSION}' || chr(0) || path || chr(0) || category || chr(0) || evidence) AS fingerprint FROM found)"""
+    || chr(10) || replace(text, 'token = "', chr(10) || chr(10) || 'SERVICE_TOKEN =' || chr(10) || '  "') AS text FROM documents),
+found AS ({_FOUND} UNION ALL {_scan_sql('credential_assignment', V.SECRET_ASSIGNMENT, "n[i] || '=' || v[i]", f"lower(v[i]) NOT IN {S.in_list(V.PLACEHOLDER_VALUES)}")}),
+scan AS (SELECT path, line, category, sha256('{V.SCAN_VERSION}' || chr(0) || path || chr(0) || category || chr(0) || evidence) AS fingerprint FROM found)"""
 
 
 def planted(spark, d):
-    """Documents with a made-up credential in front; the tokens they quote in running text move to a line of their own."""
+    """Documents with a made-up credential in front; the tokens they quote move to a line of their own, their values to the next."""
     digest = F.sha2("text", 256)
     value = F.when(F.col("doc_id") % 2 == 0, "changeme").otherwise(F.substring(digest, 1, 20))
     first = (
         F.when(F.col("lang") == "de", F.concat(F.lit("ghp_"), F.substring(digest, 1, 36)))
-        .when(F.col("lang") == "fr", F.concat(F.lit("Authorization: Bearer "), F.substring(digest, 1, 30)))
+        .when(F.col("lang") == "fr", F.concat(F.lit("Authorization: Bearer \n\n"), F.substring(digest, 1, 30)))
         .when(F.col("lang") == "es", F.concat(F.lit("key AKIA"), F.upper(F.substring(digest, 1, 16)), F.lit(" end")))
         .otherwise(F.concat(F.lit('export API_TOKEN="'), value, F.lit('"')))
     )
-    moved = F.replace("text", F.lit('token = "'), F.lit('\nSERVICE_TOKEN = "'))
+    moved = F.replace("text", F.lit('token = "'), F.lit('\n\nSERVICE_TOKEN =\n  "'))
     return I.table(spark, d, "documents").select("doc_id", F.concat(first, F.lit("\n"), moved).alias("text"))
 
 
