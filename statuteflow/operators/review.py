@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions.joins import attach_row
 from ..functions.ordered import first_per_key, fold_sorted
 from .settlement import settle_keys
 
@@ -218,13 +219,25 @@ def filter_queue(
     return queue
 
 
-def page_queue(queue: DataFrame, sort: str = "confidence_asc", limit: int = 50, offset: int = 0) -> DataFrame:
+def page_queue(queue: DataFrame, sort: str = "confidence_asc", limit: int = 50, after: Row | None = None) -> DataFrame:
+    """The next ``limit`` rows behind the row ``after`` (from the beginning without one), with ``total``, the length of the queue.
+
+    A page begins behind the last row of the page before, by the sort columns and then the obligation, so equal
+    confidences neither repeat nor miss a row, and a late page costs what the first one does. ``queue`` is read twice:
+    give a stored table where it is dear.
+    """
     order = {
-        "confidence_asc": [F.asc("confidence")],
-        "confidence_desc": [F.desc("confidence")],
-        "section": [F.asc("regulation_id"), F.asc("section_key")],
-    }[sort]
-    return queue.orderBy(*order, "obligation_id").offset(offset).limit(limit)
+        "confidence_asc": [F.col("confidence")],
+        "confidence_desc": [-F.col("confidence")],
+        "section": [F.col("regulation_id"), F.col("section_key")],
+    }[sort] + [F.col("obligation_id")]
+    place = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    rest = queue
+    if after is not None:
+        given = {"confidence_asc": ["confidence"], "confidence_desc": ["confidence"], "section": ["regulation_id", "section_key"]}[sort]
+        values = [-after[c] if sort == "confidence_desc" else after[c] for c in given] + [after["obligation_id"]]
+        rest = queue.where(place > F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(values)]))
+    return attach_row(rest.orderBy(*order).limit(limit), queue.agg(F.count("*").alias("total"))).orderBy(*order)
 
 
 def dedupe_requests(requests: DataFrame) -> DataFrame:

@@ -417,14 +417,16 @@ def g4(spark, d):
 
 @query(
     "g5_review_page",
-    f"""WITH {QUEUE_SQL} SELECT obligation_id, regulation_id, section_key, confidence, review_state FROM queue
+    f"""WITH {QUEUE_SQL} SELECT obligation_id, regulation_id, section_key, confidence, review_state, count(*) OVER () AS total FROM queue
     WHERE review_state = 'pending' AND confidence >= 0.8 AND (lower(regulation_id || ' rules of ' || regulation_id || ' ' || section_key || ' ' || heading || ' '
       || action || ' ' || evidence || ' ' || keys) LIKE '%widget%')
     ORDER BY regulation_id, section_key, obligation_id LIMIT 100 OFFSET 20""",
 )
 def g5(spark, d):
-    narrowed = G.filter_queue(queue(spark, d), state="pending", text=" Widget ", min_confidence=0.8)
-    return G.page_queue(narrowed, "section", 100, 20).select("obligation_id", "regulation_id", "section_key", "confidence", "review_state")
+    narrowed = stage_table(G.filter_queue(queue(spark, d), state="pending", text=" Widget ", min_confidence=0.8), "narrowed")
+    first = G.page_queue(narrowed, "section", 20).collect()
+    page = G.page_queue(narrowed, "section", 100, after=first[-1] if first else None)
+    return page.select("obligation_id", "regulation_id", "section_key", "confidence", "review_state", "total")
 
 
 @query(

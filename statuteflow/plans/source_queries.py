@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
-from ..session import work_folder
+from ..session import stage_table, work_folder
 from ..sources import corpus, documents, records, store
 from . import inputs as I
 from . import sql as S
@@ -155,6 +155,22 @@ def a8(spark, d):
     return store.pending_objects(admitted, stored).select("organization_id", "sha256", "object_key")
 
 
+@query(
+    "a8_put_objects",
+    f"""WITH {_ADMIT_SQL} SELECT organization_id, sha256, organization_id || '/' || sha256 || lower(regexp_extract(
+        coalesce(min(safe_name) FILTER (declared_type IS NOT NULL), min(safe_name)), '([.][A-Za-z0-9]+)$', 1)) AS object_key, 1::BIGINT AS objects
+    FROM judged WHERE reject_reason IS NULL GROUP BY organization_id, sha256""",
+)
+def a8_put(spark, d):
+    """Uploads with a declared type are put first, then all, then all again: every content is one object with its bytes."""
+    admitted = stage_table(documents.admit_documents(uploads(spark, d), _LIMIT).where("reject_reason IS NULL"), "admitted")
+    root = work_folder(spark, "objects")
+    for put in (admitted.where("declared_type IS NOT NULL"), admitted, admitted):
+        store.put_objects(put, root)
+    found = store.stored_objects(spark, root).where(F.sha2("content", 256) == F.col("sha256"))
+    return found.groupBy("organization_id", "sha256", "object_key").agg(F.count("*").alias("objects"))
+
+
 def manifest(spark, d):
     """Suppliers as manifest rows; every fifth breaks a rule."""
     s, k = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 5
