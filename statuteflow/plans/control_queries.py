@@ -362,11 +362,10 @@ latest_ledger AS MATERIALIZED (SELECT * FROM ledger QUALIFY row_number() OVER (P
 
 @query(
     "g3_supersede_decisions",
-    f"""WITH {LEDGER_SQL}, edited AS (SELECT DISTINCT organization_id, control_key FROM control_changes WHERE changed_at % 2 = 1)
+    f"""WITH {LEDGER_SQL}, open_decisions AS MATERIALIZED (SELECT obligation_id, mapping_id, revision FROM latest_ledger WHERE decision <> 'superseded' AND mapping_id IS NOT NULL)
     SELECT l.obligation_id, l.mapping_id, l.revision + 1 AS revision, l.revision AS supersedes, m.control_version_id
-    FROM latest_ledger l JOIN mappings m USING (mapping_id)
-    JOIN edited e ON e.organization_id = m.organization_id AND e.control_key = m.control_key
-    WHERE l.decision <> 'superseded' AND l.mapping_id IS NOT NULL""",
+    FROM open_decisions l JOIN mappings m ON m.obligation_id = l.obligation_id AND m.mapping_id = l.mapping_id
+    WHERE (m.organization_id, m.control_key) IN (SELECT (organization_id, control_key) FROM control_changes WHERE changed_at % 2 = 1)""",
 )
 def g3(spark, d):
     o, c = stored_obligations(spark, d), latest_controls(spark, d)

@@ -244,7 +244,7 @@ scored AS (
 fingerprinted AS (
   SELECT *, {S.calibrate('raw_confidence')} AS confidence,
          sha256(section_key || '|' || modality || '|' || {S.ws('lower(evidence)')}) AS fingerprint FROM scored),
-obligations AS (
+obligations AS MATERIALIZED (
   SELECT DISTINCT ON (version_id, fingerprint) *, confidence < {S.V.REVIEW_THRESHOLD} AS requires_review,
          sha256(version_id || ':' || fingerprint) AS obligation_id FROM fingerprinted)"""
 
@@ -285,7 +285,7 @@ control_versions AS (
   FROM control_first WHERE rn = 1),
 control_titles AS (
   SELECT organization_id, control_key, arg_min(title, changed_at) AS title FROM control_changes GROUP BY ALL),
-latest_controls AS (
+latest_controls AS MATERIALIZED (
   SELECT v.* EXCLUDE (title), t.title, v.organization_id || '/' || v.control_key || ':v' || v.ordinal AS control_version_id
   FROM control_versions v JOIN control_titles t USING (organization_id, control_key)
   QUALIFY row_number() OVER (PARTITION BY organization_id, control_key ORDER BY ordinal DESC) = 1)"""
