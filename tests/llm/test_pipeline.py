@@ -26,7 +26,7 @@ def write(spark, folder, rows, labels, items):
 
 def test_stages_are_named_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "substring_dedup", "decontamination", "mixing"]
-    assert len(load()[0]) == 10 and all(re.match(r"op\d+_", name) for name in load()[0])
+    assert len(load()[0]) == 13 and all(re.match(r"op\d+_", name) for name in load()[0])
 
 
 def test_planted_cases_are_caught_and_clean_documents_stay(spark, tmp_path):
