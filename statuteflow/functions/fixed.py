@@ -121,19 +121,30 @@ EXAMPLES_PER_CLASS = 30
 NEAR_DUPLICATE = 0.9
 
 # Labelling slots: prompt version and the order in which labels are offered.
+# This library's own wording of what each label stands for.
+LABEL_RULES = {
+    "obligation": "any other action that someone is bound to take",
+    "permission": "conduct that is allowed or left to choice in so many words",
+    "prohibition": "conduct that is forbidden in so many words",
+    "definition": "what a term means or covers",
+    "reporting_requirement": "a named party has to hand in, announce or disclose information",
+    "record_retention_requirement": "records have to be made and kept",
+    "non_obligation": "procedure, proof, enforcement, penalties, exemptions, transitions and plain description",
+}
+REQUEST_SCHEMA = "clause-label-request-1"
 SLOTS = {
     "A": (
-        "silver-prompt-a-v2",
+        "clause-label-a-1",
         "reporting_requirement, record_retention_requirement, prohibition, permission, "
         "definition, obligation, non_obligation",
     ),
     "B": (
-        "silver-prompt-b-v2",
+        "clause-label-b-1",
         "definition, prohibition, permission, record_retention_requirement, "
         "reporting_requirement, obligation, non_obligation",
     ),
     "C": (
-        "silver-prompt-c-v1",
+        "clause-label-c-1",
         "prohibition, definition, reporting_requirement, permission, "
         "record_retention_requirement, non_obligation, obligation",
     ),

@@ -161,11 +161,13 @@ def label_answer_reject(answer: Column | str) -> Column:
 
 
 def prompt(slot: str) -> str:
-    """Instruction given to a labelling slot: the same rules with the slot's own label order."""
+    """Instruction given to a labelling slot: the same rules for each label, in the slot's own label order."""
     _, order = V.SLOTS[slot]
+    rules = "; ".join(f"{label}: {V.LABEL_RULES[label]}" for label in order.split(", "))
     return (
         "Classify the legal function of one regulatory clause. Choose exactly one label and infer no duty "
         f"that the text does not create. Weigh the labels in this order: {order}. "
-        "Reporting and retention labels win over a general obligation. "
+        f"The labels mean: {rules}. Naming a record, a report or evidence binds no one by itself; judge the clause that is "
+        "given, not one that it mentions. Reporting and retention labels win over a general obligation. "
         "Answer in strict JSON with label, confidence from 0 to 1 and a short rationale."
     )

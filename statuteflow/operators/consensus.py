@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import fixed as V
 from ..functions.ordered import hash_chunk, running_sum, smallest_per_key
@@ -35,7 +34,8 @@ def label_requests(records: DataFrame, labelers: dict[str, tuple[str, str]]) ->
         *[
             F.struct(
                 F.lit(s).alias("slot"), F.lit(labeler).alias("labeler_id"), F.lit(model).alias("model_id"),
-                F.lit(V.SLOTS[s][0]).alias("prompt_version"), F.lit(prompt(s)).alias("system_prompt"),
+                F.lit(V.SLOTS[s][0]).alias("prompt_version"), F.lit(prompt(s)).alias("system_prompt"), F.lit(V.REQUEST_SCHEMA).alias("schema_version"),
+                F.array(*[F.lit(x) for x in V.LABELS]).alias("allowed_labels"), F.lit(False).alias("production_ground_truth"),
             )
             for s, (labeler, model) in labelers.items()
         ]

@@ -87,7 +87,8 @@ def k2(spark, d):
 @query(
     "b27_request_rendering",
     """SELECT 'a-' || doc_id AS request_id, doc_id::VARCHAR AS clause_id, sha256(text) AS text_sha256, 'labeler-a' AS labeler_id, """
-    f"""'{V.SLOTS['A'][0]}' AS prompt_version, {S.lit(prompt('A'))} AS system_prompt FROM documents""",
+    f"""'{V.SLOTS['A'][0]}' AS prompt_version, {S.lit(prompt('A'))} AS system_prompt, '{V.REQUEST_SCHEMA}' AS schema_version,
+    '{','.join(V.LABELS)}' AS allowed_labels, false AS production_ground_truth FROM documents""",
 )
 def b27(spark, d):
     rows = I.table(spark, d, "documents").select(
@@ -95,7 +96,8 @@ def b27(spark, d):
         F.sha2("text", 256).alias("text_sha256"),
     )
     return K.label_requests(rows, {"A": LABELERS["A"]}).select(
-        "request_id", "clause_id", "text_sha256", "labeler_id", "prompt_version", "system_prompt"
+        "request_id", "clause_id", "text_sha256", "labeler_id", "prompt_version", "system_prompt", "schema_version",
+        F.array_join("allowed_labels", ",").alias("allowed_labels"), "production_ground_truth",
     )
 
 

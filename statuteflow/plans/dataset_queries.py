@@ -15,10 +15,10 @@ from ..session import stage_table
 from . import inputs as I
 from . import sql as S
 from .inputs import RULE_BOOK_SQL
-from .registry import as_text, query
+from .registry import query
 from .source_queries import manifest
 
-TARGET, SEED = 750, "pilot-1"
+LEAST, EACH, SEED = 750, 3, "pilot-1"
 
 
 def registry(spark, d):
@@ -113,25 +113,29 @@ def j3(spark, d):
 
 
 def sample(spark, d):
-    """A pilot over the candidates, with a regulator's rules as one document: their number does not grow with the data."""
-    found = candidates(spark, d).withColumn("document_id", F.col("regulator"))
-    return P.sample_pilot(stage_table(found, "candidates"), TARGET, SEED)
+    """A pilot over the candidates of all documents: LEAST clauses, or EACH of every document where that is more."""
+    found = stage_table(candidates(spark, d), "candidates")
+    return P.sample_pilot(found, pilot_target(found), SEED)
+
+
+def pilot_target(found):
+    return max(LEAST, EACH * found.agg(F.count_distinct("document_id")).first()[0])
 
 
 _INDEX = "CASE st " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(V.LABELS)) + " END"
 SAMPLE_SQL = f"""{CANDIDATES_SQL},
-lab AS (SELECT * REPLACE (regulator AS document_id), {S.stratum('text')} AS st FROM cand),
-docn AS (SELECT count(DISTINCT document_id) AS n FROM lab),
+lab AS MATERIALIZED (SELECT *, {S.stratum('text')} AS st FROM cand),
+docn AS (SELECT count(DISTINCT document_id) AS n, greatest({LEAST}, {EACH} * count(DISTINCT document_id)) AS target FROM lab),
 s1 AS (SELECT *, {_INDEX} AS idx, {S.bucket(S.stable_rank(SEED, "'document-strata'", 'document_id'), 7)} AS start,
   row_number() OVER (PARTITION BY document_id, st ORDER BY {S.stable_rank(SEED, 'document_id', 'st', 'clause_id')}) AS rn FROM lab),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY rn, (idx - start + 7) % 7) AS turn FROM s1),
-base AS (SELECT * FROM s2, docn WHERE turn <= {TARGET} // n),
+base AS (SELECT * FROM s2, docn WHERE turn <= target // n),
 held AS (SELECT st, count(*) AS h FROM base GROUP BY 1),
 rest AS (SELECT l.*, row_number() OVER (PARTITION BY st ORDER BY {S.stable_rank(SEED, 'st', 'document_id', 'clause_id')}) AS rn
   FROM lab l WHERE clause_id NOT IN (SELECT clause_id FROM base)),
 fill AS (SELECT r.*, row_number() OVER (ORDER BY coalesce(h, 0) + rn - 1, st) AS f FROM rest r LEFT JOIN held USING (st)),
 chosen AS (SELECT clause_id, document_id, regulator, st, text, text_sha256, section_id, heading, page FROM base UNION ALL
-  SELECT clause_id, document_id, regulator, st, text, text_sha256, section_id, heading, page FROM fill WHERE f <= {TARGET} - (SELECT count(*) FROM base)),
+  SELECT clause_id, document_id, regulator, st, text, text_sha256, section_id, heading, page FROM fill, docn WHERE f <= target - (SELECT count(*) FROM base)),
 sample AS (SELECT *, row_number() OVER (ORDER BY {S.stable_rank(SEED, "'master'", 'clause_id')}) AS sample_position FROM chosen)"""
 
 
@@ -270,18 +274,27 @@ def j11(spark, d):
 
 @query(
     "j12_manifest_violations",
-    f"""WITH {SAMPLE_SQL} SELECT * FROM (VALUES ('count_mismatch', 'batch-002'), ('fingerprint_mismatch', 'batch-003'), ('batch_unknown', 'batch-004'),
-    ('target_mismatch', 'campaign'), ('batch_numbering', 'campaign')) t("check", key) WHERE (SELECT count(*) FROM sample) = {TARGET}""",
+    f"""WITH {SAMPLE_SQL}, r AS (SELECT 'batch-' || {S.padded('(sample_position - 1) // 100 + 1', 3)} AS batch_id, sha256(clause_id || ':' || text_sha256 || ':' || st) AS h FROM sample),
+    g AS (SELECT batch_id, {S.fingerprint('h')} FROM r GROUP BY 1),
+    m AS (SELECT batch_id, rows + (batch_id = 'batch-002')::INT AS rows, CASE WHEN batch_id = 'batch-003' THEN 'x' ELSE fingerprint END AS fingerprint FROM g WHERE batch_id <> 'batch-004')
+    SELECT 'batch_unknown' AS "check", batch_id AS key FROM g WHERE batch_id NOT IN (SELECT batch_id FROM m)
+    UNION ALL SELECT 'batch_missing', batch_id FROM m WHERE batch_id NOT IN (SELECT batch_id FROM g)
+    UNION ALL SELECT 'count_mismatch', batch_id FROM g JOIN m USING (batch_id) WHERE g.rows <> m.rows
+    UNION ALL SELECT 'fingerprint_mismatch', batch_id FROM g JOIN m USING (batch_id) WHERE g.fingerprint <> m.fingerprint
+    UNION ALL SELECT 'target_mismatch', 'campaign' FROM docn WHERE target <> (SELECT sum(rows) FROM m)
+    UNION ALL SELECT 'batch_numbering', 'campaign' FROM (SELECT max(batch_id) AS last, count(*) AS n FROM m) WHERE last <> 'batch-' || {S.padded('n', 3)}""",
 )
 def j12(spark, d):
-    batched = stage_table(P.campaign_batches(sample(spark, d), 100), "batches")
+    found = stage_table(candidates(spark, d), "candidates")
+    target = pilot_target(found)
+    batched = stage_table(P.campaign_batches(P.sample_pilot(found, target, SEED), 100), "batches")
     held = P.campaign_manifest(batched).where("batch_id <> 'batch-004'").withColumns(
         {
             "clauses": F.col("clauses") + F.when(F.col("batch_id") == "batch-002", 1).otherwise(0),
             "sample_fingerprint": F.when(F.col("batch_id") == "batch-003", "x").otherwise(F.col("sample_fingerprint")),
         }
     )
-    return P.manifest_violations(batched, held, TARGET)
+    return P.manifest_violations(batched, held, target)
 
 
 @query(
