@@ -285,7 +285,7 @@ def vector_index(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     has_length = F.exists(F.coalesce("embedding", F.array().cast("array<float>")), lambda x: x != 0)
     counts = vectors.where(has_length).groupBy(*SCOPE).agg(F.sqrt(F.count("*")).cast("bigint").alias("step"), F.min("hash").alias("first"))
     chosen = vectors.where(has_length).join(counts, SCOPE).where((F.pmod("hash", "step") == 0) | (F.col("hash") == F.col("first")))
-    pivots = stage_table(chosen.groupBy(*SCOPE).agg(F.sort_array(F.collect_list(F.struct("hash", "embedding"))).alias("p")).select(*SCOPE, F.col("p.embedding").alias("pivots")), "pivots")
+    pivots = chosen.groupBy(*SCOPE).agg(F.sort_array(F.collect_list(F.struct("hash", "embedding"))).alias("p")).select(*SCOPE, F.col("p.embedding").alias("pivots"))
     fields = ["section_id", "hashes", "embedding"]
     section = T.StructType([vectors.schema[c] for c in fields])
     dealt = T.StructType([*[T.StructField(c, T.StringType()) for c in SCOPE], T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType()), T.StructField("row", section)])
@@ -335,7 +335,7 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, limit: int) -> Data
     vectors that the query was compared with.
     """
     blocks, pivots = vector_index(index)
-    asked = scoped(queries).select(*SCOPE, "query_id", F.array().cast("array<bigint>").alias("hashes"), "embedding")
+    asked = stage_table(scoped(queries).select(*SCOPE, "query_id", F.array().cast("array<bigint>").alias("hashes"), "embedding"), "vector-queries")
     like = queries.schema["query_id"].dataType, index.schema["section_id"].dataType
     met = T.StructType([*[T.StructField(c, T.StringType()) for c in SCOPE], T.StructField("query_id", like[0]), T.StructField("angles", T.ArrayType(T.DoubleType()))])
 
@@ -361,10 +361,10 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, limit: int) -> Data
     staged = bounds.withColumn("first", F.coalesce(F.sum("n").over(nearest), F.lit(0)) < limit)
     found = stage_table(_search_rings(staged.where("first"), asked, blocks, like, limit), "vector-first")
     floor = found.groupBy(*SCOPE, "query_id").agg(F.count("*").alias("held"), F.min("score").alias("floor"))
-    left = staged.join(floor, [*SCOPE, "query_id"], "left").where(~F.col("first") & ((F.col("held") < limit) | F.col("held").isNull() | (F.col("bound") >= F.col("floor") - 2e-9)))
-    left = stage_table(left, "vector-left")
-    compared = staged.where("first").select(*SCOPE, "query_id", "n").union(left.select(*SCOPE, "query_id", "n")).groupBy(*SCOPE, "query_id").agg(F.sum("n").alias("compared"))
-    both = found.union(_search_rings(left, asked, blocks, like, limit))
+    can = (F.coalesce("held", F.lit(0)) < limit) | (F.col("bound") >= F.col("floor") - 2e-9)
+    searched = staged.join(floor, [*SCOPE, "query_id"], "left").where(F.col("first") | can)
+    compared = searched.groupBy(*SCOPE, "query_id").agg(F.sum("n").alias("compared"))
+    both = found.union(_search_rings(searched.where(~F.col("first")), asked, blocks, like, limit))
     return ranked(both, limit).drop("lexical_score", "vector_score").join(compared, [*SCOPE, "query_id"])
 
 
