@@ -43,6 +43,11 @@ def test_sentences(spark):
         assert got == [p for p in parts if p]
 
 
+def test_sentences_keep_digits_of_their_position(spark):
+    text = "Zero. 19.37.233.111! 2 is two? 33 or 3. 4444"
+    assert one(spark, [text], T.sentences("t")) == [(["Zero.", "19.37.233.111!", "2 is two?", "33 or 3.", "4444"],)]
+
+
 def test_tokens_and_shingles(spark):
     for text, (words, grams) in zip(TEXTS, one(spark, TEXTS, T.tokens("t"), T.shingles("t"))):
         expected = re.findall("[a-z0-9]+", text.lower())
