@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
@@ -56,23 +58,36 @@ def a1(spark, d):
     )
 
 
-def _html_sql(x: str) -> str:
+def _tags_sql(x: str) -> str:
     for tag in ("script", "style", "noscript", "template"):
         x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|\\z)', chr(10), 'g')"
     x = f"regexp_replace({x}, '(?s)<!--.*?(?:-->|\\z)|<![^>]*>|<[?][^>]*>', chr(10), 'g')"
     x = f"""regexp_replace({x}, '</?[A-Za-z](?:[^''">]|"[^"]*"|''[^'']*'')*>', chr(10), 'g')"""
-    x = f"regexp_replace({x}, '</?[A-Za-z][^>]*>', chr(10), 'g')"
-    for name, char in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
-        x = f"replace({x}, '&{name};', {S.lit(char)})"
-    x = f"regexp_replace({x}, '[ \\t]+', ' ', 'g')"
-    strip = S.strip("l")
-    return (
-        f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: {strip}), "
-        "lambda l: l <> ''), chr(10))"
-    )
-
-
-@query("a2_html_to_text", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+    return f"regexp_replace({x}, '</?[A-Za-z][^>]*>', chr(10), 'g')"
+
+
+# Each '&' starts a piece; its head is a name of the standard's table, with or without semicolon, or a number.
+_ENTITIES = ", ".join(f"({S.lit(name)}, {S.lit(text)})" for name, text in sorted(html5.items()))
+_WINDOWS = " ".join(f"WHEN {number} THEN {S.lit(text)}" for number, text in documents.WINDOWS.items())
+_TEXT_SQL = f"""
+tagless AS (SELECT page_id, {_tags_sql('html')} AS x FROM pages),
+pieces AS (SELECT page_id, unnest(string_split(x, '&')) AS q, generate_subscripts(string_split(x, '&'), 1) AS i FROM tagless),
+heads AS (SELECT *, regexp_extract(q, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)', 1) AS code FROM pieces),
+ended AS (SELECT *, substr(q, len(code) + 1, 1) = ';' AS closed, regexp_matches(code, '^#[xX]') AS is_hex,
+  CASE WHEN code LIKE '#%' THEN ltrim(regexp_replace(code, '^#[xX]?', ''), '0') END AS digits FROM heads),
+numbered AS (SELECT *, CASE WHEN digits = '' OR len(digits) > 7 THEN 0 WHEN is_hex THEN ('0x' || digits)::BIGINT ELSE digits::BIGINT END AS number FROM ended),
+entities(name, chars) AS (VALUES {_ENTITIES}),
+decoded AS (SELECT n.*, CASE WHEN number IS NULL THEN chars ELSE CASE number {_WINDOWS} ELSE
+    CASE WHEN number BETWEEN 1 AND 55295 OR number BETWEEN 57344 AND 1114111 THEN chr(number::INT) ELSE chr(65533) END END END AS found
+  FROM numbered n LEFT JOIN entities ON name = code || CASE WHEN closed THEN ';' ELSE '' END),
+unescaped AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN q ELSE coalesce(found || substr(q, len(code) + 1 + closed::INT), '&' || q) END, '' ORDER BY i) AS x
+  FROM decoded GROUP BY page_id),
+html_texts AS (SELECT page_id, array_to_string(list_filter(list_transform(
+    string_split(regexp_replace(replace(x, chr(13), chr(10)), '[ \\t]+', ' ', 'g'), chr(10)), lambda l: {S.strip('l')}), lambda l: l <> ''), chr(10)) AS text
+  FROM pages LEFT JOIN unescaped USING (page_id))"""
+
+
+@query("a2_html_to_text", f"WITH {_TEXT_SQL} SELECT page_id, text FROM html_texts")
 def a2(spark, d):
     return I.table(spark, d, "pages").select("page_id", documents.html_to_text("html").alias("text"))
 

@@ -134,3 +134,19 @@ def test_unescape_and_html(spark):
 
     page = "<html><script>var a='<p>x</p>'</script><p>4.2 A&amp;B &#233;&#x20AC; &unknown; <b>bold</b></p><!-- no --></html>"
     assert one(spark, [page], html_to_text("t")) == [("4.2 A&B é€ &unknown;\nbold",)]
+
+
+def test_html_sql_states_the_same_rule(spark):
+    import duckdb
+
+    from statuteflow.plans import load
+    from statuteflow.sources.documents import html_to_text
+
+    pages = ["a&amp&amp;amp;&ampx &notit; &notin; &copy", "&#38;&#x26&#0;&#00150;&#129;&#xD800;&#1114112;&#99999999999;", "one\rtwo&#13;three&#10 four &;&", "", None,
+             "<p>a &lt;b&gt c&quot</p>\n&nbsp;x&nbsp; <!-- &amp -->"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
+    want = [(text,) for _, text in con.execute(load().CHECKS["a2_html_to_text"] + " ORDER BY page_id").df().astype(object).where(lambda f: f.notna(), None).values.tolist()]
+    assert one(spark, pages, html_to_text("t")) == want
+    assert want[0] == ("a&&amp;&ampx &notit; ∉ ©",)
