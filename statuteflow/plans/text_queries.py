@@ -150,7 +150,63 @@ def label_centroids(e):
     return e.groupBy("label").agg(F.array(*means).alias("centroid"))
 
 
-@query("b14_feature_hash_embedding", f"""SELECT doc_id, 384 AS dimensions, CASE WHEN len({S.tokens('text')}) > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm FROM documents""")
+# BLAKE2b (RFC 7693) in SQL: start values, and the words of the message in the order of each round.
+_IV = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1,
+       0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+_SIGMA = ("0123456789abcdef", "ea489fd61c02b753", "b8c052fdae367194", "7931dcbe265a40f8", "905724afe1bc683d",
+          "2c6a0b834d75fe19", "c51fed4a0763928b", "db7ec13950f4862a", "6fe9b308c2d714a5", "a2847615fb9e3cd0")
+_QUARTERS = (((0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15)), ((0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14)))
+
+
+def _blake2b_sql(texts: str) -> str:
+    """CTEs up to ``digests``: text, word (the first 8 bytes of its hash, as one number) of the distinct ``text`` of a table."""
+    word = lambda i: "('0x' || " + " || ".join(f"substr(part, {16 * i + 15 - 2 * k}, 2)" for k in range(8)) + ")::UBIGINT"
+    add = lambda *terms: "((" + " + ".join(f"{t}::UHUGEINT" for t in terms) + ") % 18446744073709551616)::UBIGINT"
+    turn = lambda x, n: f"(({x} >> {n}) + ({x} & {(1 << n) - 1}::UBIGINT) * {1 << (64 - n)}::UBIGINT)"
+    kept = "text, bytes, size, block, last, " + ", ".join(f"h{i}" for i in range(8)) + ", " + ", ".join(f"m{i}" for i in range(16))
+    steps = []
+
+    def step(changed: dict[int, str]) -> None:
+        state = ", ".join(f"{changed.get(i, f'v{i}')} AS v{i}" for i in range(16))
+        steps.append(f"s{len(steps) + 1} AS (SELECT {kept}, {state} FROM s{len(steps)})")
+
+    for turns in range(12):
+        order = [int(x, 16) for x in _SIGMA[turns % 10]]
+        for half, quarters in enumerate(_QUARTERS):
+            m = [order[8 * half + 2 * q : 8 * half + 2 * q + 2] for q in range(4)]
+            for i, (first, second) in enumerate(((32, 24), (16, 63))):
+                step({a: add(f"v{a}", f"v{b}", f"m{m[q][i]}") for q, (a, b, _, _) in enumerate(quarters)})
+                step({d: turn(f"xor(v{d}, v{a})", first) for a, _, _, d in quarters})
+                step({c: add(f"v{c}", f"v{d}") for _, _, c, d in quarters})
+                step({b: turn(f"xor(v{b}, v{c})", second) for _, b, c, _ in quarters})
+    begin = ", ".join([*[f"h{i} AS v{i}" for i in range(8)], *[f"{x}::UBIGINT AS v{8 + i}" for i, x in enumerate(_IV) if i not in (4, 6)],
+                       f"xor({_IV[4]}::UBIGINT, CASE WHEN last THEN size ELSE 128 * (block + 1) END::UBIGINT) AS v12",
+                       f"CASE WHEN last THEN xor({_IV[6]}::UBIGINT, {(1 << 64) - 1}::UBIGINT) ELSE {_IV[6]}::UBIGINT END AS v14"])
+    return f"""
+    hashed AS (SELECT text, rpad(hex(text), (256 * greatest(1, (strlen(text) + 127) // 128))::INT, '0') AS bytes, strlen(text) AS size, 0 AS block,
+        {_IV[0] ^ 0x01010008}::UBIGINT AS h0, {', '.join(f'{x}::UBIGINT AS h{i}' for i, x in enumerate(_IV) if i)} FROM (SELECT DISTINCT text FROM {texts})
+      UNION ALL (
+        WITH b AS (SELECT *, substr(bytes, 256 * block + 1, 256) AS part, 256 * (block + 1) = len(bytes) AS last FROM hashed WHERE 256 * block < len(bytes)),
+        w AS (SELECT *, {', '.join(f'{word(i)} AS m{i}' for i in range(16))} FROM b),
+        s0 AS (SELECT {kept}, {begin} FROM w), {', '.join(steps)}
+        SELECT text, bytes, size, block + 1, {', '.join(f'xor(h{i}, xor(v{i}, v{i + 8}))' for i in range(8))} FROM s{len(steps)})),
+    digests AS (SELECT text, h0 AS word FROM hashed WHERE 256 * block = len(bytes))"""
+
+
+# The counts of a text are signed: where all of them cancel, its vector is zero although it has tokens.
+_FIRST_FOUR = "(word & 255) * 16777216 + ((word >> 8) & 255) * 65536 + ((word >> 16) & 255) * 256 + ((word >> 24) & 255)"
+
+
+@query(
+    "b14_feature_hash_embedding",
+    f"""WITH RECURSIVE numbered AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, text AS body FROM documents),
+    used AS MATERIALIZED (SELECT n, token AS text, count(*) AS times FROM (SELECT n, unnest({S.tokens('body')}) AS token FROM numbered) GROUP BY ALL),
+    {_blake2b_sql('used')},
+    buckets AS (SELECT n, ({_FIRST_FOUR}) % 384 AS bucket, sum(CASE WHEN (word >> 32) & 1 = 1 THEN times ELSE -times END) AS value
+      FROM used JOIN digests USING (text) GROUP BY ALL),
+    lengths AS (SELECT n, bool_or(value <> 0) AS nonzero FROM buckets GROUP BY n)
+    SELECT doc_id, 384 AS dimensions, CASE WHEN nonzero THEN 1.0::DOUBLE ELSE 0 END AS norm FROM numbered LEFT JOIN lengths USING (n)""",
+)
 def b14(spark, d):
     out = feature_hash_embedding(docs(spark, d), "doc_id", "text")
     return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(P.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))

@@ -150,3 +150,18 @@ def test_html_sql_states_the_same_rule(spark):
     want = [(text,) for _, text in con.execute(load().CHECKS["a2_html_to_text"] + " ORDER BY page_id").df().astype(object).where(lambda f: f.notna(), None).values.tolist()]
     assert one(spark, pages, html_to_text("t")) == want
     assert want[0] == ("a&&amp;&ampx &notit; ∉ ©",)
+
+
+def test_embedding_sql_knows_counts_that_cancel(spark):
+    import duckdb
+
+    from statuteflow.plans import load
+
+    texts = ["w4 w69", "w4 w69 w69", "w4 w4 w69 w69 " + "x" * 300, "", "...", "a", "a a"]  # w4 and w69: one bucket, two signs
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = [norm for _, _, norm in sorted(con.execute(load().CHECKS["b14_feature_hash_embedding"]).df().values.tolist())]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = feature_hash_embedding(df, "i", "t").orderBy("i").select(F.round(P.dot(F.col("embedding"), F.col("embedding")), 4))
+    assert [r[0] for r in out.collect()] == want == [0, 1, 1, 0, 0, 1, 1]
