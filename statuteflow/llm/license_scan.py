@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
-The words around each anchor, over the ends of lines, are compared with every license template by the exact number of
-words that differ. The block of each confirmed statement is compressed alone and with the template as a raw zstandard
-dictionary; of equally near templates for the same words, the one by which the block shrinks most is reported.
+The words around each anchor, over the ends of lines, are cut into blocks. Each block is compressed alone and with every
+license template as a raw zstandard dictionary; the templates by which it shrinks are its candidates. An exact comparison of
+words confirms where they are, and of confirmed templates for the same words the one that saves most bytes is reported.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ TEMPLATES = {
 # Fixed value: words of which every license statement has one.
 ANCHOR = re.compile(rb"licen[cs]e|licensed|permission|redistribut|\bCC BY|copyleft", re.I)
 LONGEST_LINE, AROUND = 600, 300  # bytes: of longer lines, the parts around a statement are given
+LEVEL = 19  # of compression: lower ones leave out some short matches
 DIFFERENT = 0.2  # share of the template's words that may differ
 WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _OF_WORDS = [bool(WORDS.match(bytes([b]))) for b in range(256)]
@@ -98,53 +99,69 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         import zstandard as z
 
-        self.plain = z.ZstdCompressor(level=3)
+        self.plain = z.ZstdCompressor(level=LEVEL)
         self.models, self.numbers = [], {}
         for name in sorted(templates):
             for wording in templates[name]:
-                raw = wording.encode()
-                with_it = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT))
-                words = [self.numbers.setdefault(w.lower(), len(self.numbers) + 1) for w in WORDS.findall(raw)]
+                spelled = [w.lower() for w in WORDS.findall(wording.encode())]
+                raw = z.ZstdCompressionDict(b" ".join(spelled), dict_type=z.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(level=LEVEL)
+                with_it = z.ZstdCompressor(level=LEVEL, dict_data=raw)
+                words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in spelled]
                 self.models.append((name, with_it, np.array(words, dtype=np.int64), int(DIFFERENT * len(words))))
-        self.width = max((len(words) + most for _, _, words, most in self.models), default=0)
+        self.widths: dict[int, list[int]] = {}  # templates by the most words that a statement of theirs has
+        for i, (_, _, words, most) in enumerate(self.models):
+            self.widths.setdefault(len(words) + most, []).append(i)
+        self.width = max(self.widths, default=0)
         self.counts = np.array([np.bincount(words, minlength=len(self.numbers) + 1) for _, _, words, _ in self.models])
         self.least = np.array([len(words) - most for _, _, words, most in self.models], dtype=np.int64)
-        self.seen: dict[bytes, list] = {}
+        self.seen: dict[tuple[int, bytes], list] = {}
 
-    def confirmed(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(changes, template, first word, end) of all parts near a template."""
-        key = words.tobytes()
+    def saved(self, words: list[bytes], which) -> list[int]:
+        """By how many bytes each of the templates shrinks the words: in lower case, a blank between them."""
+        block = b" ".join(words)
+        alone = len(self.plain.compress(block))
+        return [alone - len(self.models[i][1].compress(block)) for i in which]
+
+    def confirmed(self, words: list[bytes], width: int) -> list[tuple[int, int, int, int, int]]:
+        """(bytes saved, changes, template, first word, end) of the parts of a block that are near a candidate of that width."""
+        key = width, b" ".join(words)
         if key not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
+            which = self.widths[width]
+            candidates = [i for i, gain in zip(which, self.saved(words, which)) if gain > 0]
+            numbers = np.fromiter((self.numbers.get(w, 0) for w in words), dtype=np.int32, count=len(words))
             # each change takes one word of the template at most, so the others must be there
-            there = np.minimum(np.bincount(words, minlength=len(self.numbers) + 1), self.counts)[:, 1:].sum(axis=1)
-            near = np.flatnonzero(there >= self.least).tolist()
-            self.seen[key] = [(c, i, first, end) for i in near for c, first, end in occurrences(self.models[i][2], words, self.models[i][3])]
+            there = np.minimum(np.bincount(numbers, minlength=len(self.numbers) + 1), self.counts)[:, 1:].sum(axis=1)
+            found = []
+            for i in candidates:
+                if there[i] < self.least[i]:
+                    continue
+                taken = np.zeros(len(words), dtype=bool)
+                for changes, first, end in sorted(occurrences(self.models[i][2], numbers, self.models[i][3]), key=lambda x: (x[0], x[2] - x[1], x[1])):
+                    if not taken[first:end].any():
+                        taken[first:end] = True
+                        found.append((self.saved(words[first:end], (i,))[0], changes, i, first, end))
+            self.seen[key] = found
         return self.seen[key]
 
     def find(self, text: bytes) -> list[tuple]:
         """(first byte of the block, license, words that differ, bytes saved, block) of each statement, in their order."""
         out = []
         for region in regions(text, self.width) if self.models else ():
-            found = self.confirmed(np.fromiter((self.numbers.get(text[a:b].lower(), 0) for a, b in region), dtype=np.int32, count=len(region)))
-            if not found:
-                continue
-            ranked, alone = [], {}
-            for changes, i, first, end in found:
-                begin, stop = around(text, region[first][0], region[end - 1][1])
-                block = text[begin:stop]
-                if block not in alone:
-                    alone[block] = len(self.plain.compress(block)), {}
-                size, saved = alone[block]
-                if i not in saved:
-                    saved[i] = size - len(self.models[i][1].compress(block))
-                ranked.append((changes, -saved[i], i, first, end, begin, block))
+            words, ranked = [text[a:b].lower() for a, b in region], set()
+            for width in self.widths:
+                step = max(1, width // 2)
+                for low in range(0, max(1, len(words) - width), step):  # each statement is whole in a block
+                    for gain, changes, i, first, end in self.confirmed(words[low : low + width + step], width):
+                        ranked.add((-gain, changes, i, low + first, low + end))
             taken, hits = np.zeros(len(region), dtype=bool), []
-            for changes, less, i, first, end, begin, block in sorted(ranked):
+            for less, changes, i, first, end in sorted(ranked):
                 if not taken[first:end].any():
                     taken[first:end] = True
-                    hits.append((first, (begin, self.models[i][0], changes, -less, block)))
+                    begin, stop = around(text, region[first][0], region[end - 1][1])
+                    hits.append((first, (begin, self.models[i][0], changes, -less, text[begin:stop])))
             out += [hit for _, hit in sorted(hits)]
         return out
 
@@ -161,8 +178,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
 
     ``docs``: doc_id, text; other columns are not read. Null and empty texts, and an empty table, give no rows; null ids
     stay null; repeated rows are scanned each. A statement is words within DIFFERENT of a template, on one line or over
-    several, near an anchor; words that are near several templates count for the nearest, of equally near ones for the one
-    that saves more bytes, then the first by name. ``block`` is the statement's lines, or what is around it. Whole texts of any length are searched; memory holds one slice of texts. Row-local: no shuffle.
+    several, near an anchor, in a block that the template shrinks. Words that are near several templates count for the one
+    that saves most bytes on them, then the one with fewest changes, then the first by name. ``block`` is the statement's
+    lines, or what is around it. Whole texts of any length are searched; memory holds one slice of texts. Row-local: no shuffle.
     """
     given = TEMPLATES if templates is None else templates
 

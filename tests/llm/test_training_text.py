@@ -516,6 +516,35 @@ def test_license_scan_of_neighbouring_and_wrapped_statements(spark):
     assert all(texts[r["doc_id"]][0].encode()[r["at_byte"] :].startswith(r["block"].encode()) and r["n_changes"] == 0 for r in rows)
 
 
+def test_license_scan_ranks_by_compression():
+    long = license_scan.TEMPLATES["Apache-2.0"][1].replace("this file", "that file")
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    ((_, name, changes, saved, _),) = scanner.find(long.encode())
+    ((_, _, none, less, _),) = scanner.find(license_scan.TEMPLATES["Apache-2.0"][0].encode())
+    assert (name, changes, none) == ("Apache-2.0", 1, 0) and saved > less  # the short wording is whole in it, yet saves less
+    scanner.saved = lambda words, which: [0 for _ in which]  # without compression there are no candidates
+    scanner.seen.clear()
+    assert scanner.find(long.encode()) == []
+
+
+def test_license_candidates_of_compression_miss_nothing():
+    rng, scanner = random.Random(8), license_scan.Scanner(license_scan.TEMPLATES)
+    for name, _, numbers, most in scanner.models:
+        spelled = {n: w for w, n in scanner.numbers.items()}
+        for _ in range(40):
+            words = [spelled[n] for n in numbers]
+            for at in rng.sample(range(len(words)), most):  # as many changes as are allowed
+                words[at] = rng.choice([b"xyz", b"", b"the " + words[at]])
+            before = [b"w%d" % rng.randrange(50) for _ in range(rng.randrange(40))]
+            around, width = before + b" ".join(words).split() + [b"the", b"license"] * rng.randrange(20), len(numbers) + most
+            for low in range(0, max(1, len(around) - width), width // 2):
+                block = around[low : low + width + width // 2]
+                numbered = np.array([scanner.numbers.get(w, 0) for w in block])
+                if license_scan.occurrences(numbers, numbered, most):
+                    i = next(i for i, m in enumerate(scanner.models) if m[2] is numbers)
+                    assert any(hit[2] == i for hit in scanner.confirmed(block, width)), (name, block)
+
+
 def test_license_regions_hold_all_words_near_anchors():
     rng = random.Random(4)
     for _ in range(300):
