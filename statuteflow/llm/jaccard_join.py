@@ -3,7 +3,9 @@
 Two sets of shingles with a Jaccard similarity of at least t share a token among the first n - ceil(t n) + 1 of each, in
 any order that all sets follow. Tokens that no other set has come first, as they meet nothing; then rare ones, each of
 which is an index key; then frequent ones. Where the first common token is frequent, so are all the others, and two of
-them stand among the first n - ceil(t n) + 2: frequent tokens are indexed by pairs. Candidates are verified exactly.
+them stand among the first n - ceil(t n) + 2: frequent tokens are indexed by pairs. Where an index key brings two sets
+together, their bitmaps (of each bit, whether an odd number of tokens has it) are compared: sets that differ in more bits
+than a link may differ in tokens are no candidates. What is left is verified exactly.
 
 Before that, texts with equal sets are one, and every set is compared with the most typical set among those with the same
 minimal hash. That links most copies to their original, and the index then looks only for links between different
@@ -12,9 +14,11 @@ groups: however many sets a group has, a token that only this group uses is no k
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_table
@@ -27,6 +31,7 @@ from .words import mix, runs, span_keys, split_words
 SHINGLE, PERCENT = 5, 80
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 FREQUENT = 100  # a token in more groups than this is frequent
+BITMAP = 8  # 64-bit numbers of a set's bitmap
 PRUNED = 3  # times that tokens and sets without a possible link are taken out
 
 
@@ -161,12 +166,13 @@ def meeting_tokens(sets: DataFrame, groups: DataFrame, percent: int = PERCENT) -
 
 
 def prefix_keys(meeting: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """key, node, grp, n, most: index keys of the sets, and how many tokens a link by such a key can have in common.
+    """key, node, grp, n, met, most, bits0 ..: index keys of the sets, how many tokens they have in ``meeting`` and can have
+    in common in a link by such a key, and the bitmap of these tokens.
 
     Tokens that are not in ``meeting`` come first in the order of the prefix and use up its places.
     """
     own = F.sort_array(F.transform("own", lambda x: F.struct((x["in_groups"] > frequent).alias("often"), x["token"].alias("token"))))
-    met = meeting.select("node", "grp", "n", own.alias("own"), F.size("own").alias("met"), F.size(F.filter("own", lambda x: x["in_groups"] > frequent)).alias("often"))
+    met = meeting.select("node", "grp", "n", own.alias("own"), F.size("own").alias("met"), F.size(F.filter("own", lambda x: x["in_groups"] > frequent)).alias("often"), *bitmap())
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("met"))
     first = F.slice("own", 1, F.greatest(places, F.lit(0)).cast("int"))
     wider = F.filter(F.slice("own", 1, F.greatest(places + 1, F.lit(0)).cast("int")), lambda x: x["often"])
@@ -175,7 +181,30 @@ def prefix_keys(meeting: DataFrame, percent: int = PERCENT, frequent: int = FREQ
     single = F.transform(F.filter(first, lambda x: ~x["often"]), lambda x: F.struct(F.xxhash64(x["token"]).alias("key"), F.col("met").alias("most")))
     pairs = F.flatten(F.transform(wider, lambda x, i: F.transform(
         F.slice(wider, i + 2, F.size(wider)), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), F.col("often").alias("most")))))
-    return met.select("node", "grp", "n", F.explode(F.concat(single, pairs)).alias("k")).select("node", "grp", "n", "k.key", "k.most")
+    of_set = ["node", "grp", "n", "met", *(f"bits{i}" for i in range(BITMAP))]
+    return met.select(*of_set, F.explode(F.concat(single, pairs)).alias("k")).select(*of_set, "k.key", "k.most")
+
+
+def bitmap() -> list[Column]:
+    """bits0 ..: of each of 64 * BITMAP bits, whether an odd number of the tokens in ``own`` has it."""
+    tokens = "transform(own, x -> x.token)"
+    part = "aggregate({}, 0L, (bits, t) -> bits ^ if(pmod(shiftright(t, 6), {}) = {}, shiftleft(1L, cast(t & 63 AS int)), 0L)) AS bits{}"
+    return [F.expr(part.format(tokens, BITMAP, i, i)) for i in range(BITMAP)]
+
+
+def candidates(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: the pairs of sets of different groups that meet at a key and that sizes and bitmaps leave possible.
+
+    A link has ``least`` tokens in common, which both sets have in ``meeting``; at most the others differ, and every bit
+    in which the bitmaps differ is a different token.
+    """
+    of_set = ("node", "grp", "n", "met", "most", *(f"bits{i}" for i in range(BITMAP)))
+    one, two = (keys.select("key", *[F.col(c).alias(f"{c}_{x}") for c in of_set]) for x in "ab")
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"bits{i}_a").bitwiseXOR(F.col(f"bits{i}_b"))) for i in range(BITMAP)))
+    possible = (F.least("most_a", "most_b") >= least) & (apart <= F.col("met_a") + F.col("met_b") - 2 * least)
+    found = one.join(two, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("grp_a") != F.col("grp_b")) & possible)
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def links_between_groups(sets: DataFrame, groups: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
@@ -183,10 +212,7 @@ def links_between_groups(sets: DataFrame, groups: DataFrame, percent: int = PERC
     keys = stage_table(prefix_keys(meeting_tokens(sets, groups, percent), percent, frequent), "keys")
     mixed = keys.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("key")
     keys = keys.join(mixed, "key")
-    one, two = (keys.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "grp", "n", "most")]) for x in "ab")
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))  # common tokens that a link needs
-    found = one.join(two, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("grp_a") != F.col("grp_b")) & (F.least("most_a", "most_b") >= least))
-    return verified(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent)
+    return verified(candidates(keys, percent).distinct(), sets, percent)
 
 
 def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:

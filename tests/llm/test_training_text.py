@@ -555,3 +555,22 @@ def test_license_regions_hold_all_words_near_anchors():
             at = next(i for i, (a, b) in enumerate(words) if a <= found.start() < b)
             near |= set(range(max(0, at - width), min(len(words), at + width + 1)))
         assert [w for r in license_scan.regions(text, width) for w in r] == [words[i] for i in sorted(near)], (text, width)
+
+
+def test_sets_that_only_share_index_keys_are_no_candidates(spark):
+    rng = np.random.default_rng(8)
+    sets = []
+    for i in range(60):  # near 0.7 of each other, a few of them linked
+        own = np.arange(150)
+        own[rng.choice(150, 14, replace=False)] = rng.integers(1000, 1400, 14)
+        sets.append((i, sorted({int(x) * 0x9E3779B97F4A7C15 % (1 << 63) for x in own})))
+    sets.append((60, sets[0][1][:-1] + [7]))
+    frame = spark.createDataFrame([(i, len(t), t) for i, t in sets], "node long, n long, tokens array<long>")
+    groups = frame.select("node", F.col("node").alias("grp"))
+    keys = jaccard_join.prefix_keys(jaccard_join.meeting_tokens(frame, groups))
+    found = [tuple(r) for r in jaccard_join.candidates(keys).distinct().collect()]
+    jaccard = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    links = {(i, j) for i, a in sets for j, b in sets if i < j and jaccard(a, b)}
+    assert links <= set(found) and (0, 60) in links
+    assert len(found) < len(links) + 300 < 61 * 60 / 2
+    assert {tuple(r) for r in jaccard_join.links_between_groups(frame, groups).collect()} == links
