@@ -574,3 +574,25 @@ def test_sets_that_only_share_index_keys_are_no_candidates(spark):
     assert links <= set(found) and (0, 60) in links
     assert len(found) < len(links) + 300 < 61 * 60 / 2
     assert {tuple(r) for r in jaccard_join.links_between_groups(frame, groups).collect()} == links
+
+
+def test_every_different_training_word_teaches_once(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "LESSON", 7)
+    texts = spark.createDataFrame([(" ".join(f"W{i * j % 97} x{i}" for j in range(9)),) for i in range(40)] + [("",)], "text string").repartition(5)
+    want = sorted({w.lower().encode() for (t,) in texts.collect() for w in t.split()})
+    words = context_mixing.vocabulary(texts)
+    rows = words.collect()
+    assert sorted(w for r in rows for w in bytes(r["words"]).split(b" ")) == want
+    code = context_mixing.Code(context_mixing.sign_counts(texts))
+    choices = sum(int(code.length[b]) for w in want for b in w) + len(want) * int(code.length[context_mixing.WORD_END]) + len(rows) * int(code.length[context_mixing.TEXT_END])
+    zeros, ones = context_mixing.count_choices(words, code)
+    assert zeros.sum() + ones.sum() == choices * len(context_mixing.ORDERS)
+    assert sum(len(code.choices(part)[1]) for r in rows for part in context_mixing.lessons(bytes(r["words"]), context_mixing.LESSON)) == choices
+
+
+def test_the_last_choices_of_a_short_lesson_teach(spark):
+    n = context_mixing.LANE - 12
+    zeros = np.zeros((len(context_mixing.ORDERS), n), dtype=np.float32)
+    inputs, gates = context_mixing.logits(zeros, zeros + 3)
+    weights, _ = context_mixing.learn_mixer(inputs, gates, np.ones(n, dtype=np.int64))
+    assert not np.array_equal(weights, context_mixing.fresh_mixer()[0])
