@@ -145,6 +145,16 @@ def feature_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for i, _ in texts), dtype=np.int64, count=len(texts)), span_keys(data, starts, ends)
 
 
+def sign_weights(words: list[str], keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each word the largest weight of its features, 0 without one; ``keys`` are sorted."""
+    each = np.zeros(len(words))
+    owner, mine = feature_keys(words)
+    if len(keys) and len(mine):
+        place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        np.maximum.at(each, owner, np.where(keys[place] == mine, weights[place], 0.0))
+    return each
+
+
 def character_costs(docs: DataFrame) -> np.ndarray:
     """Costs of symbols after two others, from the purely alphabetic words of all texts; 28 * 28 * 28 numbers."""
 
@@ -275,18 +285,19 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, most
 
     def run(batches):
         costs, keys, weights, prior = model.value
-        restorer, known = Restorer(costs), {}
+        restorer, known = Restorer(costs), {}  # what a word weighs, once it was read
         for batch in batches:
             for at, texts in text_slices(batch.column(1), SLICE):
-                words, codes, read = _restored(texts, restorer, known)
-                owner, mine = feature_keys(read)
-                each = np.zeros(len(read))
-                if len(keys) and len(mine):
-                    place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                    np.maximum.at(each, owner, np.where(keys[place] == mine, weights[place], 0.0))
+                words = joined_letters(split_words(texts))
+                codes, distinct, _ = distinct_words(words)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                new = [w for w in distinct if w not in known]
+                known.update(zip(new, sign_weights([restorer.restore(w) for w in new], keys, weights).tolist()))
+                each = np.fromiter(map(known.__getitem__, distinct), dtype=np.float64, count=len(distinct))
                 signs = each[codes] > 0 if len(codes) else np.zeros(0, dtype=bool)
-                pairs = np.unique(words.doc[signs].astype(np.int64) * max(1, len(read)) + codes[signs])
-                doc, word = pairs // max(1, len(read)), pairs % max(1, len(read))
+                pairs = np.unique(words.doc[signs].astype(np.int64) * max(1, len(distinct)) + codes[signs])
+                doc, word = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
                 odds = prior + np.bincount(doc, weights=each[word], minlength=len(texts))
                 score = 1 / (1 + np.exp(-np.minimum(odds, 40)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(np.bincount(doc, minlength=len(texts)).astype(np.int64))], ["doc_id", "score", "predicted", "n_signs"])

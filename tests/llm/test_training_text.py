@@ -596,3 +596,16 @@ def test_the_last_choices_of_a_short_lesson_teach(spark):
     inputs, gates = context_mixing.logits(zeros, zeros + 3)
     weights, _ = context_mixing.learn_mixer(inputs, gates, np.ones(n, dtype=np.int64))
     assert not np.array_equal(weights, context_mixing.fresh_mixer()[0])
+
+
+def test_the_largest_weight_of_a_word_and_its_beginnings_counts():
+    from statuteflow.llm.toxicity import feature_keys, sign_weights
+
+    _, keys = feature_keys(["stupid", "idiot"])
+    keys = np.sort(np.unique(keys))
+    weights = np.arange(1.0, len(keys) + 1)
+    words = ["stupid", "stupidly", "", "idiotic", "kind"]
+    owner, mine = feature_keys(words)
+    want = [max([weights[keys.searchsorted(k)] for k in mine[owner == i] if k in keys], default=0.0) for i in range(len(words))]
+    assert sign_weights(words, keys, weights).tolist() == want and want[2] == want[4] == 0.0 < min(want[0], want[1], want[3])
+    assert sign_weights([], keys, weights).tolist() == [] and sign_weights(words, keys[:0], weights[:0]).tolist() == [0.0] * 5
