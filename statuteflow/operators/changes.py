@@ -62,12 +62,13 @@ def change_register(
     latest_only: bool = True,
     regulation_id: str | None = None,
 ) -> DataFrame:
-    """Changes with the titles and both versions; newest versions first, then by section."""
+    """Changes with the titles and both versions; newest versions first, then by section.
+
+    A version is joined to the one before it first, so that the changes, which hold two texts, meet versions once.
+    """
     versions = version_rows.select("regulation_id", "ordinal", "ingested_at", "source_uri")
-    current = versions.withColumnRenamed("source_uri", "current_uri")
-    previous = versions.select(
-        "regulation_id", F.col("ordinal").alias("previous_ordinal"), F.col("source_uri").alias("previous_uri")
-    )
+    previous = versions.select("regulation_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("source_uri").alias("previous_uri"))
+    both = versions.withColumnRenamed("source_uri", "current_uri").join(previous, ["regulation_id", "ordinal"], "left")
     if regulation_id is not None:
         changes = changes.where(F.col("regulation_id") == regulation_id)
     if latest_only:
@@ -75,8 +76,7 @@ def change_register(
         changes = changes.join(latest, ["regulation_id", "ordinal"], "left_semi")
     return (
         changes.join(regulations.select("regulation_id", "title", "jurisdiction"), "regulation_id")
-        .join(current, ["regulation_id", "ordinal"])
-        .join(previous, ["regulation_id", "previous_ordinal"], "left")
+        .join(both, ["regulation_id", "ordinal"])
     )
 
 
