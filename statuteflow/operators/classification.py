@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..functions.joins import attach_row
 from ..functions.ordered import fingerprint_columns
 from ..functions.scoring import temperature_scale, top_label
 from ..functions.text import clause_hash, document_bucket, normalize_ws, sentences
+from ..session import stage_table
 from ..sources.records import violations
 
 
@@ -142,32 +144,65 @@ def missing_training_labels(split: DataFrame) -> DataFrame:
     return labels.join(seen, "label", "left_anti")
 
 
-def baseline_pipeline(vocabulary: int = 1 << 18, iterations: int = 100) -> Pipeline:
-    """TF-IDF over words and word pairs with a logistic regression; term frequencies are damped by the logarithm."""
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"),
-            RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\w\w+", gaps=False, toLowercase=True),
-            NGram(n=2, inputCol="words", outputCol="pairs"),
-            SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-            CountVectorizer(inputCol="terms", outputCol="tf", minDF=2.0, vocabSize=vocabulary),
-            IDF(inputCol="tf", outputCol="tfidf"),
-            Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
-            LogisticRegression(
-                featuresCol="features", labelCol="label_index", weightCol="class_weight", maxIter=iterations, regParam=1e-3
-            ),
-        ]
+def baseline_terms() -> list:
+    """Stages that give a text its ``terms``: words and word pairs."""
+    return [
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\w\w+", gaps=False, toLowercase=True),
+        NGram(n=2, inputCol="words", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
+    ]
+
+
+def term_weights(texts: DataFrame, vocabulary: int) -> tuple[list[str], list[float]]:
+    """(terms, inverse document frequencies) of the most frequent terms of at least two texts, among equals by name.
+
+    ``texts``: terms, copies. A row counts as ``copies`` texts.
+    """
+    rows = texts.select("copies", "terms", F.posexplode("terms").alias("place", "term"))
+    first = F.array_position("terms", F.col("term")) == F.col("place") + 1
+    counted = rows.groupBy("term").agg(F.sum("copies").alias("uses"), F.sum(F.when(first, F.col("copies"))).alias("texts"))
+    total = texts.agg(F.sum("copies").alias("total"))
+    idf = F.log((F.col("total") + 1.0) / (F.col("texts") + 1.0))
+    kept = counted.where("texts >= 2").orderBy(F.desc("uses"), "term").limit(vocabulary)
+    found = attach_row(kept, total).orderBy(F.desc("uses"), "term").select("term", idf.alias("idf")).collect()
+    return [r["term"] for r in found], [r["idf"] for r in found]
+
+
+def train_baseline(train: DataFrame, iterations: int = 100, vocabulary: int = 1 << 18, copies: str | None = None) -> PipelineModel:
+    """Fit TF-IDF over words and word pairs with a logistic regression, with balanced class weights.
+
+    Equal texts of one label are one row that weighs as much as they do; ``copies`` names a column with the times that a
+    row counts. The regression divides features by a deviation corrected for the weights' squares, which such a row
+    changes by the same factor for all features: the penalty takes it back, so the optimum is that of the single rows.
+    """
+    times = F.lit(1) if copies is None else F.col(copies)
+    folded = stage_table(train.groupBy("label", "text").agg(F.sum(times).cast("bigint").alias("copies")), "texts")
+    counts = folded.groupBy("label").agg(F.sum("copies").alias("label_count"))  # at most seven rows
+    total = folded.agg(F.sum("copies").alias("total"), F.count_distinct("label").alias("labels"))
+    each = F.col("total") / (F.col("labels") * F.col("label_count"))
+    weighted = attach_row(folded.join(F.broadcast(counts), "label"), total).select(
+        "label", "text", "copies", each.alias("each"), (F.col("copies") * each).alias("class_weight")
     )
-
-
-def train_baseline(train: DataFrame, iterations: int = 100) -> PipelineModel:
-    """Fit the baseline with balanced class weights."""
-    counts = train.groupBy("label").agg(F.count("*").alias("label_count"))  # at most seven rows
-    total = train.agg(F.count("*").alias("total"), F.count_distinct("label").alias("labels"))
-    weighted = attach_row(train.join(F.broadcast(counts), "label"), total).withColumn(
-        "class_weight", F.col("total") / (F.col("labels") * F.col("label_count"))
+    weight, single, several = weighted.agg(
+        F.sum("class_weight"), F.sum(F.col("copies") * F.col("each") ** 2), F.sum(F.col("class_weight") ** 2)
+    ).first()
+    spread = (weight - single / weight) / (weight - several / weight) if weight**2 > several else 1.0
+
+    index = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep").fit(weighted)
+    terms, idf = term_weights(PipelineModel(baseline_terms()).transform(weighted), vocabulary)
+    prepare = [
+        index, *baseline_terms(), CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="tf"),
+        ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense(idf)),
+        Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
+    ]
+    # The index names a class of unknown labels, which no row has: fitted as one, rounding makes its first loss infinite.
+    known = (F.col("label_index") + 0.0).alias("label_index")
+    features = stage_table(PipelineModel(prepare).transform(weighted).select(known, "features", "class_weight"), "features")
+    regression = LogisticRegression(
+        featuresCol="features", labelCol="label_index", weightCol="class_weight", family="multinomial", maxIter=iterations,
+        regParam=1e-3 / spread,
     )
-    return baseline_pipeline(iterations=iterations).fit(weighted)
+    return PipelineModel([*prepare, regression.fit(features)])
 
 
 def predict(model: PipelineModel, clauses: DataFrame, temperature: float = 1.0, threshold: float = 0.0) -> DataFrame:
@@ -188,13 +223,14 @@ def classify_versions(
     sections: DataFrame, version_rows: DataFrame, ledger: DataFrame, model: PipelineModel, model_id: str,
     threshold: float, temperature: float = 1.0,
 ) -> tuple[DataFrame, DataFrame]:
-    """(classifications, new ledger rows) of the versions this model has not seen yet."""
+    """(classifications, new ledger rows) of the versions this model has not seen yet. Equal clauses are judged once."""
     done = ledger.where(F.col("model_id") == model_id).select("version_id")
     pending = version_rows.select("version_id").distinct().join(done, "version_id", "left_anti")
     clauses = sections.join(pending, "version_id", "left_semi").select(
         "version_id", "section_id", "page", F.explode(sentences("body")).alias("text")
     )
-    found = predict(model, clauses, temperature, threshold).select(
+    judged = predict(model, clauses.select("text").distinct(), temperature, threshold)
+    found = clauses.join(judged, "text").select(
         "version_id", "section_id", "page", "text", clause_hash("text").alias("clause_hash"),
         F.col("predicted").alias("label"), F.round("confidence", 5).alias("confidence"), "abstained",
         F.when(F.col("abstained"), "needs_review").otherwise("classified").alias("status"), "probabilities",

@@ -314,10 +314,23 @@ def i14_verify(spark, d):
     return K.verify_receipts(receipts, edited)
 
 
+def split_clauses(spark, d):
+    """Clauses to learn from and to judge, written once."""
+    rows = I.rule_book(spark, d).select(
+        F.col("section_id").alias("clause_id"), F.col("regulation_id").alias("document_id"), F.col("body").alias("text"), "page", "ordinal"
+    )
+    return stage_table(K.split_by_document(rows).where("split <> 'validation'"), "clauses")
+
+
+def labelled_texts(clauses):
+    """The different texts of clauses, their labels and how many clauses have each."""
+    return clauses.groupBy("text").agg(F.count("*").alias("copies")).withColumn("label", sampling_stratum("text"))
+
+
 @query("i1_classify_clauses")
 def i1(spark, d):
-    clauses = stage_table(K.split_by_document(labelled_clauses(spark, d)), "clauses")
-    model = K.train_baseline(clauses.where("split = 'train'"), iterations=15)
+    clauses = split_clauses(spark, d)
+    model = K.train_baseline(labelled_texts(clauses.where("split = 'train'")), iterations=15, copies="copies")
     sections = clauses.where("split = 'test'").select(
         F.concat_ws(":", "document_id", F.col("ordinal").cast("string")).alias("version_id"), F.col("clause_id").alias("section_id"),
         "page", F.col("text").alias("body"),
