@@ -342,10 +342,10 @@ def i1(spark, d):
 
 @query("i3_baseline_report")
 def i3(spark, d):
-    clauses = stage_table(K.split_by_document(labelled_clauses(spark, d)), "clauses")
-    model = K.train_baseline(clauses.where("split = 'train'"), iterations=15)
-    scored = K.predict(model, clauses.where("split = 'test'"))
-    report = M.class_report(scored.select(F.col("label").alias("expected"), "predicted", "confidence"))
+    clauses = split_clauses(spark, d)
+    model = K.train_baseline(labelled_texts(clauses.where("split = 'train'")), iterations=15, copies="copies")
+    scored = K.predict(model, labelled_texts(clauses.where("split = 'test'")))
+    report = M.class_report(scored.select(F.col("label").alias("expected"), "predicted", "copies"), copies="copies")
     return report.select("label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
