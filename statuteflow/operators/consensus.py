@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.window import Window
 
 from ..functions import fixed as V
 from ..functions.ordered import hash_chunk, running_sum, smallest_per_key
-from ..functions.text import label_answer_reject, prompt, stable_rank
+from ..functions.text import prompt, stable_rank, strip
 from ..sources.records import violations
 from .metrics import accuracy_report, class_report, macro_report
 
@@ -54,26 +59,41 @@ def request_order(requests: DataFrame, position: str = "sample_position") -> lis
 _IDENTITY = ("text_sha256", "labeler_id", "model_id", "prompt_version")
 
 
-def response_violations(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """(check, slot, clause_id): missing, repeated, unknown, mismatched or unusable responses."""
-    repeated = responses.groupBy("slot", "clause_id").count().where("count > 1").select(
-        F.lit("duplicate_response").alias("check"), "slot", "clause_id"
+def unusable_answer(responses: DataFrame) -> Column:
+    """True where ``label_answer_reject`` would refuse the answer; columns need not be written as JSON for that."""
+    kinds = {f.name: f.dataType for f in responses.schema}
+    if not isinstance(kinds["confidence"], NumericType) or not isinstance(kinds["rationale"], StringType):
+        return F.lit(True)
+    usable = (
+        F.col("label").cast("string").isin(*V.LABELS) & (F.col("confidence") >= 0) & (F.col("confidence") <= 1)
+        & (strip("rationale") != "")
     )
-    q = requests.select("slot", "clause_id", *[F.col(c).alias(f"q_{c}") for c in _IDENTITY], F.lit(1).alias("q"))
-    joined = responses.withColumn("r", F.lit(1)).join(q, ["slot", "clause_id"], "full_outer")
-    both = F.coalesce((F.col("q") == 1) & (F.col("r") == 1), F.lit(False))
+    return ~F.coalesce(usable, F.lit(False))
+
+
+def response_violations(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """(check, slot, clause_id): missing, repeated, unknown, mismatched or unusable responses.
+
+    Both sides are numbered by key, where the join needs them: a second response is a repeated one.
+    """
+    place = F.row_number().over(Window.partitionBy("clause_id", "slot").orderBy("slot"))
+    q = requests.select("slot", "clause_id", *[F.col(c).alias(f"q_{c}") for c in _IDENTITY]).withColumn("q", place)
+    r = responses.select("slot", "clause_id", *_IDENTITY, unusable_answer(responses).alias("unusable")).withColumn("r", place)
+    joined = r.join(q, ["clause_id", "slot"], "full_outer")  # the key with many values first, for the sorts
+    both = F.col("q").isNotNull() & F.col("r").isNotNull()
     changed = F.lit(False)
     for c in _IDENTITY:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"q_{c}"))
-    answer = F.to_json(F.struct("label", "confidence", "rationale"))
     checks = {
         "missing_response": F.col("r").isNull(),
         "unknown_request": F.col("q").isNull(),
         "identity_mismatch": both & changed,
-        "invalid_answer": both & label_answer_reject(answer).isNotNull(),
+        "invalid_answer": both & F.col("unusable"),
+        "duplicate_response": (F.col("r") == 2) & (F.coalesce("q", F.lit(1)) == 1),
     }
     failed = F.filter(F.array(*[F.when(bad, F.lit(n)) for n, bad in checks.items()]), lambda x: x.isNotNull())
-    return joined.select(F.explode(failed).alias("check"), "slot", "clause_id").unionByName(repeated)
+    broken = reduce(or_, [F.coalesce(bad, F.lit(False)) for bad in checks.values()])  # few rows are: only they get a list
+    return joined.where(broken).select(F.explode(failed).alias("check"), "slot", "clause_id")
 
 
 def pending_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
