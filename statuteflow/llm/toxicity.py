@@ -36,6 +36,7 @@ CONFIDENCE = 1.64  # standard deviations
 KNOWN_WORDS, SLICE = 150_000, 1 << 20  # readings that a task remembers; bytes of texts that it reads at once
 _EDGES = re.compile(r"^[^\w@$€£|+(!]+|[^\w@$€£|+]+$")
 _RUNS = re.compile(r"(.)\1{2,}")
+_SIGNS = re.compile(f"[{re.escape(''.join(LOOK_ALIKES))}]")
 _GAPS = re.compile(r"[^\w@$€£|+(!]|_")
 
 
@@ -74,6 +75,8 @@ class Restorer:
 
     def read(self, word: str) -> str:
         """The likeliest reading of a lower-case word."""
+        if not _RUNS.search(word) and not (_SIGNS.search(word) and any(map(str.isalpha, word))):
+            return word  # no place has a choice
         places = self.lattice(word)
         if places is None:
             return word
@@ -136,13 +139,22 @@ def joined_letters(words: Words) -> Words:
 
 def feature_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word, key) of each word's features: itself and its beginnings."""
-    texts = [(i, f"{word}\x00") for i, word in enumerate(words) if word]
-    texts += [(i, word[:n]) for i, word in enumerate(words) for n in STEMS if len(word) > n]
-    raw = [text.encode("utf-8", "replace") for _, text in texts]
-    ends = np.cumsum([len(x) for x in raw], dtype=np.int64) if raw else np.zeros(0, dtype=np.int64)
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    starts = ends - np.fromiter((len(x) for x in raw), dtype=np.int64, count=len(raw))
-    return np.fromiter((i for i, _ in texts), dtype=np.int64, count=len(texts)), span_keys(data, starts, ends)
+    raw = [word.encode("utf-8", "replace") for word in words]
+    data = np.frombuffer(b"\x00".join([*raw, b""]), dtype=np.uint8)
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    end = np.cumsum(sizes + 1)  # with the zero that ends a whole word
+    start = end - sizes - 1
+    letters = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
+    first = np.searchsorted(letters, start)
+    length = np.searchsorted(letters, end - 1) - first
+    some = np.flatnonzero(sizes)
+    owners, ends = [some], [end[some]]
+    for n in STEMS:
+        some = np.flatnonzero(length > n)
+        owners.append(some)
+        ends.append(letters[first[some] + n])
+    owner = np.concatenate(owners)
+    return owner, span_keys(data, start[owner], np.concatenate(ends))
 
 
 def sign_weights(words: list[str], keys: np.ndarray, weights: np.ndarray) -> np.ndarray:

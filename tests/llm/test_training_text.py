@@ -609,3 +609,16 @@ def test_the_largest_weight_of_a_word_and_its_beginnings_counts():
     want = [max([weights[keys.searchsorted(k)] for k in mine[owner == i] if k in keys], default=0.0) for i in range(len(words))]
     assert sign_weights(words, keys, weights).tolist() == want and want[2] == want[4] == 0.0 < min(want[0], want[1], want[3])
     assert sign_weights([], keys, weights).tolist() == [] and sign_weights(words, keys[:0], weights[:0]).tolist() == [0.0] * 5
+
+
+def test_toxicity_builds_no_lattice_where_no_sign_has_a_choice(monkeypatch):
+    built = []
+    lattice = toxicity.Restorer.lattice
+    monkeypatch.setattr(toxicity.Restorer, "lattice", lambda self, word: built.append(word) or lattice(self, word))
+    restorer = toxicity.Restorer(np.zeros((toxicity.SYMBOLS,) * 3))
+    plain = ["word", "2,019", "x", "", "e_f", "1.5"]
+    assert [restorer.read(word) for word in plain] == plain and not built
+    assert all(lattice(restorer, word) is None for word in plain)
+    restorer.read("h3llo")
+    restorer.read("heeello")
+    assert built == ["h3llo", "heeello"]
