@@ -622,3 +622,50 @@ def test_toxicity_builds_no_lattice_where_no_sign_has_a_choice(monkeypatch):
     restorer.read("h3llo")
     restorer.read("heeello")
     assert built == ["h3llo", "heeello"]
+
+
+def test_words_are_scored_in_their_context(spark):
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(12)]
+    text = lambda: " ".join(rng.choice(names, 30))
+    rows = [(i, text()) for i in range(40)]
+    rows += [(i + 100, rows[i][1]) for i in range(0, 40, 2)]  # every other text is there twice
+    rows += [(i + 201, " ".join(rng.permutation(t.split()))) for i, t in rows[:40]]
+    rows += [(300, None), (301, ""), (302, "zzz " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["score"] for r in context_mixing.score_texts(df, F.col("doc_id") < 200).collect()}
+    assert all(np.isfinite(list(got.values()))) and max(got.values()) < 0
+    assert all(got[i] > got[i + 201] + 3 for i in range(40))  # the same words in another order
+    assert np.mean([got[i] for i in range(0, 40, 2)]) > np.mean([got[i] for i in range(1, 40, 2)]) + 1
+    again = {r["id"]: r["score"] for r in context_mixing.score_texts(df.repartition(5), F.col("doc_id") < 200).collect()}
+    assert all(abs(again[i] - got[i]) < 1e-6 for i in got)
+
+
+def test_contexts_are_counted_at_every_place_and_sum_to_one():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "b", "c"], n)).encode() for n in (7, 0, 1, 2, 9, 30)]
+    found = words.split_words(texts)
+    at = context_mixing.places(found, len(texts))
+    keys, number = context_mixing.context_keys(at)
+    spelled = [[*t.decode().split(), None] for t in texts]
+    seen = np.array([sum(t.count(w) for t in spelled) for t in spelled for w in t[:-1]])
+    counts = context_mixing.context_counts(at, number, np.bincount(number), seen, len(texts))
+    pairs, triples, n = {}, {}, 0
+    for t in spelled:
+        for i, w in enumerate(t):
+            before = tuple(["^", "^", *t][i : i + 2])
+            pairs[before[1:]] = pairs.get(before[1:], []) + [w]
+            triples[before] = triples.get(before, []) + [w]
+    for t in spelled:
+        for i, w in enumerate(t):
+            before = tuple(["^", "^", *t][i : i + 2])
+            want = [pairs[before[1:]].count(w), len(pairs[before[1:]]), *((triples[before].count(w), len(triples[before])) if i else (0, 0))]
+            assert counts[:, n].tolist() == want
+            n += 1
+            for trust in context_mixing.TRUST:
+                total = 0.0
+                for v, p in zip(["a", "b", "c", None, "unseen"], (0.3, 0.2, 0.2, 0.2, 0.1)):
+                    own = np.array([[pairs[before[1:]].count(v)], [want[1]], [triples[before].count(v) if i else 0], [want[3]]], dtype=float)
+                    a, b = context_mixing.in_context(own, trust)
+                    total += (a + b * p).item()
+                assert total == pytest.approx(1)
